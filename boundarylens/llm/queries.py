@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from boundarylens.llm import jaccard, mixing, packing, quality, resampling, secrets
+from boundarylens.llm import jaccard, mixing, packing, quality, resampling, secrets, suffix
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op5_token_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_classes(_table(spark, sf_dir, "documents"))
 
 
+def op8_prefix_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op9_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.importance_resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -41,7 +45,7 @@ def op10_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_randomness_battery, op2_mix_sources, op3_divergence_rules, op5_token_group_join,
-        op9_importance_resampling, op10_pattern_packing,
+        op8_prefix_doubling, op9_importance_resampling, op10_pattern_packing,
     )
 }
 
