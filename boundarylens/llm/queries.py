@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from boundarylens.llm import jaccard, mixing, packing, quality, resampling, secrets, suffix
+from boundarylens.llm import html, jaccard, mixing, packing, quality, resampling, secrets, suffix, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,10 +26,18 @@ def op3_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op4_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"))
+
+
 def op5_token_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_classes(_table(spark, sf_dir, "documents"))
 
 
+def op7_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_main_text(_table(spark, sf_dir, "pages"))
+
+
 def op8_prefix_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(_table(spark, sf_dir, "documents"))
 
@@ -44,8 +52,8 @@ def op10_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_randomness_battery, op2_mix_sources, op3_divergence_rules, op5_token_group_join,
-        op8_prefix_doubling, op9_importance_resampling, op10_pattern_packing,
+        op1_randomness_battery, op2_mix_sources, op3_divergence_rules, op4_bit_sliced_top_k,
+        op5_token_group_join, op7_wrapper_induction, op8_prefix_doubling, op9_importance_resampling, op10_pattern_packing,
     )
 }
 
@@ -81,4 +89,17 @@ SELECT doc_id, size, source_size, target,
 FROM placed
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_mix_sources": OP2_SQL}
+OP4_SQL = """
+WITH kept AS (
+  SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS query_id, b.vec_id AS vec_id,
+         list_sum(list_transform(list_zip(a.q, b.q), p -> p[1] * p[2]))::BIGINT AS score
+  FROM kept a JOIN kept b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
+FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_mix_sources": OP2_SQL, "op4_bit_sliced_top_k": OP4_SQL}
