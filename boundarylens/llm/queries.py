@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from boundarylens.llm import html, jaccard, mixing, packing, quality, resampling, secrets, suffix, topk
+from boundarylens.llm import html, jaccard, mixing, packing, quality, resampling, secrets, suffix, toolcalls, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,11 @@ def op5_token_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_classes(_table(spark, sf_dir, "documents"))
 
 
+def op6_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = toolcalls.conversation_calls(_table(spark, sf_dir, "conversations"))
+    return toolcalls.link_tool_calls(calls, results, toolcalls.REPLY)
+
+
 def op7_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_main_text(_table(spark, sf_dir, "pages"))
 
@@ -53,7 +58,7 @@ def op10_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_randomness_battery, op2_mix_sources, op3_divergence_rules, op4_bit_sliced_top_k,
-        op5_token_group_join, op7_wrapper_induction, op8_prefix_doubling, op9_importance_resampling, op10_pattern_packing,
+        op5_token_group_join, op6_tool_call_linking, op7_wrapper_induction, op8_prefix_doubling, op9_importance_resampling, op10_pattern_packing,
     )
 }
 
@@ -91,15 +96,34 @@ FROM placed
 
 OP4_SQL = """
 WITH kept AS (
-  SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q FROM embeddings
   WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 scored AS (
   SELECT a.vec_id AS query_id, b.vec_id AS vec_id,
-         list_sum(list_transform(list_zip(a.q, b.q), p -> p[1] * p[2]))::BIGINT AS score
+         list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2]))::BIGINT AS score
   FROM kept a JOIN kept b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
 FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_mix_sources": OP2_SQL, "op4_bit_sliced_top_k": OP4_SQL}
+OP6_SQL = """
+WITH RECURSIVE calls AS (
+  SELECT conv_id AS conv, turn, min(text) AS prompt, bool_or(text IS NULL) AS has_null, count(*) AS n_calls
+  FROM conversations WHERE role = 'user' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id, turn),
+answers AS (
+  SELECT conv_id AS conv, turn - 1 AS turn, min(text) AS content, count(*) AS n_results
+  FROM conversations WHERE role = 'assistant' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id, turn),
+placed AS (
+  SELECT c.conv, c.turn, 0::BIGINT AS depth FROM calls c
+  WHERE NOT EXISTS (SELECT 1 FROM calls p WHERE p.conv = c.conv AND p.turn = c.turn - 2)
+  UNION ALL
+  SELECT c.conv, c.turn, p.depth + 1 FROM placed p JOIN calls c ON c.conv = p.conv AND c.turn = p.turn + 2)
+SELECT c.conv, 't' || c.turn AS id, 'reply' AS name, depth AS call_order, prompt IS NOT NULL AS valid,
+       CASE WHEN prompt IS NULL THEN 'prompt: missing' ELSE '' END AS errors, n_calls, coalesce(n_results, 0) AS n_results,
+       to_json({'arguments': CASE WHEN prompt IS NULL THEN to_json({'turn': c.turn}) ELSE to_json({'prompt': prompt, 'turn': c.turn}) END,
+                'id': 't' || c.turn, 'name': 'reply', 'order': depth, 'result': content, 'valid': prompt IS NOT NULL})::VARCHAR AS json
+FROM calls c JOIN placed p ON c.conv = p.conv AND c.turn = p.turn LEFT JOIN answers a ON a.conv = c.conv AND a.turn = c.turn
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_mix_sources": OP2_SQL, "op4_bit_sliced_top_k": OP4_SQL, "op6_tool_call_linking": OP6_SQL}
