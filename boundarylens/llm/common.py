@@ -79,3 +79,12 @@ def map_batches(df: DataFrame, each, schema: str) -> DataFrame:
 
     python_ready(df.sparkSession)
     return df.mapInArrow(run, schema)
+
+
+#: Ids that may travel to every executor at once: 8 bytes each, so 8 MB at most.
+MOST_BROADCAST_IDS = 1_000_000
+
+
+def small_side(ids: DataFrame) -> DataFrame:
+    """A durable column of ids for one side of a join: broadcast if counted to be few, else hashed after a shuffle."""
+    return F.broadcast(ids) if ids.count() <= MOST_BROADCAST_IDS else ids.hint("shuffle_hash")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boundarylens.llm.common import blobs, durable, map_batches, python_ready, word_hashes
+from boundarylens.llm.common import blobs, durable, map_batches, python_ready, small_side, word_hashes
 
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 SAMPLE, FREQUENT, MOST_FREQUENT = 8, 3, 2**17
@@ -229,7 +229,7 @@ def jaccard_classes(
     signed = durable(signatures(given, frequent, width, num, den), "jaccard-signatures")
     classes = signed.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"))
     nodes = durable(
-        signed.where("n > 0").join(classes.select(F.col("rep").alias("doc_id")).where("doc_id IS NOT NULL").distinct().hint("shuffle_hash"), "doc_id", "left_semi")
+        signed.where("n > 0").join(classes.where("rep IS NOT NULL").withColumnRenamed("rep", "doc_id").hint("shuffle_hash"), ["doc_id", "n", "d1", "d2"], "left_semi")
         .dropDuplicates(["doc_id", "n", "d1", "d2"]), "jaccard-nodes",
     )
     tokens = nodes.agg(F.sum(F.length("cold"))).first()[0] or 0
@@ -243,8 +243,8 @@ def jaccard_classes(
         (F.col("doc_id") != F.col("l.doc_id")) & _may_link(F.col("n"), F.col("l.n"), F.least("rest", "l.rest"), num, den)
     ).select(F.least("doc_id", "l.doc_id").alias("x"), F.greatest("doc_id", "l.doc_id").alias("y")).distinct()
     first = durable(seldom.union(star).distinct(), "jaccard-first")
-    wanted = first.select(F.col("x").alias("doc_id")).union(first.select("y")).union(held.join(best.select("token"), "token", "left_semi").select("doc_id")).distinct()
-    sets = durable(_sets(given.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi"), width), "jaccard-sets")
+    wanted = durable(first.select(F.col("x").alias("doc_id")).union(first.select("y")).union(held.join(best.select("token"), "token", "left_semi").select("doc_id")).distinct(), "jaccard-wanted")
+    sets = durable(_sets(given.join(small_side(wanted), "doc_id", "left_semi"), width), "jaccard-sets")
     links = durable(_verified(first, sets, num, den), "jaccard-links")
     groups = components(links)
     second = durable(_opened(held, groups, num, den), "jaccard-opened")
@@ -295,5 +295,5 @@ def representatives(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
     Documents without shingles and those without an id all stay.
     """
     found = jaccard_classes(docs, text=text, doc_id=doc_id, width=width, threshold=threshold)
-    gone = found.where("n_shingles > 0 AND component_id <> doc_id").select(F.col("doc_id").alias("gone id")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), docs[f"`{doc_id}`"].cast("long") == F.col("gone id"), "left_anti")
+    gone = durable(found.where("n_shingles > 0 AND component_id <> doc_id").select(F.col("doc_id").alias("gone id")).distinct(), "jaccard-gone")
+    return docs.join(small_side(gone), docs[f"`{doc_id}`"].cast("long") == F.col("gone id"), "left_anti")

@@ -125,7 +125,7 @@ def _weights(docs: DataFrame, ratio: np.ndarray, columns: list[Column], text: Co
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(weight, pa.float64()), pa.array(n, pa.int64())], names=[f"c{i}" for i in range(batch.num_columns + 1)])
 
     python_ready(docs.sparkSession)
-    return docs.select(*columns, text.cast("string")).mapInArrow(weigh, schema)
+    return docs.select(*columns, text.cast("string").alias("body")).mapInArrow(weigh, schema)
 
 
 def gumbel(doc_id: Column, seed: int) -> Column:
