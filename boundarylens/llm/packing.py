@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from boundarylens.llm.common import blobs, durable, map_batches, python_ready
 
 RANK_ROWS = 8000
-CACHED_WORDS, CACHED_LENGTH = 300_000, 48
+CACHED_WORDS, CACHED_LENGTH = 1_500_000, 48
 
 _words: dict[tuple[str, int], dict[bytes, bytes]] = {}
 _tokenizers: dict[str, object] = {}
