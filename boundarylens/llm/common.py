@@ -39,6 +39,18 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """Write the rows to the shared folder in buckets by key, as many as a shuffle has partitions: joins on the key need no shuffle of them.
+
+    Rows that come from a join on the key lie together already, so each task writes few files.
+    """
+    spark = df.sparkSession
+    made = f"{name}_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").bucketBy(buckets, key).option("path", f"{shared_folder(spark)}/{made}").saveAsTable(made)
+    return spark.table(made)
+
+
 def python_ready(spark: SparkSession, rows: int = 256) -> None:
     """Before Python code runs in tasks.
 

@@ -12,7 +12,9 @@ length round by round and drops positions once they are unique. Three things mak
   different stretch go into the last round, which ranks their windows of LENGTH bytes one by one.
 
 Repeats within a task are settled there, so that a string that a third of all documents hold reaches a
-bucket once for each task. Texts are shuffled once, compressed, to meet what was found about them.
+bucket once for each task. Texts are shuffled once, compressed, to meet what was
+found about them, and then lie in buckets by document, so that the last round's finds join without
+another shuffle.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boundarylens.llm.common import blobs, durable, map_batches, python_ready
+from boundarylens.llm.common import blobs, bucketed, map_batches, python_ready
 
 GRAM = 32
 CHUNK = 2**20
@@ -120,26 +122,28 @@ REPEAT, CONTESTED = 1, 2
 
 
 def _dealt(df: DataFrame, entries: Callable, buckets: int) -> DataFrame:
-    """Entries (a, b, doc, start, span) of the rows of df, dealt by a; repeats of (a, b) within a task go to bucket -1."""
+    """Entries (a, b, doc, start, span) of the rows of df, dealt by a; what repeats (a, b) within a task is settled: such rows pass through with what was found."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
             a, b, doc, start, span = (np.concatenate(x) for x in zip(*held, strict=True))
+            b = b.astype(np.uint32)
+            press = zstandard.ZstdCompressor(level=1).compress
             held.clear()
             order, new = _first_of((a, b), doc, start)
             again, rows = order[~new], order[new]
             out = []
             if len(again):
                 for x in _by_document(doc[again], start[again], span[again], np.full(len(again), REPEAT)).itertuples(index=False):
-                    out.append((-1, x.doc, x.found, b"", b"", b"", b""))
+                    out.append((x.doc % buckets, x.doc, x.found, b"", b"", b"", b""))
             to = ((a[rows] >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
             by = np.argsort(to, kind="stable")
             rows, to = rows[by], to[by]
             for part in np.split(np.arange(len(to)), np.flatnonzero(np.diff(to)) + 1) if len(to) else ():
                 r = rows[part]
-                out.append((int(to[part[0]]), 0, a[r].tobytes(), b[r].tobytes(), doc[r].tobytes(), start[r].astype(np.int32).tobytes(), span[r].astype(np.uint16).tobytes()))
+                out.append((int(to[part[0]]), 0, a[r].tobytes(), b[r].tobytes(), press(doc[r].tobytes()), press(start[r].astype(np.int32).tobytes()), press(span[r].astype(np.uint16).tobytes())))
             kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["bucket", "doc", "a", "b", "docs", "starts", "spans"])
 
@@ -163,9 +167,12 @@ def _ranked(dealt: DataFrame, contest: bool) -> DataFrame:
     """What is found about each document: windows that repeat, and first stretches whose sample others share."""
 
     def rank(group: pd.DataFrame) -> pd.DataFrame:
-        a, b, doc, start, span = (
-            np.frombuffer(b"".join(group[c]), k)
-            for c, k in (("a", np.uint64), ("b", np.uint64), ("docs", np.int64), ("starts", np.int32), ("spans", np.uint16))
+        settled = group["docs"].map(len) == 0
+        passed = group.loc[settled, ["doc", "a"]].rename(columns={"a": "found"})
+        group = group[~settled]
+        a, b = np.frombuffer(b"".join(group["a"]), np.uint64), np.frombuffer(b"".join(group["b"]), np.uint32)
+        doc, start, span = (
+            np.frombuffer(b"".join(map(zstandard.decompress, group[c])), k) for c, k in (("docs", np.int64), ("starts", np.int32), ("spans", np.uint16))
         )
         order, new = _first_of((a, b), doc, start)
         code = np.where(new, 0, REPEAT)
@@ -175,10 +182,9 @@ def _ranked(dealt: DataFrame, contest: bool) -> DataFrame:
             code[new & (different[sample] > 1)] = CONTESTED
         keep = code > 0
         rows = order[keep]
-        return _by_document(doc[rows], start[rows], span[rows], code[keep])
+        return pd.concat([passed, _by_document(doc[rows], start[rows], span[rows], code[keep])], ignore_index=True)
 
-    ranked = dealt.where("bucket >= 0").groupBy("bucket").applyInPandas(rank, _FOUND)
-    return dealt.where("bucket = -1").select("doc", F.col("a").alias("found")).unionByName(ranked)
+    return dealt.groupBy("bucket").applyInPandas(rank, _FOUND)
 
 
 def _collected(found: DataFrame) -> DataFrame:
@@ -225,8 +231,7 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id
             gram, whole, start, span = stretches(np.frombuffer(t, np.uint8), length)
             yield gram, whole, np.full(len(gram), doc, np.int64), start, span
 
-    first = durable(_dealt(given.select("doc", "text"), sampled, buckets), "repeats-samples")
-    found = durable(_ranked(first, True), "repeats-found")
+    found = _ranked(_dealt(given.select("doc", "text"), sampled, buckets), True)
 
     def settle(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
@@ -246,7 +251,7 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id
 
     pressed = map_batches(given, squeeze, "doc_id long, doc long, text binary")
     joined = pressed.join(_collected(found).hint("shuffle_hash"), "doc", "left").select("doc_id", "doc", "text", "found")
-    settled = durable(map_batches(joined, settle, "doc_id long, doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text binary, found binary"), "repeats-settled")
+    settled = bucketed(map_batches(joined, settle, "doc_id long, doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text binary, found binary"), "doc", "repeats_settled")
     open_docs = settled.where("text IS NOT NULL")
 
     def windows(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
@@ -257,8 +262,7 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id
             start = np.unique(np.repeat(x[:, 0], x[:, 1] + 1) + np.arange((x[:, 1] + 1).sum()) - np.repeat(np.cumsum(x[:, 1] + 1) - x[:, 1] - 1, x[:, 1] + 1))
             yield *(_windows(body, start, which, length) for which in (0, 1)), np.full(len(start), doc, np.int64), start, np.zeros(len(start), np.int64)
 
-    last = durable(_dealt(open_docs.select("doc", "text", "found"), windows, buckets), "repeats-windows")
-    again = _collected(_ranked(last, False)).withColumnRenamed("found", "again")
+    again = _collected(_ranked(_dealt(open_docs.select("doc", "text", "found"), windows, buckets), False)).withColumnRenamed("found", "again")
 
     def finish(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
