@@ -1 +1 @@
-
+"""No streaming operator exists here: every input of the subject is a finished table."""
