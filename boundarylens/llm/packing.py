@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
+from struct import pack as pack_ids
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 from boundarylens.llm.common import blobs, durable, map_batches, python_ready
 
 RANK_ROWS = 8000
-CACHED_WORDS, CACHED_LENGTH = 1_500_000, 48
+CACHED_WORDS, CACHED_LENGTH = 800_000, 24
 
 _words: dict[tuple[str, int], dict[bytes, bytes]] = {}
 _tokenizers: dict[str, object] = {}
@@ -48,10 +50,10 @@ def _word_ids(path: str, texts: list[bytes]) -> Iterator[bytes]:
     if len(known) > CACHED_WORDS:
         known.clear()
     split = [t.split() for t in texts]
-    new = list({w for words in split for w in words} - known.keys())
+    new = list(set(chain.from_iterable(split)) - known.keys())
     here = known
     if new:
-        ids = [np.array(e.ids, "<u4").tobytes() for e in _tokenizer(path).encode_batch([w.decode() for w in new], add_special_tokens=False)]
+        ids = [pack_ids(f"<{len(e.ids)}I", *e.ids) for e in _tokenizer(path).encode_batch_fast([w.decode() for w in new], add_special_tokens=False)]
         here = {w: i for w, i in zip(new, ids, strict=True) if len(w) > CACHED_LENGTH}
         known.update((w, i) for w, i in zip(new, ids, strict=True) if len(w) <= CACHED_LENGTH)
     for words in split:
