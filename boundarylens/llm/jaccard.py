@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,15 +52,21 @@ def _marked(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return frequent[np.searchsorted(frequent, tokens).clip(max=len(frequent) - 1)] == tokens
 
 
-def _dealt(arrays: list[np.ndarray], buckets: int) -> Iterator[tuple]:
+def _dealt(arrays: list[np.ndarray], buckets: int, whole: bool) -> Iterator[tuple]:
     """Rows (bucket, bytes of each array) with the tokens of arrays[0] dealt by value."""
     to = (arrays[0] >> np.uint64(20)) % np.uint64(buckets)
     order = np.argsort(to, kind="stable")
     to = to[order]
     cuts = np.flatnonzero(np.diff(to)) + 1
+    press = zstandard.ZstdCompressor(level=1)
     for part in np.split(np.arange(len(to)), cuts) if len(to) else ():
         rows = order[part]
-        yield (int(to[part[0]]), *[a[rows].tobytes() for a in arrays])
+        # In a bucket half a token tells as much as is needed to find candidates, or nearly.
+        yield (int(to[part[0]]), arrays[0][rows].tobytes() if whole else arrays[0][rows].astype(np.uint32).tobytes(), *[press.compress(a[rows].tobytes()) for a in arrays[1:]])
+
+
+def _unpressed(column: pd.Series, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(map(zstandard.decompress, column)), kind)
 
 
 def frequent_tokens(docs: DataFrame, width: int) -> np.ndarray:
@@ -73,7 +80,7 @@ def frequent_tokens(docs: DataFrame, width: int) -> np.ndarray:
         def flush() -> Iterator[pa.RecordBatch]:
             tokens, n = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
-            rows = list(_dealt([tokens, n.astype(np.int32)], buckets))
+            rows = list(_dealt([tokens, n.astype(np.int32)], buckets, True))
             if rows:
                 b, t, c = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(t, pa.binary()), pa.array(c, pa.binary())], names=["bucket", "tokens", "counts"])
@@ -87,7 +94,7 @@ def frequent_tokens(docs: DataFrame, width: int) -> np.ndarray:
 
     def total(group: pd.DataFrame) -> pd.DataFrame:
         tokens = np.frombuffer(b"".join(group["tokens"]), np.uint64)
-        counts = np.frombuffer(b"".join(group["counts"]), np.int32)
+        counts = _unpressed(group["counts"], np.int32)
         order = np.argsort(tokens, kind="stable")
         tokens, starts = np.unique(tokens[order], return_index=True)
         n = np.add.reduceat(counts[order].astype(np.int64), starts) if len(starts) else np.empty(0, np.int64)
@@ -132,15 +139,18 @@ def _seldom_pairs(nodes: DataFrame, buckets: int, num: int, den: int) -> DataFra
         held: list[tuple[np.ndarray, ...]] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            rows = list(_dealt([np.concatenate(x) for x in zip(*held, strict=True)], buckets))
+            rows = list(_dealt([np.concatenate(x) for x in zip(*held, strict=True)], buckets, False))
             held.clear()
             if rows:
                 columns = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]], names=["bucket", "tokens", "docs", "ns", "places"])
 
-        n = 0
+        n, seen = 0, set()
         for batch in batches:
             for doc, size, cold in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if (doc, hash(cold)) in seen:
+                    continue
+                seen.add((doc, hash(cold)))
                 t = np.frombuffer(cold, np.uint64)
                 held.append((t, np.full(len(t), doc, np.int64), np.full(len(t), size, np.int32), np.arange(len(t), dtype=np.int32)))
                 n += len(t)
@@ -151,8 +161,11 @@ def _seldom_pairs(nodes: DataFrame, buckets: int, num: int, den: int) -> DataFra
             yield from flush()
 
     def pair(group: pd.DataFrame) -> pd.DataFrame:
-        tokens, docs, ns, places = (np.frombuffer(b"".join(group[c]), k) for c, k in (("tokens", np.uint64), ("docs", np.int64), ("ns", np.int32), ("places", np.int32)))
-        order = np.argsort(tokens, kind="stable")
+        tokens = np.frombuffer(b"".join(group["tokens"]), np.uint32)
+        docs, ns, places = (_unpressed(group[c], k) for c, k in (("docs", np.int64), ("ns", np.int32), ("places", np.int32)))
+        order = np.lexsort((docs, tokens))
+        # A repeated row of a document is passed over.
+        order = order[np.append(True, (np.diff(tokens[order]) != 0) | (np.diff(docs[order]) != 0))] if len(order) else order
         tokens, docs, ns, places = tokens[order], docs[order], ns[order].astype(np.int64), places[order]
         ends = np.append(np.flatnonzero(np.diff(tokens)) + 1, len(tokens))
         starts = np.append(0, ends[:-1])
@@ -228,16 +241,15 @@ def jaccard_classes(
     frequent = frequent_tokens(given, width)
     signed = durable(signatures(given, frequent, width, num, den), "jaccard-signatures")
     classes = signed.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"))
-    nodes = durable(
-        signed.where("n > 0").join(classes.where("rep IS NOT NULL").withColumnRenamed("rep", "doc_id").hint("shuffle_hash"), ["doc_id", "n", "d1", "d2"], "left_semi")
-        .dropDuplicates(["doc_id", "n", "d1", "d2"]), "jaccard-nodes",
-    )
-    tokens = nodes.agg(F.sum(F.length("cold"))).first()[0] or 0
+    classes = durable(classes, "jaccard-classes")
+    stand = small_side(classes.select(F.col("rep").alias("doc_id")).where("doc_id IS NOT NULL"))
+    nodes = signed.where("n > 0").join(stand, "doc_id", "left_semi")
+    tokens = signed.agg(F.sum(F.length("cold"))).first()[0] or 0
     seldom = durable(_seldom_pairs(nodes, max(8, tokens // 8 // BUCKET_TOKENS), num, den), "jaccard-seldom")
     held = nodes.where(F.size("hot") > 0).select(
         "doc_id", "n", "hot", F.posexplode("hot").alias("k", "token"), (F.length("cold") / 8).cast("int").alias("ahead")
     ).select("doc_id", "n", "hot", "token", (F.col("n") - F.col("ahead") - F.col("k")).alias("rest"))
-    held = durable(held, "jaccard-frequent")
+    held = durable(held.dropDuplicates(["doc_id", "token", "rest"]), "jaccard-frequent")
     best = held.groupBy("token").agg(F.max_by(F.struct("doc_id", "n", "rest"), F.struct("rest", -F.col("doc_id"))).alias("l"), F.count(F.lit(1)).alias("holders")).where("holders > 1")
     star = held.join(best, "token").where(
         (F.col("doc_id") != F.col("l.doc_id")) & _may_link(F.col("n"), F.col("l.n"), F.least("rest", "l.rest"), num, den)
