@@ -28,7 +28,7 @@ from boundarylens.llm.common import blobs, durable, map_batches, python_ready, s
 
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 SAMPLE, FREQUENT, MOST_FREQUENT = 8, 3, 2**17
-BUCKET_TOKENS, FLUSH = 600_000, 400_000
+BUCKET_TOKENS, FLUSH, GROUPS = 600_000, 400_000, 256
 
 
 def shingle_set(text: bytes, width: int) -> np.ndarray:
@@ -193,7 +193,11 @@ def _may_link(nx, ny, rest, num: int, den: int):
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs whose Jaccard similarity is at least num / den."""
+    """The pairs whose Jaccard similarity is at least num / den.
+
+    Tokens fall into GROUPS groups by their hash; what two documents share is at most the sum of the
+    smaller counts. Only pairs that this bound leaves over get their whole sets.
+    """
 
     def check(batch: pa.RecordBatch) -> pa.RecordBatch:
         ok = []
@@ -205,8 +209,20 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
             ok.append(den * both >= num * (len(x) + len(y) - both))
         return pa.RecordBatch.from_arrays(batch.columns[:2], names=["x", "y"]).filter(pa.array(ok))
 
-    left, right = (sets.select(F.col("doc_id").alias(c), F.col("tokens").alias(t)) for c, t in (("x", "tx"), ("y", "ty")))
-    return map_batches(pairs.join(left, "x").join(right, "y").select("x", "y", "tx", "ty"), check, "x long, y long").distinct()
+    def bound(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ok = []
+        for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+            most = int(np.minimum(x, y).sum())
+            ok.append(den * most >= num * (int(x.sum()) + int(y.sum()) - most))
+        return pa.RecordBatch.from_arrays(batch.columns[:2], names=["x", "y"]).filter(pa.array(ok))
+
+    def beside(some: DataFrame, what: str) -> DataFrame:
+        left, right = (sets.select(F.col("doc_id").alias(c), F.col(what).alias(f"of {c}")) for c in ("x", "y"))
+        return some.join(left, "x").join(right, "y").select("x", "y", "of x", "of y")
+
+    likely = durable(map_batches(beside(pairs, "counts"), bound, "x long, y long").distinct(), "jaccard-likely")
+    return map_batches(beside(likely, "tokens"), check, "x long, y long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -271,10 +287,11 @@ def jaccard_classes(
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        made = [shingle_set(t, width).tobytes() for t in blobs(batch.column(1))]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["doc_id", "tokens"])
+        made = [shingle_set(t, width) for t in blobs(batch.column(1))]
+        counts = [np.bincount((s >> np.uint64(24)).astype(np.int64) % GROUPS, minlength=GROUPS).astype(np.uint32).tobytes() for s in made]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in made], pa.binary()), pa.array(counts, pa.binary())], names=["doc_id", "tokens", "counts"])
 
-    return map_batches(docs.select("doc_id", "text"), make, "doc_id long, tokens binary").where(F.length("tokens") > 0)
+    return map_batches(docs.select("doc_id", "text"), make, "doc_id long, tokens binary, counts binary").where(F.length("tokens") > 0)
 
 
 def _opened(held: DataFrame, groups: DataFrame, num: int, den: int) -> DataFrame:
