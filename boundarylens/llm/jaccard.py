@@ -15,7 +15,7 @@ comparisons as it has members, not their square.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -192,11 +192,12 @@ def _may_link(nx, ny, rest, num: int, den: int):
     return (rest * (num + den) >= num * (nx + ny)) & (den * F.least(nx, ny) >= num * F.greatest(nx, ny))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """The pairs whose Jaccard similarity is at least num / den.
 
     Tokens fall into GROUPS groups by their hash; what two documents share is at most the sum of the
-    smaller counts. Only pairs that this bound leaves over get their whole sets.
+    smaller counts. Only documents of pairs that this bound leaves over get their whole sets, made
+    from their texts once more: reading costs less than to keep and shuffle every set.
     """
 
     def check(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -217,12 +218,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
             ok.append(den * most >= num * (int(x.sum()) + int(y.sum()) - most))
         return pa.RecordBatch.from_arrays(batch.columns[:2], names=["x", "y"]).filter(pa.array(ok))
 
-    def beside(some: DataFrame, what: str) -> DataFrame:
-        left, right = (sets.select(F.col("doc_id").alias(c), F.col(what).alias(f"of {c}")) for c in ("x", "y"))
+    def beside(some: DataFrame, what: str, of: Callable[[np.ndarray], bytes]) -> DataFrame:
+        ids = durable(some.select(F.col("x").alias("doc_id")).union(some.select("y")).distinct(), f"jaccard-{what}-ids")
+        made = durable(_of_sets(docs.join(small_side(ids), "doc_id", "left_semi"), width, of), f"jaccard-{what}")
+        left, right = (made.select(F.col("doc_id").alias(c), F.col("made").alias(f"of {c}")) for c in ("x", "y"))
         return some.join(left, "x").join(right, "y").select("x", "y", "of x", "of y")
 
-    likely = durable(map_batches(beside(pairs, "counts"), bound, "x long, y long").distinct(), "jaccard-likely")
-    return map_batches(beside(likely, "tokens"), check, "x long, y long").distinct()
+    likely = durable(map_batches(beside(pairs, "counts", _group_counts), bound, "x long, y long").distinct(), "jaccard-likely")
+    return map_batches(beside(likely, "tokens", np.ndarray.tobytes), check, "x long, y long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -263,21 +266,19 @@ def jaccard_classes(
     tokens = signed.agg(F.sum(F.length("cold"))).first()[0] or 0
     seldom = durable(_seldom_pairs(nodes, max(8, tokens // 8 // BUCKET_TOKENS), num, den), "jaccard-seldom")
     held = nodes.where(F.size("hot") > 0).select(
-        "doc_id", "n", "hot", F.posexplode("hot").alias("k", "token"), (F.length("cold") / 8).cast("int").alias("ahead")
-    ).select("doc_id", "n", "hot", "token", (F.col("n") - F.col("ahead") - F.col("k")).alias("rest"))
-    held = durable(held.dropDuplicates(["doc_id", "token", "rest"]), "jaccard-frequent")
+        "doc_id", "n", F.posexplode("hot").alias("k", "token"), (F.length("cold") / 8).cast("int").alias("ahead")
+    ).select("doc_id", "n", "token", (F.col("n") - F.col("ahead") - F.col("k")).alias("rest"))
+    held = durable(held.distinct(), "jaccard-frequent")
     best = held.groupBy("token").agg(F.max_by(F.struct("doc_id", "n", "rest"), F.struct("rest", -F.col("doc_id"))).alias("l"), F.count(F.lit(1)).alias("holders")).where("holders > 1")
     star = held.join(best, "token").where(
         (F.col("doc_id") != F.col("l.doc_id")) & _may_link(F.col("n"), F.col("l.n"), F.least("rest", "l.rest"), num, den)
     ).select(F.least("doc_id", "l.doc_id").alias("x"), F.greatest("doc_id", "l.doc_id").alias("y")).distinct()
     first = durable(seldom.union(star).distinct(), "jaccard-first")
-    wanted = durable(first.select(F.col("x").alias("doc_id")).union(first.select("y")).union(held.join(best.select("token"), "token", "left_semi").select("doc_id")).distinct(), "jaccard-wanted")
-    sets = durable(_sets(given.join(small_side(wanted), "doc_id", "left_semi"), width), "jaccard-sets")
-    links = durable(_verified(first, sets, num, den), "jaccard-links")
+    links = durable(_verified(first, given, width, num, den), "jaccard-links")
     groups = components(links)
     second = durable(_opened(held, groups, num, den), "jaccard-opened")
     if not second.isEmpty():
-        links = durable(links.union(_verified(second, sets, num, den)), "jaccard-links")
+        links = durable(links.union(_verified(second, given, width, num, den)), "jaccard-links")
         groups = components(links)
     of_class = classes.join(groups.withColumnRenamed("v", "rep"), "rep", "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component_id"))
     return signed.join(of_class, ["n", "d1", "d2"], "left").select(
@@ -285,13 +286,19 @@ def jaccard_classes(
     )
 
 
-def _sets(docs: DataFrame, width: int) -> DataFrame:
+def _group_counts(tokens: np.ndarray) -> bytes:
+    return np.bincount((tokens >> np.uint64(24)).astype(np.int64) % GROUPS, minlength=GROUPS).astype(np.uint32).tobytes()
+
+
+def _of_sets(docs: DataFrame, width: int, of: Callable[[np.ndarray], bytes]) -> DataFrame:
+    """doc_id and what `of` makes of the shingle set, for documents that have one."""
+
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        made = [shingle_set(t, width) for t in blobs(batch.column(1))]
-        counts = [np.bincount((s >> np.uint64(24)).astype(np.int64) % GROUPS, minlength=GROUPS).astype(np.uint32).tobytes() for s in made]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in made], pa.binary()), pa.array(counts, pa.binary())], names=["doc_id", "tokens", "counts"])
+        sets = [shingle_set(t, width) for t in blobs(batch.column(1))]
+        made = [of(s) if len(s) else None for s in sets]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["doc_id", "made"])
 
-    return map_batches(docs.select("doc_id", "text"), make, "doc_id long, tokens binary, counts binary").where(F.length("tokens") > 0)
+    return map_batches(docs.select("doc_id", "text"), make, "doc_id long, made binary").where("made IS NOT NULL")
 
 
 def _opened(held: DataFrame, groups: DataFrame, num: int, den: int) -> DataFrame:
@@ -309,11 +316,11 @@ def _opened(held: DataFrame, groups: DataFrame, num: int, den: int) -> DataFrame
         F.least("rest", "most") * (num + den) >= num * (F.col("n") + needed)
     )
     opened = query.join(matrix, "token").where(qualifies).select(
-        "token", "other", F.col("doc_id").alias("q"), F.col("n").alias("nq"), F.col("rest").alias("rq"), F.col("hot").alias("hq")
+        "token", "other", F.col("doc_id").alias("q"), F.col("n").alias("nq"), F.col("rest").alias("rq")
     )
     members = grouped.withColumnRenamed("group", "other")
     pairs = opened.join(members, ["token", "other"]).where(
-        _may_link(F.col("n"), F.col("nq"), F.least("rest", "rq"), num, den) & (F.array_min(F.array_intersect("hot", "hq")) == F.col("token"))
+        _may_link(F.col("n"), F.col("nq"), F.least("rest", "rq"), num, den)
     )
     return pairs.select(F.least("q", "doc_id").alias("x"), F.greatest("q", "doc_id").alias("y")).distinct()
 
