@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 from boundarylens.llm.common import blobs, durable, map_batches, python_ready
 
 RANK_ROWS = 8000
-CACHED_WORDS, CACHED_LENGTH = 800_000, 24
+CACHED_WORDS, CACHED_LENGTH = 400_000, 24
 
-_words: dict[tuple[str, int], dict[bytes, bytes]] = {}
+_words: dict[tuple[str, int], tuple[dict[bytes, bytes], dict[bytes, bytes]]] = {}
 _tokenizers: dict[str, object] = {}
 
 
@@ -44,13 +44,19 @@ def _word_ids(path: str, texts: list[bytes]) -> Iterator[bytes]:
     """Token ids (little-endian, 4 bytes each) of every text.
 
     For tokenizers that drop white space and look no further than a word: a text's ids are those of
-    its words one after the other, so that a word is encoded once and looked up from then on.
+    its words one after the other, so that a word is encoded once and looked up from then on. When
+    the cache is full, the words that are met again move on to a new one and the rest go with the one
+    after it.
     """
-    known = _words.setdefault((path, 4), {})
+    known, older = _words.get((path, 4), ({}, {}))
     if len(known) > CACHED_WORDS:
-        known.clear()
+        known, older = {}, known
+    _words[path, 4] = known, older
     split = [t.split() for t in texts]
-    new = list(set(chain.from_iterable(split)) - known.keys())
+    new = set(chain.from_iterable(split)) - known.keys()
+    again = new & older.keys()
+    known.update((w, older[w]) for w in again)
+    new = list(new - again)
     here = known
     if new:
         ids = [pack_ids(f"<{len(e.ids)}I", *e.ids) for e in _tokenizer(path).encode_batch_fast([w.decode() for w in new], add_special_tokens=False)]
