@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from boundarylens.llm.common import blobs, durable, map_batches, python_ready
 
 RANK_ROWS = 8000
-CACHED_WORDS, CACHED_LENGTH = 400_000, 24
+CACHED_WORDS, CACHED_LENGTH = 300_000, 24
 
 _words: dict[tuple[str, int], tuple[dict[bytes, bytes], dict[bytes, bytes]]] = {}
 _tokenizers: dict[str, object] = {}
