@@ -13,7 +13,7 @@ length round by round and drops positions once they are unique. Three things mak
 
 Repeats within a task are settled there, so that a string that a third of all documents hold reaches a
 bucket once for each task. Texts are shuffled once, compressed, to meet what was
-found about them, and then lie in buckets by document, so that the last round's finds join without
+found about them, and then lie in buckets by row, so that the last round's finds join without
 another shuffle.
 """
 
@@ -26,7 +26,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from boundarylens.llm.common import blobs, bucketed, map_batches, python_ready
@@ -99,53 +99,62 @@ def stretches(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np
 _ORDER = np.iinfo(np.int64).max
 
 
-def _first_of(keys: tuple[np.ndarray, ...], doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order by keys, document and start; and which rows in that order are the first of their keys."""
-    order = np.lexsort((start, doc, *keys[::-1]))
-    new = np.zeros(len(order), bool)
-    new[:1] = True
-    for k in keys:
-        new[1:] |= k[order][1:] != k[order][:-1]
-    return order, new
+def _first_of(keys: tuple[np.ndarray, ...], doc: np.ndarray, row: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order by keys, document, row and start; and which entries in that order are the first of their keys.
 
+    Of entries with the same keys and place, as equal rows give, one is left: what is found holds for all of them.
+    """
+
+    def changes(columns: tuple[np.ndarray, ...]) -> np.ndarray:
+        out = np.zeros(len(order), bool)
+        out[:1] = True
+        for c in columns:
+            out[1:] |= c[order][1:] != c[order][:-1]
+        return out
+
+    order = np.lexsort((start, row, doc, *keys[::-1]))
+    new = changes(keys)
+    place = new | changes((doc, row, start))
+    return order[place], new[place]
 
-def _by_document(doc: np.ndarray, start: np.ndarray, span: np.ndarray, code: np.ndarray) -> pd.DataFrame:
-    order = np.lexsort((start, doc))
-    doc, found = doc[order], np.stack([start, span, code], 1).astype(np.int32)[order]
-    cuts = np.flatnonzero(np.diff(doc)) + 1
-    heads = doc[np.concatenate([[0], cuts])] if len(doc) else doc
-    return pd.DataFrame({"doc": heads, "found": [x.tobytes() for x in np.split(found, cuts)] if len(doc) else []})
 
+def _by_row(row: np.ndarray, start: np.ndarray, span: np.ndarray, code: np.ndarray) -> pd.DataFrame:
+    order = np.lexsort((start, row))
+    row, found = row[order], np.stack([start, span, code], 1).astype(np.int32)[order]
+    cuts = np.flatnonzero(row[1:] != row[:-1]) + 1
+    heads = row[np.concatenate([[0], cuts])] if len(row) else row
+    return pd.DataFrame({"row": heads, "found": [x.tobytes() for x in np.split(found, cuts)] if len(row) else []})
 
-_FOUND = "doc long, found binary"
+
+_FOUND = "row long, found binary"
 REPEAT, CONTESTED = 1, 2
 
 
 def _dealt(df: DataFrame, entries: Callable, buckets: int) -> DataFrame:
-    """Entries (a, b, doc, start, span) of the rows of df, dealt by a; what repeats (a, b) within a task is settled: such rows pass through with what was found."""
+    """Entries (a, b, doc, row, start, span) of the rows of df, dealt by a; what repeats (a, b) within a task is settled: such rows pass through with what was found."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            a, b, doc, start, span = (np.concatenate(x) for x in zip(*held, strict=True))
+            a, b, doc, row, start, span = (np.concatenate(x) for x in zip(*held, strict=True))
             b = b.astype(np.uint32)
             press = zstandard.ZstdCompressor(level=1).compress
             held.clear()
-            order, new = _first_of((a, b), doc, start)
-            again, rows = order[~new], order[new]
+            order, new = _first_of((a, b), doc, row, start)
+            again, rows = order[~new], np.sort(order[new])
             out = []
             if len(again):
-                for x in _by_document(doc[again], start[again], span[again], np.full(len(again), REPEAT)).itertuples(index=False):
-                    out.append((x.doc % buckets, x.doc, x.found, b"", b"", b"", b""))
+                for x in _by_row(row[again], start[again], span[again], np.full(len(again), REPEAT)).itertuples(index=False):
+                    out.append((x.row % buckets, x.row, x.found, b"", b"", b"", b"", b""))
             to = ((a[rows] >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
             by = np.argsort(to, kind="stable")
             rows, to = rows[by], to[by]
             for part in np.split(np.arange(len(to)), np.flatnonzero(np.diff(to)) + 1) if len(to) else ():
                 r = rows[part]
-                out.append((int(to[part[0]]), 0, a[r].tobytes(), b[r].tobytes(), press(doc[r].tobytes()), press(start[r].astype(np.int32).tobytes()), press(span[r].astype(np.uint16).tobytes())))
-            kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["bucket", "doc", "a", "b", "docs", "starts", "spans"])
+                out.append((int(to[part[0]]), 0, a[r].tobytes(), b[r].tobytes(), press(doc[r].tobytes()), press(row[r].tobytes()), press(start[r].astype(np.int32).tobytes()), press(span[r].astype(np.uint16).tobytes())))
+            kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 6)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["bucket", "row", "a", "b", "docs", "rows", "starts", "spans"])
 
         n = 0
         for batch in batches:
@@ -160,36 +169,36 @@ def _dealt(df: DataFrame, entries: Callable, buckets: int) -> DataFrame:
             yield from flush()
 
     python_ready(df.sparkSession)
-    return df.mapInArrow(run, "bucket int, doc long, a binary, b binary, docs binary, starts binary, spans binary")
+    return df.mapInArrow(run, "bucket int, row long, a binary, b binary, docs binary, rows binary, starts binary, spans binary")
 
 
 def _ranked(dealt: DataFrame, contest: bool) -> DataFrame:
-    """What is found about each document: windows that repeat, and first stretches whose sample others share."""
+    """What is found about each row: windows that repeat, and first stretches whose sample others share."""
 
     def rank(group: pd.DataFrame) -> pd.DataFrame:
         settled = group["docs"].map(len) == 0
-        passed = group.loc[settled, ["doc", "a"]].rename(columns={"a": "found"})
+        passed = group.loc[settled, ["row", "a"]].rename(columns={"a": "found"})
         group = group[~settled]
         a, b = np.frombuffer(b"".join(group["a"]), np.uint64), np.frombuffer(b"".join(group["b"]), np.uint32)
-        doc, start, span = (
-            np.frombuffer(b"".join(map(zstandard.decompress, group[c])), k) for c, k in (("docs", np.int64), ("starts", np.int32), ("spans", np.uint16))
+        doc, row, start, span = (
+            np.frombuffer(b"".join(map(zstandard.decompress, group[c])), k) for c, k in (("docs", np.int64), ("rows", np.int64), ("starts", np.int32), ("spans", np.uint16))
         )
-        order, new = _first_of((a, b), doc, start)
+        order, new = _first_of((a, b), doc, row, start)
         code = np.where(new, 0, REPEAT)
-        if contest:
+        if contest and len(order):
             sample = np.cumsum(np.concatenate([[True], a[order][1:] != a[order][:-1]])) - 1
             different = np.bincount(sample, new)
             code[new & (different[sample] > 1)] = CONTESTED
         keep = code > 0
         rows = order[keep]
-        return pd.concat([passed, _by_document(doc[rows], start[rows], span[rows], code[keep])], ignore_index=True)
+        return pd.concat([passed, _by_row(row[rows], start[rows], span[rows], code[keep])], ignore_index=True)
 
     return dealt.groupBy("bucket").applyInPandas(rank, _FOUND)
 
 
 def _collected(found: DataFrame) -> DataFrame:
-    """One row per document, of which there can be no more entries than it has windows."""
-    return found.groupBy("doc").agg(F.collect_list("found").alias("found"))
+    """One row per row of the table, of which there can be no more entries than it has windows."""
+    return found.groupBy("row").agg(F.collect_list("found").alias("found"))
 
 
 def _result(text: bytes, covered: list[tuple[np.ndarray, np.ndarray]]) -> tuple[int, int, int, str]:
@@ -216,26 +225,29 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256: one row per row of docs.
 
     A byte goes if a string of `length` bytes that covers it also starts earlier, in a document of
-    smaller id or in the same one. Strings are judged on the input and never cross documents. A null
-    text is empty; texts shorter than `length` stay whole. Rows that share an id are one document:
-    what repeats in one of them counts for all. Null ids come last, as one document. An empty table
-    gives an empty result. Other columns are not read.
+    smaller id or in the same one. Strings are judged on the input and never cross rows. A null
+    text is empty; texts shorter than `length` stay whole. Rows that share an id but not the text come
+    one after the other, by a hash of the text; rows equal in both are the same document, so that
+    neither repeats the other. Rows of null id come last, each a document of its own, also by hash: of
+    those with the same text one counts as the earlier. An empty table gives an empty result. Other
+    columns are not read.
     """
     given = docs.select(
-        F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(_ORDER)).alias("doc"), F.col(text).cast("string").alias("text")
+        F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(_ORDER)).alias("doc"),
+        F.xxhash64(F.col(doc_id).cast("long"), F.col(text).cast("string")).alias("row"), F.col(text).cast("string").alias("text"),
     )
     buckets = 2 * max(4, given.rdd.getNumPartitions())
 
     def sampled(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
-        for doc, t in zip(batch.column(0).to_pylist(), blobs(batch.column(1)), strict=True):
+        for doc, row, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), blobs(batch.column(2)), strict=True):
             gram, whole, start, span = stretches(np.frombuffer(t, np.uint8), length)
-            yield gram, whole, np.full(len(gram), doc, np.int64), start, span
+            yield gram, whole, np.full(len(gram), doc, np.int64), np.full(len(gram), row, np.int64), start, span
 
-    found = _ranked(_dealt(given.select("doc", "text"), sampled, buckets), True)
+    found = _ranked(_dealt(given.select("doc", "row", "text"), sampled, buckets), True)
 
     def settle(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
-        for t, found in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+        for t, found in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
             body = zstandard.decompress(t)
             open_ = _intervals(found or [], CONTESTED, 0)
             if open_ and len(open_[0][0]):
@@ -243,37 +255,42 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id
             else:
                 rows.append((*_result(body, _intervals(found or [], REPEAT, length)), None, None))
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary())
-        return pa.RecordBatch.from_arrays([*batch.columns[:2], *[pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]], names=["doc_id", "doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text", "found"])
+        return pa.RecordBatch.from_arrays([*batch.columns[:3], *[pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]], names=["doc_id", "doc", "row", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text", "found"])
 
     def squeeze(batch: pa.RecordBatch) -> pa.RecordBatch:
         press = zstandard.ZstdCompressor(level=3)
-        return pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([press.compress(t) for t in blobs(batch.column(2))], pa.binary())], names=["doc_id", "doc", "text"])
+        return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([press.compress(t) for t in blobs(batch.column(3))], pa.binary())], names=["doc_id", "doc", "row", "text"])
 
-    pressed = map_batches(given, squeeze, "doc_id long, doc long, text binary")
-    joined = pressed.join(_collected(found).hint("shuffle_hash"), "doc", "left").select("doc_id", "doc", "text", "found")
-    settled = bucketed(map_batches(joined, settle, "doc_id long, doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text binary, found binary"), "doc", "repeats_settled")
+    pressed = map_batches(given, squeeze, "doc_id long, doc long, row long, text binary")
+    joined = pressed.join(_collected(found).hint("shuffle_hash"), "row", "left").select("doc_id", "doc", "row", "text", "found")
+    settled = bucketed(map_batches(joined, settle, "doc_id long, doc long, row long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text binary, found binary"), "row", "repeats_settled")
     open_docs = settled.where("text IS NOT NULL")
 
     def windows(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
-        for doc, t, found in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+        for doc, row, t, found in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             body = np.frombuffer(zstandard.decompress(t), np.uint8)
             x = np.frombuffer(found, np.int32).reshape(-1, 3).astype(np.int64)
             x = x[x[:, 2] == CONTESTED]
             start = np.unique(np.repeat(x[:, 0], x[:, 1] + 1) + np.arange((x[:, 1] + 1).sum()) - np.repeat(np.cumsum(x[:, 1] + 1) - x[:, 1] - 1, x[:, 1] + 1))
-            yield *(_windows(body, start, which, length) for which in (0, 1)), np.full(len(start), doc, np.int64), start, np.zeros(len(start), np.int64)
+            yield *(_windows(body, start, which, length) for which in (0, 1)), np.full(len(start), doc, np.int64), np.full(len(start), row, np.int64), start, np.zeros(len(start), np.int64)
 
-    again = _collected(_ranked(_dealt(open_docs.select("doc", "text", "found"), windows, buckets), False)).withColumnRenamed("found", "again")
+    again = _collected(_ranked(_dealt(open_docs.select("doc", "row", "text", "found"), windows, buckets), False)).withColumnRenamed("found", "again")
 
     def finish(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
-        for t, found, more in zip(*(batch.column(i).to_pylist() for i in range(1, 4)), strict=True):
+        for t, found, more in zip(*(batch.column(i).to_pylist() for i in range(2, 5)), strict=True):
             rows.append(_result(zstandard.decompress(t), _intervals([found], REPEAT, length) + _intervals(more or [], REPEAT, length)))
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
-        return pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-    out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    late = map_batches(open_docs.join(again.hint("shuffle_hash"), "doc", "left").select("doc_id", "text", "found", "again"), finish, out)
-    return settled.where("text IS NULL").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").unionByName(late)
+        return pa.RecordBatch.from_arrays([*batch.columns[:2], *[pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]], names=["doc_id", "row", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+    out = "doc_id long, row long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    late = map_batches(open_docs.join(again.hint("shuffle_hash"), "row", "left").select("doc_id", "row", "text", "found", "again"), finish, out)
+    done = settled.where("text IS NULL").select("doc_id", "row", "n_bytes", "n_removed", "n_spans", "kept_sha256").unionByName(late)
+    # Of rows of null id with the same text all but one go whole.
+    copy = F.row_number().over(Window.partitionBy("row").orderBy("doc_id")) > 1
+    gone = F.col("doc_id").isNull() & (F.col("n_bytes") >= length) & F.col("copy")
+    whole = {"n_removed": F.col("n_bytes"), "n_spans": F.lit(1).cast("long"), "kept_sha256": F.lit(hashlib.sha256(b"").hexdigest())}
+    return done.withColumn("copy", copy).select("doc_id", "n_bytes", *[F.when(gone, v).otherwise(F.col(c)).alias(c) for c, v in whole.items()])
 
 
 def _windows(body: np.ndarray, start: np.ndarray, which: int, length: int) -> np.ndarray:

@@ -337,6 +337,24 @@ def test_repeats_are_removed(messy, empty):
     assert suffix.remove_repeats(empty).count() == 0
 
 
+def test_repeats_of_repeated_rows_and_null_ids(spark, messy):
+    """Equal rows do not repeat each other; rows of null id are documents of their own."""
+    rows = {(r.doc_id, r.text) for r in messy.collect() if r.doc_id is not None}
+    expected = brute_repeats(rows, 100)
+    got = [(i, tuple(x)) for i, *x in rows_of(suffix.remove_repeats(messy))]
+    assert len(got) == messy.count() and all(x == expected[i] for i, x in got if i is not None)
+
+    r = random.Random(11)
+    a, b, long, shared = ("".join(r.choice("abcdefghij") for _ in range(n)) for n in (300, 250, 4000, 120))
+    rows = [(1, a), (1, a), (2, long + "!"), (3, b + "?"), (3, b), (None, a[:200]), (None, "short"), (None, "short"), (None, long + long)]
+    rows += [(None, "n" * 40 + shared), (None, shared + "m" * 40)] + [(None, a[::-1])] * 3
+    got = collections.Counter((i, n, gone) for i, n, gone, *_ in rows_of(suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))))
+    assert got[None, 160, 0] == got[None, 160, 120] == 1
+    assert (got[3, 251, 0], got[3, 250, 250]) in ((1, 1), (0, 0)) and got[3, 250, 250] + got[3, 251, 250] == 1
+    assert got[1, 300, 0] == 2 and got[2, 4001, 0] == 1 and got[None, 200, 200] == 1 and got[None, 8000, 8000] == 1 and got[None, 5, 0] == 2
+    assert got[None, 300, 0] == 1 and got[None, 300, 300] == 2
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_repeats_in_small_alphabets(spark, seed):
     r = random.Random(seed)
