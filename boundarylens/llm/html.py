@@ -32,13 +32,17 @@ LEFT_OUT = frozenset(
     "head title script style noscript template nav footer aside form button select option textarea input iframe object "
     "embed svg canvas audio video map menu dialog datalist fieldset legend".split()
 )
-#: Words in class, id or role of elements that are no content.
+#: Elements among them, and headers, that some pages wrap around their content; the others never hold any.
+WRAPPERS = frozenset("nav footer aside form header menu fieldset dialog".split())
+#: Names of elements that are no content: a whole class, id or role made of these words, perhaps after one of SITE.
 NOISE = frozenset(
     "nav navbar navigation menu menubar header masthead topbar footer bottombar sidebar aside complementary ad ads advert adverts advertisement "
     "sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert toast popup modal overlay newsletter subscribe "
     "subscription signup login share sharing social related recommended comment comments reply replies respond disqus breadcrumb "
     "breadcrumbs pagination pager search form contentinfo widget toolbar skip".split()
 )
+SITE = frozenset(("site", "global"))
+NAMED, TAGGED, HARD = 1, 2, 3
 CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPE = frozenset("html body div article section main aside nav header footer table ul ol dl td th li blockquote form fieldset figure".split())
 BROADCAST_BYTES = 48 * 2**20
@@ -46,10 +50,10 @@ MOST_CELLS = 200_000
 
 
 class Node:
-    __slots__ = ("tag", "noise", "children", "parts", "order")
+    __slots__ = ("tag", "noise", "children", "parts", "spared")
 
-    def __init__(self, tag: str, noise: bool = False):
-        self.tag, self.noise, self.children, self.parts = tag, noise, [], []
+    def __init__(self, tag: str, noise: int = 0):
+        self.tag, self.noise, self.children, self.parts, self.spared = tag, noise, [], [], False
 
     def own(self) -> str:
         """Text directly in the element or in inline elements within it."""
@@ -59,6 +63,14 @@ class Node:
         return "".join(p if isinstance(p, str) else (p.inline() if p.tag in INLINE else " ") for p in self.parts)
 
 
+def _is_noise(name: str) -> bool:
+    words = [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()) if w]
+    if len(words) > 1 and words[0] in SITE:
+        del words[0]
+    # Modifiers such as has-sidebar or no-banner, and parts such as entry-header, have other words, too.
+    return bool(words) and NOISE.issuperset(words)
+
+
 class TreeBuilder(HTMLParser):
     """A forgiving tree: paragraphs and list items close themselves, stray end tags are passed over."""
 
@@ -67,15 +79,18 @@ class TreeBuilder(HTMLParser):
         self.root = Node("#")
         self.stack = [self.root]
 
-    def _noise(self, tag: str, attrs: list) -> bool:
-        if tag in LEFT_OUT:
-            return True
+    def _noise(self, tag: str, attrs: list) -> int:
+        if tag in LEFT_OUT and tag not in WRAPPERS:
+            return HARD
+        named = tag == "form"
         for k, v in attrs:
             if k in ("hidden",) or k == "aria-hidden" and v == "true" or k == "style" and v and re.search(r"display\s*:\s*none", v):
-                return True
-            if k in ("class", "id", "role") and v and tag not in ("html", "body", "article", "main") and NOISE & set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", v).lower())):
-                return True
-        return tag == "header" and not any(n.tag == "article" for n in self.stack)
+                return HARD
+            if k in ("class", "id", "role") and v and tag not in ("html", "body", "article", "main"):
+                named = named or any(map(_is_noise, v.split()))
+        if tag in LEFT_OUT and tag != "form" or tag == "header" and not any(n.tag == "article" for n in self.stack):
+            return TAGGED
+        return NAMED if named else 0
 
     def _close(self, tags: tuple[str, ...]) -> None:
         for i in range(len(self.stack) - 1, 0, -1):
@@ -116,9 +131,66 @@ def parse(html: str) -> Node:
     builder = TreeBuilder()
     builder.feed(html)
     builder.close()
+    _spare(builder.root)
     return builder.root
 
 
+def _outermost(root: Node, wanted: tuple[str, ...], through: int = 0) -> list[Node]:
+    """Outermost elements of these tags, looking into noise of at most that kind."""
+    found, todo = [], [root]
+    while todo:
+        n = todo.pop()
+        if n.noise > through:
+            continue
+        if n.tag in wanted:
+            found.append(n)
+        else:
+            todo += reversed(n.children)
+    return found
+
+
+def _size(nodes: list[Node], through: int = 0) -> int:
+    """Characters of text other than space, looking into noise of at most that kind below the nodes."""
+    total, todo = 0, [p for n in nodes for p in n.parts]
+    while todo:
+        p = todo.pop()
+        if isinstance(p, str):
+            total += len("".join(p.split()))
+        elif p.noise <= through:
+            todo += p.parts
+    return total
+
+
+def _spare(root: Node) -> None:
+    """An element that holds the only articles of a page, or most of its text, is no noise, whatever it is called."""
+    if _outermost(root, ("article", "main")):
+        return
+    inside = _outermost(root, ("article", "main"), TAGGED)
+    if inside:
+        wanted = set(map(id, inside))
+
+        def clear(node: Node) -> bool:
+            if id(node) in wanted:
+                node.spared = True
+                return True
+            holds = any([clear(c) for c in node.children if c.noise < HARD])
+            if holds:
+                node.noise = 0
+            return holds
+
+        clear(root)
+        return
+    left, todo = None, [root]
+    while todo:
+        n = todo.pop()
+        if n.noise == NAMED:
+            left = _size([root]) if left is None else left
+            if _size([n], NAMED) > 4 * left:
+                n.noise, left = 0, None
+        if not n.noise:
+            todo += n.children
+
+
 def skeleton(root: Node) -> list:
     """The block nodes as [tag, hash of own text, children], numbered in document order when read again."""
     return [root.tag, xxhash.xxh32_intdigest(root.own()), [skeleton(c) for c in root.children if c.tag not in INLINE and c.tag not in VOID and not c.noise]]
@@ -188,18 +260,13 @@ def _blocks(node: Node, gone: set[int], out: list[str]) -> None:
 
 
 def _roots(root: Node) -> list[Node]:
-    """Outermost article elements, else main elements, else the whole page."""
+    """Outermost article elements, else main elements, else the whole page.
+
+    Those that only stand in spared elements may be teasers: they must have half of the page's text.
+    """
     for wanted in ("article", "main"):
-        found, todo = [], [root]
-        while todo:
-            n = todo.pop()
-            if n.noise:
-                continue
-            if n.tag == wanted:
-                found.append(n)
-            else:
-                todo += reversed(n.children)
-        if found:
+        found = _outermost(root, (wanted,))
+        if found and not (all(n.spared for n in found) and 2 * _size(found) < _size([root])):
             return found
     return [root]
 

@@ -292,6 +292,19 @@ def test_main_text_of_marked_up_pages():
     assert html.main_text("<div>" * 3000 + "deep") == "deep"
 
 
+def test_names_drop_noise_and_nothing_else():
+    story = "<article><div class='entry-header'><h1>Head</h1></div><p>One two</p></article>"
+    for wrapper in ("class='layout has-sidebar'", "class=no-banner", "id=search-results", "class=form-page", "class=sidebar", "id=form"):
+        assert html.main_text(PAGE % f"<div {wrapper}>{story}</div><div class=ad>Buy</div>") == "Head One two", wrapper
+    assert html.main_text(PAGE % f"<form><div class=widget>{story}</div></form>") == "Head One two"
+    for name in ("ad", "cookie-notice", "site-header", "siteNav", "comments"):
+        assert html.main_text(PAGE % f"<div class='x {name}'>Buy</div><p>Text of its own</p>") == "Text of its own", name
+    assert html.main_text(PAGE % "<div class=widget><div id=notice><p>All of the text there is</p></div></div><p>x</p>") == "All of the text there is x"
+    teaser = html.main_text(PAGE % "<p>A long story that stands in plain paragraphs</p><aside><article>More</article></aside>")
+    assert teaser == "A long story that stands in plain paragraphs More"
+    assert html.main_text(PAGE % f"{story}<aside><article>More</article></aside>") == "Head One two"
+
+
 def test_wrapper_induction_drops_what_is_constant(spark, empty):
     body = "<div><p>Read us daily and tell your friends about it</p><div><h2>Title %d</h2><p>Story number %d of the day, with its own words.</p></div><p>Printed on paper</p></div>"
     pages = [(i, "http://h.example/%d" % i, PAGE % (body % (i, i))) for i in range(12)]
