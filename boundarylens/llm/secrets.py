@@ -1,7 +1,9 @@
 """Secret scan: fixed patterns plus a randomness test battery.
 
 Patterns find assigned secrets, access keys and long hexadecimal strings. Beyond them, every run of
-token characters in a text is a candidate: its encoding is inferred, and three tests ask whether it
+token characters in a text gives candidates: its stretches between signs of equality and what these
+hold between slashes and between other signs, outside the patterns' finds. Of those that overlap the one
+least like writing stays, its p-value times the number tried. A candidate's encoding is inferred, and three tests ask whether it
 looks like random symbols of that encoding's alphabet: a chi-squared test of uniform symbols, a runs
 test about the middle of the alphabet and a test of serial correlation. A candidate that one of these
 rejects is no secret. A last p-value says how likely ordinary writing of the same length would come as
@@ -29,15 +31,23 @@ _ASSIGN = re.compile(rb"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 _HEX = re.compile(rb"[0-9a-f]{32,}")
 _KEYWORDS = (b"passw", b"secret", b"token", b"api")
-_CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=-]{20,}")
+_RUN = re.compile(rb"[A-Za-z0-9+/_=-]{20,}")
+#: Candidates in a run, from long to short; padding belongs to what it ends.
+_PIECES = (re.compile(rb"[A-Za-z0-9+/_-]{20,}=*"), re.compile(rb"[A-Za-z0-9+_-]{20,}=*"), re.compile(rb"[A-Za-z0-9]{20,}=*"))
+_WHOLE = 4096  # from this length on a random token is taken as it is, without a look at its pieces
 
 #: Alphabets tried from the smallest on; the first that has all of a token's symbols is its encoding.
 ENCODINGS = (
     ("hex", "0123456789abcdef"),
     ("hex capitals", "0123456789ABCDEF"),
+    ("letters", "abcdefghijklmnopqrstuvwxyz"),
+    ("capitals", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
     ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
     ("base36", "0123456789abcdefghijklmnopqrstuvwxyz"),
     ("base36 capitals", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
+    ("words", "abcdefghijklmnopqrstuvwxyz0123456789_-/+"),
+    ("words in capitals", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_-/+"),
+    ("mixed letters", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
     ("base62", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
     ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
     ("base64url", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
@@ -49,15 +59,16 @@ BINS, BIN_WIDTH = 400, 0.1  # of -log10 p
 
 
 def _ordinary(alphabet: str) -> np.ndarray:
-    """How ordinary writing uses an alphabet: letters by their frequency (nine in ten lower case where both occur), digits seldom."""
+    """How ordinary writing uses an alphabet: letters by their frequency (nine in ten lower case where both occur), digits seldom, signs between words of one case often."""
     lower = sum(c.islower() for c in alphabet) > 6
+    one_case = alphabet.islower() or alphabet.isupper()
     out = []
     for c in alphabet:
         if c.isalpha():
             case = 1.0 if not lower or not any(x.isupper() for x in alphabet) else (0.9 if c.islower() else 0.1)
             out.append(LETTERS[ord(c.lower()) - 97] * case)
         else:
-            out.append(4.0)
+            out.append(40.0 if one_case and not c.isdigit() else 4.0)
     p = np.array(out)
     return p / p.sum()
 
@@ -132,16 +143,35 @@ def _base_spans(text: bytes) -> list[tuple[int, int, str]]:
 def _candidates(text: bytes, base: list[tuple[int, int, str]], reject: float) -> list[tuple[int, int, str, float]]:
     """Byte spans outside the base ones that pass the battery, with the p-value of ordinary writing."""
     out = []
-    for m in _CANDIDATE.finditer(text):
-        token = m.group()
-        if any(a < m.end() and m.start() < b for a, b, _ in base) or not (any(48 <= c <= 57 for c in token) or not (token.islower() or token.isupper() or token[1:].islower())):
-            continue
-        found = battery(token)
-        if found and min(found[1:4]) >= reject:
-            out.append((m.start(), m.end(), found[0], found[4]))
+    for m in _RUN.finditer(text):
+        at = m.start()
+        for a, b, _ in [*base, (m.end(), m.end(), "")]:
+            if b >= at and a <= m.end():
+                if a - at >= 20:
+                    out += _in_run(text, at, a, reject)
+                at = max(at, b)
     return out
 
 
+def _in_run(text: bytes, start: int, end: int, reject: float) -> list[tuple[int, int, str, float]]:
+    """Of the candidates in a run that pass the battery, those least like writing that do not overlap."""
+    tried, passed = set(), []
+    for pieces in _PIECES:
+        for m in pieces.finditer(text, start, end):
+            span = m.span()
+            if span in tried or any(a <= span[0] and span[1] <= b and b - a >= _WHOLE for a, b, *_ in passed):
+                continue
+            tried.add(span)
+            found = battery(m.group())
+            if found and min(found[1:4]) >= reject:
+                passed.append((*span, found[0], found[4]))
+    out: list[tuple[int, int, str, float]] = []
+    for a, b, encoding, p in sorted(passed, key=lambda x: (x[3], x[0] - x[1], x[0])):
+        if all(b <= c or d <= a for c, d, *_ in out):
+            out.append((a, b, encoding, min(1.0, p * len(tried))))
+    return sorted(out)
+
+
 SCANNED = "doc_id long, base array<struct<kind: string, start: int, end: int>>, more array<struct<kind: string, start: int, end: int, encoding: string, p: double>>"
 
 

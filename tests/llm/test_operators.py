@@ -64,6 +64,27 @@ def test_battery_tells_random_from_regular():
     assert secrets.battery(b"====") is None
 
 
+def test_secrets_inside_longer_runs(spark):
+    r = random.Random(9)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    base62 = letters + letters.lower() + "0123456789"
+    key = lambda alphabet, n=40: "".join(r.choice(alphabet) for _ in range(n))
+    forms = ["AWS_SECRET_ACCESS_KEY={}", "https://h.example/f?sig={}", "https://h.example/path/key_{}", "/srv/some/folder-of/files/{}", "{}", "password=hunter2hunter2 {}"]
+    texts, wanted = [], []
+    for i in range(60):
+        form, k = forms[i % 6], key((letters, letters.lower(), letters + letters.lower())[i // 6 % 3] if i % 6 == 4 else base62)
+        at = len(form.split("{}")[0]) + 2
+        texts.append("x " + form.format(k) + " end")
+        wanted.append((at, at + 40))
+    texts += ["x " + w + " end" for w in ("internationalizationandlocalization", "MAXIMUM_CONNECTION_TIMEOUT_SECONDS=connection/timeout-of-the-service", "/usr/share/applications/settings/default", "configurationManagementService")] * 15
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    found = {x.doc_id: [(s.start, s.end) for s in x.spans if s.kind == "random"] for x in secrets.scan_secrets(docs).collect()}
+    covered = [any(a <= x and y <= b and b - a <= 45 for a, b in found[i]) for i, (x, y) in enumerate(wanted)]
+    assert all(sum(covered[i::6]) >= 8 for i in range(6)), covered
+    assert not any(found[i] for i in range(60, len(texts)))
+    assert secrets._candidates(b"0123456789abcdef" * 2 + key(base62, 30).replace("a", "Z").encode(), [(0, 32, "hex")], 0)[0][:2] == (32, 62)
+
+
 def test_step_up_by_hand():
     # 100 tests, 5 far out: the fifth p of 1e-5 is under 0.01 * 5 / 100.
     assert secrets.step_up({(0, 50): 5, (0, 1): 95}, 0.01) == {0: 50}
