@@ -13,6 +13,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: The characters that separate words: space, tab, line feed, vertical tab, form feed, carriage return.
 #: bytes.split() of Python splits on exactly these.
@@ -23,10 +24,12 @@ _own_folder: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir. Only a local session, as in tests, may do without and gets a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if folder:
         return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not _own_folder:
         _own_folder.append("file://" + tempfile.mkdtemp(prefix="spark-shared-"))
     return _own_folder[0]
@@ -42,13 +45,17 @@ def durable(df: DataFrame, name: str) -> DataFrame:
 def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
     """Write the rows to the shared folder in buckets by key, as many as a shuffle has partitions: joins on the key need no shuffle of them.
 
-    Rows that come from a join on the key lie together already, so each task writes few files.
+    Rows that come from a join on the key lie together already, so each task writes few files. The
+    catalog's entry is only needed until the files are known to the returned DataFrame; the files stay.
     """
     spark = df.sparkSession
     made = f"{name}_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.write.format("parquet").bucketBy(buckets, key).option("path", f"{shared_folder(spark)}/{made}").saveAsTable(made)
-    return spark.table(made)
+    found = spark.table(made)
+    found.schema  # noqa: B018 - resolved here, while the entry is there
+    spark.sql(f"DROP TABLE {made}")
+    return found
 
 
 def python_ready(spark: SparkSession, rows: int = 256) -> None:
@@ -81,7 +88,7 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-def map_batches(df: DataFrame, each, schema: str) -> DataFrame:
+def map_batches(df: DataFrame, each, schema: str | StructType) -> DataFrame:
     """mapInArrow with one function of a record batch; empty batches are passed over."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

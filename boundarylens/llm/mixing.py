@@ -131,13 +131,13 @@ def mixed_documents(
     )
     names = docs.columns
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
-    size = word_count(F.col(f"row.{text}"))
+    size = word_count(F.col(f"row.`{text}`"))
     keyed = held.select(
-        "row", size.alias("size"), _source_key(F.col(f"row.{source}").cast("string")).alias("src")
-    ).withColumn("key", _random_key(F.col(f"row.{doc_id}"), F.col("size"), seed))
+        "row", size.alias("size"), _source_key(F.col(f"row.`{source}`").cast("string")).alias("src")
+    ).withColumn("key", _random_key(F.col(f"row.`{doc_id}`"), F.col("size"), seed))
     copies = keyed.join(cuts, "src").select("row", "size", _taken().alias("taken")).where("taken > 0")
     part = F.least(F.col("size"), F.col("taken") - F.col("turn") * F.col("size"))
     turns = copies.select("row", "size", "taken", F.explode(F.sequence(F.lit(0), F.floor((F.col("taken") - 1) / F.col("size")).cast("int"))).alias("turn"))
-    words = F.regexp_extract_all(F.col(f"row.{text}"), F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
-    cut_text = F.when(part < F.col("size"), F.array_join(F.slice(words, F.lit(1), part.cast("int")), " ")).otherwise(F.col(f"row.{text}"))
+    words = F.regexp_extract_all(F.col(f"row.`{text}`"), F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+    cut_text = F.when(part < F.col("size"), F.array_join(F.slice(words, F.lit(1), part.cast("int")), " ")).otherwise(F.col(f"row.`{text}`"))
     return turns.select(*[(cut_text if c == text else F.col(f"row.`{c}`")).alias(c) for c in names])

@@ -22,6 +22,8 @@ COMMON_WORDS = (
     "der die und den von zu das mit sich auf für ist nicht ein eine als auch dem "
     "el los y a se las del con no por su para es lo más o"
 ).split()
+#: A reference is an array of some 90 numbers, so so many of them take 8 MB; beyond that they are joined by a shuffle.
+MOST_BROADCAST_LANGUAGES = 10_000
 _CODE = {w: chr(0x4E00 + i) for i, w in enumerate(COMMON_WORDS)}
 
 
@@ -32,7 +34,7 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def words_of(text: Column) -> Column:
     """Words as an array; empty for a text without any."""
-    bare = F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+$", "")
+    bare = F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+\z", "")
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, f"{SPACE}+"))
 
 
@@ -80,7 +82,8 @@ def _only(text: Column, kept: str) -> Column:
 def text_statistics(docs: DataFrame, text: str, doc_id: str, lang: str) -> DataFrame:
     """One row per document: the counts the rules need and the two histograms."""
     t = F.coalesce(F.col(text), F.lit(""))
-    base = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"), t.alias("t"))
+    base = docs.select(F.col(doc_id).alias("doc_id"), F.concat(F.lit("="), F.col(lang).cast("string")).alias("lang"), t.alias("t"))
+    base = base.withColumn("lang", F.coalesce("lang", F.lit("")))
     size = F.length("t").cast("long")
     common = let(
         words_of(F.lower("t")),
@@ -132,10 +135,10 @@ def language_references(measured: DataFrame) -> DataFrame:
 
 
 def _compared(measured: DataFrame, references: DataFrame, limits: tuple[float, float], widening: tuple[float, float]) -> DataFrame:
-    """Distances to the language's reference, and whether one of them is over its limit for so many words."""
+    """Distances to the language's (durable) reference, and whether one of them is over its limit for so many words."""
     slack = lambda w: F.lit(w) / F.sqrt(F.greatest(F.col("n_words"), F.lit(1)))
     over = [F.coalesce(c, F.lit(0.0)) > F.lit(most) + slack(w) for c, most, w in zip(("class_distance", "common_distance"), limits, widening, strict=True)]
-    return measured.join(references, "lang", "left").select(
+    return measured.join(F.broadcast(references) if references.count() <= MOST_BROADCAST_LANGUAGES else references, "lang", "left").select(
         *measured.columns, jensen_shannon(F.col("classes"), F.col("lang_classes")).alias("class_distance"),
         jensen_shannon(F.col("common"), F.col("lang_common")).alias("common_distance"),
     ).withColumn("far", over[0] | over[1])
@@ -149,12 +152,12 @@ def quality_rules(
 
     A limit is its base value plus its widening / sqrt(words); class distance first, common words second. Texts under `min_words` words are judged by
     the plain rules alone, as are languages of which no document passes these. A null text is empty and
-    fails; a null language is a language of its own. Every row is judged for itself, repeated ids
+    fails; a null language is a language of its own, not the same as an empty one. Every row is judged for itself, repeated ids
     included. An empty table gives an empty result. Other columns are not read.
     """
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     measured = durable(text_statistics(docs, text, doc_id, lang).withColumn("base_failed", failed), "quality-statistics")
-    first = language_references(measured.where(~F.col("base_failed")))
+    first = durable(language_references(measured.where(~F.col("base_failed"))), "quality-first-references")
     near = _compared(measured.where(~F.col("base_failed")), first, limits, widening).where(~F.col("far"))
     references = durable(language_references(near), "quality-references")
     kept = ~F.col("base_failed") & ((F.col("n_words") < min_words) | ~F.col("far"))

@@ -2,13 +2,15 @@
 
 Two generative models over hashed n-grams of word shapes: one of the target text (documents labelled good), one
 of the raw text (all documents). A document's log importance weight is the sum over its n-grams of
-log p_target - log p_raw. A sample without replacement is drawn by Gumbel top-k: weight plus Gumbel
-noise, the k largest. The noise comes from a hash of the id, so reruns agree.
-
-The labels set the operating point: weights are shifted per n-gram by the cut that separates the
-labelled documents best, and k is the number of documents whose shifted weight is positive, i.e. as
-many as look more like target than not. The k-th largest value is found by histograms of ever
-narrower ranges; documents are never sorted or collected.
+log p_target - log p_raw, shifted per n-gram by the cut that separates the labelled documents best. The
+n-grams of one text depend on one another: a text counts as at most `effective` independent ones, so that
+a long text's weight is its mean per n-gram times that number.
+
+With the shift a weight is the log odds that a document is like the target. The sample's size k is the
+expected number of such documents, the sum of these probabilities over all of them, and the sample is drawn
+without replacement by Gumbel top-k: weight plus Gumbel noise, the k largest. The noise comes from a hash of
+the id, so reruns agree. The k-th largest value is found by histograms of ever narrower ranges; documents
+are never sorted or collected.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from boundarylens.llm.common import blobs, durable, python_ready, word_hashes
 
@@ -112,7 +115,7 @@ def best_cut(good: np.ndarray, bad: np.ndarray) -> float:
     return float((cuts[best[0]] + cuts[best[-1]]) / 2)
 
 
-def _weights(docs: DataFrame, ratio: np.ndarray, columns: list[Column], text: Column, schema: str) -> DataFrame:
+def _weights(docs: DataFrame, ratio: np.ndarray, columns: list[Column], text: Column, schema: str | StructType) -> DataFrame:
     """The given columns with the log weight and the number of n-grams of the text."""
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,51 +162,66 @@ def kth_largest(values: DataFrame, k: int, few: int = 4096) -> float:
 
 def importance_resample(
     docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
-    quality: str = "quality", max_labelled: int = 20_000, prior: float = 8.0, seed: int = 11,
+    quality: str = "quality", max_labelled: int = 20_000, prior: float = 8.0, effective: int = 64, seed: int = 11,
 ) -> DataFrame:
-    """doc_id, n_ngrams, log_weight (shifted), key (with Gumbel noise), kept: one row per document.
+    """doc_id, n_ngrams, log_weight, key (with Gumbel noise), kept: one row per document.
 
     The two models count all documents; labels come from at most `max_labelled` labelled rows, those
     with the smallest hashes of their id. `prior` is the log odds for a document before it is read, so
-    that texts too short to tell are kept. A null or empty text has weight `prior`. Rows with the same
-    id share their noise; ties at the cut are all kept. Without labels of both kinds everything is
-    kept. An empty table gives an empty result. Other columns are not read.
+    that texts too short to tell are kept; `effective` is the number of independent n-grams a text counts
+    as at most. A null or empty text has weight `prior`. Rows with the same id share their noise; ties at
+    the cut are all kept. Without labels of both kinds everything is kept. An empty table gives an empty
+    result. Other columns are not read.
     """
     good = labelled_sample(labels, max_labelled, doc_id, quality)
     ratio = log_ratio(*_counts(docs, good, text, doc_id))
     raw = durable(_weights(docs, ratio, [F.col(doc_id).cast("long")], F.col(text), "doc_id long, raw_weight double, n_ngrams long"), "resample-weights")
-    return _kept(raw, good, prior, seed)[0]
+    cut = _cut(raw, good)
+    keyed = _keyed(raw, F.col("doc_id"), cut, prior, effective, seed)
+    return keyed.select("doc_id", "n_ngrams", "log_weight", "key", (F.col("key") >= F.lit(_lowest(keyed, cut))).alias("kept"))
 
 
-def _kept(raw: DataFrame, good: dict[int, int], prior: float, seed: int) -> tuple[DataFrame, float, float]:
+def _cut(raw: DataFrame, good: dict[int, int]) -> float:
+    """The cut per n-gram from the labelled documents; minus infinity without labels of both kinds."""
     marked = raw.where(F.col("doc_id").isin(list(good)) & (F.col("n_ngrams") > 0)) if len(good) <= 500 else raw.where("n_ngrams > 0").join(
         raw.sparkSession.createDataFrame(list(good.items()), "doc_id long, good int"), "doc_id", "left_semi"
     )
     means = [(good[r["doc_id"]], r["raw_weight"] / r["n_ngrams"]) for r in marked.select("doc_id", "raw_weight", "n_ngrams").collect()]
-    cut = best_cut(np.array([m for g, m in means if g == 1]), np.array([m for g, m in means if g == 0]))
-    shift = F.lit(0.0) if math.isinf(cut) else F.lit(cut) * F.col("n_ngrams")
-    weight = F.lit(math.inf) if math.isinf(cut) else F.col("raw_weight") - shift + F.lit(prior)
-    keyed = raw.withColumn("log_weight", weight).withColumn("key", F.col("log_weight") + gumbel(F.col("doc_id"), seed))
-    k = keyed.where("log_weight > 0").count()
-    lowest = -math.inf if math.isinf(cut) else kth_largest(keyed.select("key"), k)
-    out = keyed.select("doc_id", "n_ngrams", "log_weight", "key", (F.col("key") >= F.lit(lowest)).alias("kept"))
-    return out, cut, lowest
+    of = {g: np.array([m for x, m in means if x == g]) for g in (0, 1)}
+    return best_cut(of[1], of[0]) if len(of[0]) and len(of[1]) else -math.inf
+
+
+def _keyed(raw: DataFrame, doc_id: Column, cut: float, prior: float, effective: int, seed: int) -> DataFrame:
+    """raw with log_weight and key. Without a cut all weights are infinite."""
+    weight = (F.col("raw_weight") - F.lit(cut) * F.col("n_ngrams") + F.lit(prior)) * F.least(F.lit(1.0), F.lit(float(effective)) / F.col("n_ngrams"))
+    weight = F.lit(math.inf) if math.isinf(cut) else F.when(F.col("n_ngrams") == 0, F.lit(prior)).otherwise(weight)
+    return raw.withColumn("log_weight", weight).withColumn("key", F.col("log_weight") + gumbel(doc_id, seed))
+
+
+def _lowest(keyed: DataFrame, cut: float) -> float:
+    """The smallest key in the sample. Probabilities are summed as whole millionths, so that reruns agree."""
+    if math.isinf(cut):
+        return -math.inf
+    chance = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("log_weight")))
+    expected = keyed.agg(F.sum(F.floor(chance * 1e6))).first()[0] or 0
+    return kth_largest(keyed.select("key"), round(expected / 1e6))
 
 
 def resampled_documents(
     docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
-    quality: str = "quality", max_labelled: int = 20_000, prior: float = 8.0, seed: int = 11,
+    quality: str = "quality", max_labelled: int = 20_000, prior: float = 8.0, effective: int = 64, seed: int = 11,
 ) -> DataFrame:
-    """The documents that the sample keeps, with the columns of docs."""
+    """The documents that the sample keeps, with the columns of docs, whatever their names. An empty table gives an empty result."""
     names = docs.columns
     good = labelled_sample(labels, max_labelled, doc_id, quality)
     ratio = log_ratio(*_counts(docs, good, text, doc_id))
-    raw = durable(_weights(docs, ratio, [F.col(doc_id).cast("long")], F.col(text), "doc_id long, raw_weight double, n_ngrams long"), "resample-weights")
-    _, cut, lowest = _kept(raw, good, prior, seed)
+    raw = durable(_weights(docs, ratio, [F.col(f"`{doc_id}`").cast("long").alias("doc_id")], F.col(f"`{text}`"), "doc_id long, raw_weight double, n_ngrams long"), "resample-weights")
+    cut = _cut(raw, good)
     if math.isinf(cut):
         return docs
+    lowest = _lowest(_keyed(raw, F.col("doc_id"), cut, prior, effective, seed), cut)
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
-    kind = held.schema["row"].dataType.simpleString()
-    again = _weights(held, ratio, [F.col("row")], F.col(f"row.`{text}`"), f"row {kind}, raw_weight double, n_ngrams long")
-    key = F.col("raw_weight") - F.lit(cut) * F.col("n_ngrams") + F.lit(prior) + gumbel(F.col(f"row.`{doc_id}`").cast("long"), seed)
-    return again.where(key >= F.lit(lowest)).select(*[F.col(f"row.`{c}`").alias(c) for c in names])
+    schema = StructType(held.schema.fields).add("raw_weight", "double").add("n_ngrams", "long")
+    again = _weights(held, ratio, [F.col("row")], F.col(f"row.`{text}`"), schema)
+    keyed = _keyed(again, F.col(f"row.`{doc_id}`").cast("long"), cut, prior, effective, seed)
+    return keyed.where(F.col("key") >= F.lit(lowest)).select(*[F.col(f"row.`{c}`").alias(c) for c in names])

@@ -9,8 +9,9 @@ test about the middle of the alphabet and a test of serial correlation. A candid
 rejects is no secret. A last p-value says how likely ordinary writing of the same length would come as
 near to uniform. Long tokens tell more than short ones, so these p-values are held against each other
 within strata of length: in each stratum the Benjamini-Hochberg step-up keeps the expected share of
-false finds under `rate`. The step-up works on counts of p-values in fine fixed bins, summed over
-the whole corpus; no candidate is collected.
+false finds under `rate`. Every candidate tried counts as a test, those that the battery rejects too.
+The step-up works on counts of p-values in fine fixed bins, summed over the whole corpus; no candidate
+is collected.
 """
 
 from __future__ import annotations
@@ -140,21 +141,21 @@ def _base_spans(text: bytes) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def _candidates(text: bytes, base: list[tuple[int, int, str]], reject: float) -> list[tuple[int, int, str, float]]:
-    """Byte spans outside the base ones that pass the battery, with the p-value of ordinary writing."""
-    out = []
+def _candidates(text: bytes, base: list[tuple[int, int, str]], reject: float) -> tuple[list[tuple[int, int, str, float]], list[int]]:
+    """Byte spans outside the base ones that pass the battery, with the p-value of ordinary writing; and how many were tried in each stratum."""
+    out, tried = [], [0] * len(STRATA)
     for m in _RUN.finditer(text):
         at = m.start()
         for a, b, _ in [*base, (m.end(), m.end(), "")]:
             if b >= at and a <= m.end():
                 if a - at >= 20:
-                    out += _in_run(text, at, a, reject)
+                    out += _in_run(text, at, a, reject, tried)
                 at = max(at, b)
-    return out
+    return out, tried
 
 
-def _in_run(text: bytes, start: int, end: int, reject: float) -> list[tuple[int, int, str, float]]:
-    """Of the candidates in a run that pass the battery, those least like writing that do not overlap."""
+def _in_run(text: bytes, start: int, end: int, reject: float, by_stratum: list[int]) -> list[tuple[int, int, str, float]]:
+    """Of the candidates in a run that pass the battery, those least like writing that do not overlap. by_stratum counts all that are tried."""
     tried, passed = set(), []
     for pieces in _PIECES:
         for m in pieces.finditer(text, start, end):
@@ -162,6 +163,7 @@ def _in_run(text: bytes, start: int, end: int, reject: float) -> list[tuple[int,
             if span in tried or any(a <= span[0] and span[1] <= b and b - a >= _WHOLE for a, b, *_ in passed):
                 continue
             tried.add(span)
+            by_stratum[sum(span[1] - span[0] >= x for x in STRATA[1:])] += 1
             found = battery(m.group())
             if found and min(found[1:4]) >= reject:
                 passed.append((*span, found[0], found[4]))
@@ -172,20 +174,21 @@ def _in_run(text: bytes, start: int, end: int, reject: float) -> list[tuple[int,
     return sorted(out)
 
 
-SCANNED = "doc_id long, base array<struct<kind: string, start: int, end: int>>, more array<struct<kind: string, start: int, end: int, encoding: string, p: double>>"
+SCANNED = "doc_id long, base array<struct<kind: string, start: int, end: int>>, more array<struct<kind: string, start: int, end: int, encoding: string, p: double>>, tried array<int>"
 
 
 def _scanned(docs: DataFrame, text: str, doc_id: str, reject: float) -> DataFrame:
-    """Per document the base spans and the candidates, in code points."""
+    """Per document the base spans and the candidates, in code points, and how many candidates were tried in each stratum (null: none)."""
     kinds = [pa.int64()]
     kinds.append(pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])))
     kinds.append(pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("encoding", pa.string()), ("p", pa.float64())])))
 
     def scan(batch: pa.RecordBatch) -> pa.RecordBatch:
-        bases, mores = [], []
+        bases, mores, tries = [], [], []
         for t in blobs(batch.column(1)):
             base = _base_spans(t)
-            more = _candidates(t, base, reject)
+            more, tried = _candidates(t, base, reject)
+            tries.append(tried if any(tried) else None)
             at = {0: 0}
             if base or more:
                 starts = np.cumsum((np.frombuffer(t, np.uint8) & 0xC0) != 0x80)
@@ -194,7 +197,7 @@ def _scanned(docs: DataFrame, text: str, doc_id: str, reject: float) -> DataFram
                 point = at.get
             bases.append([{"kind": k, "start": point(a), "end": point(b)} for a, b, k in base])
             mores.append([{"kind": "random", "start": point(a), "end": point(b), "encoding": e, "p": p} for a, b, e, p in more])
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(bases, kinds[1]), pa.array(mores, kinds[2])], names=["doc_id", "base", "more"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(bases, kinds[1]), pa.array(mores, kinds[2]), pa.array(tries, pa.list_(pa.int32()))], names=["doc_id", "base", "more", "tried"])
 
     return map_batches(docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string")), scan, SCANNED)
 
@@ -208,15 +211,18 @@ def _bin(p: Column) -> Column:
     return F.least(F.floor(-F.log10(F.greatest(p, F.lit(1e-300))) / BIN_WIDTH), F.lit(BINS - 1)).cast("int")
 
 
-def step_up(counts: dict[tuple[int, int], int], rate: float) -> dict[int, int]:
-    """The lowest bin that counts as found in each stratum, by Benjamini-Hochberg on binned p-values."""
+def step_up(counts: dict[tuple[int, int], int], tests: dict[int, int], rate: float) -> dict[int, int]:
+    """The lowest bin that counts as found in each stratum, by Benjamini-Hochberg on binned p-values.
+
+    counts: candidates that passed the battery by (stratum, bin). tests: all that were tried by stratum;
+    those that the battery rejected have a p-value of 1.
+    """
     out = {}
     for stratum in {s for s, _ in counts}:
-        tests = sum(n for (s, _), n in counts.items() if s == stratum)
         found, lowest = 0, BINS
         for b in range(BINS - 1, -1, -1):
             found += counts.get((stratum, b), 0)
-            if counts.get((stratum, b)) and 10 ** (-b * BIN_WIDTH) <= rate * found / tests:
+            if counts.get((stratum, b)) and 10 ** (-b * BIN_WIDTH) <= rate * found / tests[stratum]:
                 lowest = b
         out[stratum] = lowest
     return out
@@ -232,15 +238,16 @@ def scan_secrets(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
     random token. Other columns are not read.
     """
     scanned = durable(_scanned(docs, text, doc_id, reject), "secrets-scanned")
-    lowest = step_up(_bin_counts(scanned), rate)
+    lowest = step_up(*_bin_counts(scanned), rate)
     return scanned.select("doc_id", _spans(lowest).alias("spans"))
 
 
-def _bin_counts(scanned: DataFrame) -> dict[tuple[int, int], int]:
-    """Candidates by stratum of length and bin of p; so few rows reach the driver whatever the corpus."""
+def _bin_counts(scanned: DataFrame) -> tuple[dict[tuple[int, int], int], dict[int, int]]:
+    """Candidates by stratum of length and bin of p, and tests by stratum; so few rows reach the driver whatever the corpus."""
     c = scanned.select(F.explode("more").alias("c"))
     rows = c.groupBy(_stratum(F.col("c.end") - F.col("c.start")).alias("s"), _bin(F.col("c.p")).alias("b")).count().collect()
-    return {(r["s"], r["b"]): r["count"] for r in rows}
+    tests = scanned.agg(*[F.sum(F.get("tried", i)) for i in range(len(STRATA))]).first()
+    return {(r["s"], r["b"]): r["count"] for r in rows}, {i: n or 0 for i, n in enumerate(tests)}
 
 
 def _spans(lowest: dict[int, int]) -> Column:
@@ -270,16 +277,17 @@ def digest(scan: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, *, text: str = "text", rate: float = 0.001, reject: float = 0.001, mark: str = "<secret>") -> DataFrame:
     """The documents with every find replaced by a mark (overlapping finds by one); all columns stay, also of rows without finds.
 
-    The first pass measures the corpus for the step-up, the second scans again and replaces.
+    The first pass measures the corpus for the step-up, the second scans again and replaces. A null text
+    stays null; columns may have any names; an empty table gives an empty result.
     """
     names = docs.columns
     scanned = durable(_scanned(docs.select(F.lit(0).alias("id"), F.col(f"`{text}`").alias("body")), "body", "id", reject), "secrets-scanned")
-    lowest = step_up(_bin_counts(scanned), rate)
+    lowest = step_up(*_bin_counts(scanned), rate)
 
     def clean(t: bytes) -> bytes:
         base = _base_spans(t)
         found = [(a, b) for a, b, _ in base]
-        for a, b, _, p in _candidates(t, base, reject):
+        for a, b, _, p in _candidates(t, base, reject)[0]:
             stratum = sum(b - a >= s for s in STRATA[1:])
             if min(int(-math.log10(max(p, 1e-300)) / BIN_WIDTH), BINS - 1) >= lowest.get(stratum, BINS):
                 found.append((a, b))
@@ -295,6 +303,5 @@ def redact(docs: DataFrame, *, text: str = "text", rate: float = 0.001, reject:
         texts = [None if not ok else clean(t).decode() for t, ok in zip(blobs(raw), raw.is_valid().to_pylist(), strict=True)]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["row", "body"])
 
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in names if c != text], F.lit(0).alias("-")).alias("row"), F.col(f"`{text}`").cast("string").alias("body"))
-    kind = held.schema["row"].dataType.simpleString().replace(",-:int", ",`-`:int").replace("<-:int", "<`-`:int")
-    return map_batches(held, replace, f"row {kind}, body string").select(*[(F.col("body") if c == text else F.col(f"row.`{c}`")).alias(c) for c in names])
+    held = docs.select(F.struct(*[F.lit(None).cast("string").alias(c) if c == text else F.col(f"`{c}`") for c in names]).alias("row"), F.col(f"`{text}`").cast("string").alias("body"))
+    return map_batches(held, replace, held.schema).select(*[(F.col("body") if c == text else F.col(f"row.`{c}`")).alias(c) for c in names])

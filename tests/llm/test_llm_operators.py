@@ -82,13 +82,81 @@ def test_secrets_inside_longer_runs(spark):
     covered = [any(a <= x and y <= b and b - a <= 45 for a, b in found[i]) for i, (x, y) in enumerate(wanted)]
     assert all(sum(covered[i::6]) >= 8 for i in range(6)), covered
     assert not any(found[i] for i in range(60, len(texts)))
-    assert secrets._candidates(b"0123456789abcdef" * 2 + key(base62, 30).replace("a", "Z").encode(), [(0, 32, "hex")], 0)[0][:2] == (32, 62)
+    assert secrets._candidates(b"0123456789abcdef" * 2 + key(base62, 30).replace("a", "Z").encode(), [(0, 32, "hex")], 0)[0][0][:2] == (32, 62)
 
 
 def test_step_up_by_hand():
     # 100 tests, 5 far out: the fifth p of 1e-5 is under 0.01 * 5 / 100.
-    assert secrets.step_up({(0, 50): 5, (0, 1): 95}, 0.01) == {0: 50}
-    assert secrets.step_up({(0, 1): 100}, 0.01) == {0: secrets.BINS}
+    assert secrets.step_up({(0, 50): 5, (0, 1): 95}, {0: 100}, 0.01) == {0: 50}
+    assert secrets.step_up({(0, 1): 100}, {0: 100}, 0.01) == {0: secrets.BINS}
+    # The same finds among ten thousand tokens tried are no finds.
+    assert secrets.step_up({(0, 50): 5}, {0: 10_000}, 0.01) == {0: secrets.BINS}
+
+
+def brute_random_spans(texts, rate, reject):
+    """The battery over every piece of every run, and the step-up over all of them at once."""
+    bin_of = lambda p: min(int(-np.log10(max(p, 1e-300)) / secrets.BIN_WIDTH), secrets.BINS - 1)
+    stratum = lambda n: max(i for i, s in enumerate(secrets.STRATA) if n >= s)
+    tests, chosen = [], []
+    for i, t in enumerate(texts):
+        t = t or ""
+        gaps, at = [], 0
+        base = [m.span() for m in ASSIGN.finditer(t) if len(m[2]) >= 8] + [m.span() for m in re.finditer("AKIA[A-Z0-9]{12,}|[0-9a-f]{32,}", t)]
+        for a, b in [*sorted(base), (len(t), len(t))]:
+            gaps += [(at, a)] if a > at else []
+            at = max(at, b)
+        for a, b in gaps:
+            for run in re.finditer("[A-Za-z0-9+/_=-]{20,}", t[a:b]):
+                pieces = {(a + run.start() + m.start(), a + run.start() + m.end()) for c in ("+/_-", "+_-", "") for m in re.finditer(f"[A-Za-z0-9{c}]{{20,}}=*", run[0])}
+                judged = [(x, y, secrets.battery(t[x:y].encode())) for x, y in pieces]
+                # What lies in a random token of 4,096 characters or more is not looked at.
+                whole = [(x, y) for x, y, k in judged if y - x >= 4096 and k and min(k[1:4]) >= reject]
+                pieces -= {(x, y) for x, y in pieces if any(c <= x and y <= d and (c, d) != (x, y) for c, d in whole)}
+                judged = [j for j in judged if j[:2] in pieces]
+                tests += [(stratum(y - x), None) for x, y in pieces]
+                free = sorted((k[4], x - y, x, y) for x, y, k in judged if k and min(k[1:4]) >= reject)
+                out = []
+                for p, _, x, y in free:
+                    if all(y <= c or d <= x for c, d in out):
+                        out.append((x, y))
+                        chosen.append((i, x, y, stratum(y - x), bin_of(min(1.0, p * len(pieces)))))
+    found = set()
+    for s in {c[3] for c in chosen}:
+        n = sum(x == s for x, _ in tests)
+        bins = sorted((c[4] for c in chosen if c[3] == s), reverse=True)
+        ok = [b for b in bins if 10 ** (-b * secrets.BIN_WIDTH) <= rate * sum(x >= b for x in bins) / n]
+        found |= {(i, x, y) for i, x, y, t, b in chosen if t == s and ok and b >= min(ok)}
+    return found
+
+
+def test_random_spans_against_brute_force(spark):
+    r = random.Random(21)
+    base62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key = lambda n: "".join(r.choice(base62 + "+/") for _ in range(n))
+    names = ["configuration", "Service", "provider", "TIMEOUT", "connection", "user_name", "index42", "v2"]
+    texts = [None, "", "a=" * 40]
+    texts += [f"see {key(r.choice([20, 24, 33, 64, 150]))} and KEY={key(44)}== done" for _ in range(25)]
+    texts += [" ".join("_".join(r.choice(names) for _ in range(r.randrange(3, 8))) for _ in range(30)) for _ in range(20)]
+    texts += [f"token = {key(20)}/{key(25)} /{'/'.join(r.choice(names) for _ in range(6))}/{key(40)}"] + ["x" * 60_000 + " " + key(5000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {(d, s.start, s.end) for d, spans in rows_of(secrets.scan_secrets(docs)) for s in spans if s.kind == "random"}
+    assert got == brute_random_spans(texts, 0.001, 0.001) and len(got) > 40
+
+
+def test_ordinary_writing_is_seldom_a_find():
+    """Tokens drawn from the model of ordinary writing are the null hypothesis: their p-values are no smaller than chance has them."""
+    r = np.random.default_rng(3)
+    letters = [chr(97 + i) for i in range(26)]
+    chance = secrets.LETTERS / secrets.LETTERS.sum()
+    p = np.array([secrets.battery("".join(r.choice(letters, 40, p=chance)).encode())[4] for _ in range(3000)])
+    for alpha in (0.1, 0.01):
+        assert (p <= alpha).mean() <= 2.5 * alpha
+    false = 0
+    for k in range(20):
+        bins = collections.Counter(min(int(-np.log10(x) / secrets.BIN_WIDTH), secrets.BINS - 1) for x in p[150 * k : 150 * k + 150])
+        lowest = secrets.step_up({(0, b): n for b, n in bins.items()}, {0: 150}, 0.05)[0]
+        false += any(b >= lowest for b in bins)
+    assert false <= 4
 
 
 def test_redaction_keeps_rows_and_columns(messy, empty):
@@ -96,6 +164,8 @@ def test_redaction_keeps_rows_and_columns(messy, empty):
     assert clean.columns == messy.columns and clean.count() == messy.count()
     assert clean.where("text LIKE '%<secret>%'").count() == 1
     assert clean.where("text IS NULL").count() == messy.where("text IS NULL").count()
+    odd = messy.selectExpr("*", "1 AS `my col`", "2 AS `a.b`", "named_struct('x y', 3) AS `-`")
+    assert secrets.redact(odd).columns == odd.columns and secrets.redact(odd).where("`a.b` = 2 AND `-`.`x y` = 3").count() == odd.count()
     assert secrets.redact(empty).count() == 0 and secrets.scan_secrets(empty).count() == 0
 
 
@@ -169,6 +239,66 @@ def test_quality_counts(messy, empty):
     assert quality.quality_rules(empty).count() == 0
 
 
+def distance(p, q):
+    if not sum(p) or not sum(q):
+        return None
+    x, y = np.array(p) / sum(p), np.array(q) / sum(q)
+    m = (x + y) / 2
+    part = lambda z: float(sum(a * np.log2(a / b) for a, b in zip(z, m, strict=True) if a > 0))
+    return max(0.0, (part(x) + part(y)) / 2) ** 0.5
+
+
+def brute_quality(rows):
+    """(base_failed, kept, class distance, common distance) per row, all in plain Python."""
+    read = []
+    for text, lang in rows:
+        t = text or ""
+        w = [x.decode() for x in words(t)]
+        seen = collections.Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+        covered = {j for i in range(len(w) - 7) if seen[tuple(w[i : i + 8])] > 1 for j in range(i, i + 8)}
+        n = lambda chars, t=t: sum(c in chars for c in t)
+        upper, digits, points, signs = n("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), n("0123456789"), n(".,;:!?'\"()-"), n("#*$%&|<>")
+        wide, spaces = sum(ord(c) > 127 for c in t), len(t) - sum(map(len, w))
+        classes = [upper, digits, points, signs, wide, spaces, len(t) - upper - digits - points - signs - wide - spaces]
+        low = [x.decode() for x in words(t.lower())]
+        common = [low.count(c) for c in quality.COMMON_WORDS]
+        read.append((lang, len(w), len(w) < 20 or 100 * len(covered) > 30 * len(w), classes, [*common, len(w) - sum(common)]))
+
+    def reference(of):
+        out = {}
+        for lang, _, _, classes, common in of:
+            a, b = out.get(lang, (np.zeros(7), np.zeros(len(quality.COMMON_WORDS) + 1)))
+            out[lang] = (a + classes, b + common)
+        return out
+
+    def judge(x, refs):
+        d = [distance(x[3 + k], refs[x[0]][k]) if x[0] in refs else None for k in (0, 1)]
+        far = any((v or 0) > most + wide / max(x[1], 1) ** 0.5 for v, most, wide in zip(d, (0.14, 0.22), (0.8, 1.2), strict=True))
+        return d, far
+
+    plain = [x for x in read if not x[2]]
+    first = reference(plain)
+    refs = reference([x for x in plain if not judge(x, first)[1]])
+    return [(x[2], not x[2] and (x[1] < 40 or not judge(x, refs)[1]), *judge(x, refs)[0]) for x in read]
+
+
+def test_quality_against_brute_force(spark, messy):
+    r = random.Random(8)
+    rows = [(row.text, row.lang) for row in messy.collect()]
+    rows += [("alpha beta \u2028", "en"), ("alpha beta \u0085", "en"), ("a b\r\n", None), ("\u2028", ""), ("one two\n", "")]
+    rows += [(" ".join(r.choice("The house of the river, and water is in a stone".split()) for _ in range(r.randrange(5, 300))), r.choice(["en", "", None])) for _ in range(60)]
+    rows += [(" ".join(r.choice(["Q%%%", "ZZ&&&", "#X$$", "||| 77"]) + str(k) for k in range(120)), "en"), ("漢字 " * 50, "zh"), (" ".join(f"W{i}" for i in range(60)), "en")]
+    df = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate(rows)], "doc_id long, text string, lang string").repartition(3)
+    got = {x.doc_id: x for x in quality.quality_rules(df).collect()}
+    verdicts = set()
+    for i, (failed, kept, class_distance, common_distance) in enumerate(brute_quality(rows)):
+        assert got[i].n_words == len(words(rows[i][0])) and (got[i].base_failed, got[i].kept) == (failed, kept), rows[i]
+        assert got[i].class_distance == (None if class_distance is None else pytest.approx(class_distance, abs=1e-6))
+        assert got[i].common_distance == (None if common_distance is None else pytest.approx(common_distance, abs=1e-6))
+        verdicts.add((failed, kept))
+    assert verdicts == {(True, False), (False, True), (False, False)}
+
+
 def test_jensen_shannon(spark):
     from pyspark.sql import functions as F
 
@@ -418,6 +548,40 @@ def test_resampling_on_held_out_labels(spark):
     assert {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.kept} and kept.columns == docs.columns
 
 
+def test_resampling_against_brute_force(spark):
+    """Weights, keys and the sample in NumPy; the noise of an id comes from the library's hash."""
+    from pyspark.sql import functions as F
+
+    r = random.Random(17)
+    rows = labelled(300)
+    mixed = [" ".join(r.choice(["The", "house", "stands", "BUY!!", "river,", "1000%"] if i % 2 else ["quiet", "by", "a"]) for _ in range(r.randrange(1, 40))) for i in range(100)]
+    rows += [(1000 + i, t, i % 2) for i, t in enumerate(mixed)] + [(2000, None, 1), (2001, "", 0), (1, rows[1][1], 1)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string").repartition(3)
+    known = {i: q for i, _, q in rows if i % 3}
+    labels = spark.createDataFrame(list(known.items()), "doc_id long, quality int")
+    noise = dict(rows_of(docs.select("doc_id", resampling.gumbel(F.col("doc_id"), 11)).distinct()))
+    grams = [resampling.ngram_buckets((t or "").encode()) for _, t, _ in rows]
+    count = lambda some: np.bincount(np.concatenate([np.empty(0, np.int64), *some]), minlength=resampling.BUCKETS)
+    target, raw = count([g for g, (i, _, _) in zip(grams, rows, strict=True) if known.get(i) == 1]) + 1.0, count(grams) + 1.0
+    ratio = np.log(target / target.sum()) - np.log(raw / raw.sum())
+    means = [(known.get(i), ratio[g].mean()) for g, (i, _, _) in zip(grams, rows, strict=True) if len(g) and i in known]
+    cut = resampling.best_cut(np.array([m for q, m in means if q == 1]), np.array([m for q, m in means if q == 0]))
+    weight = [8.0 if not len(g) else (ratio[g].sum() - cut * len(g) + 8) * min(1, 64 / len(g)) for g in grams]
+    keys = [w + noise[i] for w, (i, _, _) in zip(weight, rows, strict=True)]
+    k = round(sum(1 / (1 + np.exp(-w)) for w in weight))
+    lowest = sorted(keys)[-k]
+    got = {r.doc_id: r for r in resampling.importance_resample(docs, labels).collect()}
+    for (i, _, _), w, key in zip(rows, weight, keys, strict=True):
+        assert got[i].log_weight == pytest.approx(w) and got[i].key == pytest.approx(key) and got[i].kept == (key >= lowest - 1e-9)
+    # The sample is no threshold on weights.
+    ordered = sorted(weight)[-k]
+    assert sum(x.kept != (x.log_weight >= ordered) for x in got.values()) > 0
+    odd = docs.selectExpr("doc_id", "text", "1 AS `my col`", "2 AS `a.b`", "struct(3 AS `x y`) AS s")
+    assert resampling.resampled_documents(odd, labels).columns == odd.columns
+    assert {x.doc_id for x in resampling.resampled_documents(odd, labels).collect()} == {i for i, x in got.items() if x.kept}
+    assert resampling.resampled_documents(odd.where("1 = 0"), labels).count() == 0
+
+
 def test_resampling_without_labels_keeps_all(messy, empty, spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert all(r.kept for r in resampling.importance_resample(messy, none).collect())
