@@ -471,10 +471,105 @@ def test_wrapper_induction_drops_what_is_constant(spark, empty):
     assert html.extract_main_text(df.where("1 = 0")).count() == 0
 
 
+def tree(text):
+    return html.Tree(html.parse(text))
+
+
+def reference(text):
+    return html.Reference(tree(text).dump())
+
+
 def test_simple_tree_matching_keeps_order():
-    a = html._numbered(html.skeleton(html.parse("<div><p>x</p><ul><li>1</ul><p>y</p></div>")))
-    pairs = html.match(a, html.parse("<div><p>x</p><p>q</p><p>y</p></div>"))
-    assert [(r[0], n.own()) for r, n in pairs if r[0] == "p"] in ([("p", "y"), ("p", "x")], [("p", "x"), ("p", "y")])
+    a, b = reference("<div><p>x</p><ul><li>1</ul><p>y</p></div>"), tree("<div><p>x</p><p>q</p><p>y</p></div>")
+    pairs = html.Aligner().pairs(a, b)
+    assert [(a.tags[i], b.nodes[j].parts[0]) for i, j in pairs if a.tags[i] == "p"] in ([("p", "y"), ("p", "x")], [("p", "x"), ("p", "y")])
+
+
+def common_size(a, i, b, j):
+    """Simple tree matching as its definition has it."""
+    if a.tags[i] != b.tags[j]:
+        return 0
+    x, y = a.kids[i], b.kids[j]
+    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for p in range(len(x)):
+        for q in range(len(y)):
+            best[p + 1][q + 1] = max(best[p][q + 1], best[p + 1][q], best[p][q] + common_size(a, x[p], b, y[q]))
+    return 1 + best[-1][-1]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_alignment_against_brute_force(seed):
+    r = random.Random(seed)
+
+    def grown(depth):
+        if not depth or r.random() < 0.3:
+            return "<p>%s</p>" % r.choice("abc")
+        tag = r.choice(["div", "ul", "section"])
+        return f"<{tag}>{''.join(grown(depth - 1) for _ in range(r.randrange(0, 5)))}</{tag}>"
+
+    aligner = html.Aligner()
+    for _ in range(60):
+        x, y = grown(4) + grown(3), grown(4) + grown(3)
+        a, b = reference(x), tree(y)
+        pairs = aligner.pairs(a, b)
+        assert aligner.size(aligner.number(a)[0], aligner.number(b)[0]) == common_size(a, 0, b, 0)
+        up_a = {k: i for i in range(len(a.tags)) for k in a.kids[i]}
+        met = dict(pairs)
+        assert len(met) == len(pairs) == len(set(met.values()))
+        for i, j in pairs:
+            assert a.tags[i] == b.tags[j] and (i == 0 or met[up_a[i]] == b.up[j])
+        for i, j in pairs:  # the children of every pair are paired as well as can be
+            worth = lambda p, q: (n := common_size(a, p, b, q)) and n + (a.hashes[p] == b.hashes[q])
+            best = [[0] * (len(b.kids[j]) + 1) for _ in range(len(a.kids[i]) + 1)]
+            for p, k in enumerate(a.kids[i]):
+                for q, m in enumerate(b.kids[j]):
+                    best[p + 1][q + 1] = max(best[p][q + 1], best[p + 1][q], best[p][q] + worth(k, m))
+            assert sum(worth(k, met[k]) for k in a.kids[i] if k in met) == best[-1][-1]
+            assert all((i < k) == (j < m) for k, m in pairs if up_a.get(k) == up_a.get(i) and k != i)
+
+
+def test_alignment_of_many_siblings_and_deep_trees():
+    """Long lists give the same as short code paths: one inserted paragraph shifts nothing."""
+    words_ = [f"w{i}" for i in range(3000)]
+    a = reference("<div>" + "".join(f"<p>{w}</p>" for w in words_) + "</div>")
+    b = tree("<div><p>new</p>" + "".join(f"<p>{w}</p>" for k, w in enumerate(words_) if k % 500) + "<p>last</p></div>")
+    pairs = html.Aligner().pairs(a, b)
+    equal = sum(a.hashes[i] == b.hashes[j] for i, j in pairs if a.tags[i] == "p")
+    assert equal == 3000 - 6 and len(pairs) == 2 + 2994 + 1
+    deep = "<div>" * 5000 + "<p>x</p>"
+    assert len(html.Aligner().pairs(reference(deep), tree(deep))) == 5002
+    evil = "<div>" * 450 + "<script>var evil=1;</script><nav>menu</nav><p>body</p>"
+    assert html.main_text(evil) == "body"
+    assert html.main_text("<b>" * 3000 + "x</i></b>y") == "xy"
+
+
+def test_slots_decide_without_tags(spark):
+    """Two layouts on one host, no article element: the slot bounds the content, and copies make nothing constant."""
+    r = random.Random(12)
+    line = lambda n: " ".join(r.choice("stone river house bird cloud tree field water road hill".split()) for _ in range(n))
+    pages, expected = [], {}
+
+    def add(i, text, body):
+        pages.append((i, f"http://h.example/{i}", f"<html><body>{body}</body></html>"))
+        expected[i] = text
+
+    for i in range(30):
+        title, one, two = line(3), line(25), line(30)
+        story = f"<div class=article-header><h2>{title}</h2></div><p>{one}</p><p class=search-term>{two}</p><section id=reply-to-critics>{line(9)} {i}</section>"
+        body = f"<div class=top><p>Read us daily and tell your friends</p></div><div class=page><div class=story>{story}<p>All rights are ours alone</p></div><div class=more><p><a href=x>{line(4)}</a></p></div></div><div class=end><p>Printed on paper</p></div>"
+        add(i, " ".join(re.sub("<[^>]*>", " ", story).split()), body)
+    for i in range(30, 42):
+        one = line(40)
+        add(i, f"{one} {i}", f"<div class=head-{i}><p>Another part of the house, {'x' * 5}</p></div><div class=text><div><p>{one}</p><p>{i}</p></div></div>")
+    copy = [line(30) for _ in range(5)]
+    for i in range(50, 90):
+        text = [*copy[:4], line(12) + f" {i}"]
+        add(i, " ".join(text), "<div class=copied>" + "".join(f"<p>{t}</p>" for t in text) + "</div>")
+    got = {x.page_id: x.text for x in html.extract_main_text(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(4)).collect()}
+    assert {i: got[i] for i in range(42)} == {i: expected[i] for i in range(42)}
+    assert {i: got[i] for i in range(50, 90)} == {i: expected[i] for i in range(50, 90)}
+    alone = {x.page_id: x.text for x in html.extract_main_text(spark.createDataFrame(pages[:2], "page_id long, url string, html string")).collect()}
+    assert all(alone[i] != expected[i] for i in (0, 1))  # two pages are no group: it is the wrapper that decides
 
 
 # Repeated strings
