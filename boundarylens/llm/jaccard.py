@@ -5,12 +5,14 @@ similarity t share a token among the first n - ceil(tn) + 1 of either, in any co
 the order here puts tokens that many documents hold last (found from a hash sample of documents: any
 order gives the same result, a good one gives few candidates), the rest by hash.
 
-Documents that share seldom tokens are compared at once. For frequent ones, similar documents are first
+Documents that share a token of few holders are compared at once. For tokens with more (known to be frequent
+from the sample, or found to have over MOST_PAIRED holders where they meet), similar documents are first
 gathered in groups: all holders of a token are compared with the one that has the fewest other tokens,
 and what is linked becomes a group. The matrix then has for every token and group the most tokens that
 any member can still share and the range of member sizes. A document is bound against each group of its
 tokens, and only groups that may hold a partner are opened. So a group of copies costs as many
-comparisons as it has members, not their square.
+comparisons as it has members, not their square. Tokens with so many holders that one would weigh on a task
+are dealt over several; there can only be few of them, so they are known everywhere by a broadcast.
 """
 
 from __future__ import annotations
@@ -21,14 +23,19 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boundarylens.llm.common import blobs, durable, map_batches, python_ready, small_side, word_hashes
+from boundarylens.llm.common import WORD, blobs, durable, map_batches, python_ready, small_side, word_hashes
 
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 SAMPLE, FREQUENT, MOST_FREQUENT = 8, 3, 2**17
 BUCKET_TOKENS, FLUSH, GROUPS = 600_000, 400_000, 256
+MOST_PAIRED = 64
+#: A token is heavy from this many holders on, and from this share of all holdings; so there are at most HEAVY_SHARE of them.
+HEAVY, HEAVY_SHARE = 1000, 100_000
+#: Rows without an id stand under ids from here on.
+NAMELESS = 2**62
 
 
 def shingle_set(text: bytes, width: int) -> np.ndarray:
@@ -133,7 +140,10 @@ def signatures(docs: DataFrame, frequent: np.ndarray, width: int, num: int, den:
 
 
 def _seldom_pairs(nodes: DataFrame, buckets: int, num: int, den: int) -> DataFrame:
-    """Pairs x < y that share a seldom prefix token and may reach the threshold by their sizes and the token's places."""
+    """Pairs x < y that share a prefix token of few holders and may reach the threshold by their sizes and the token's places.
+
+    Tokens of more holders give rows (x = y, token, n, rest) instead, one per holder.
+    """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -145,12 +155,9 @@ def _seldom_pairs(nodes: DataFrame, buckets: int, num: int, den: int) -> DataFra
                 columns = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]], names=["bucket", "tokens", "docs", "ns", "places"])
 
-        n, seen = 0, set()
+        n = 0
         for batch in batches:
             for doc, size, cold in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if (doc, hash(cold)) in seen:
-                    continue
-                seen.add((doc, hash(cold)))
                 t = np.frombuffer(cold, np.uint64)
                 held.append((t, np.full(len(t), doc, np.int64), np.full(len(t), size, np.int32), np.arange(len(t), dtype=np.int32)))
                 n += len(t)
@@ -169,22 +176,27 @@ def _seldom_pairs(nodes: DataFrame, buckets: int, num: int, den: int) -> DataFra
         tokens, docs, ns, places = tokens[order], docs[order], ns[order].astype(np.int64), places[order]
         ends = np.append(np.flatnonzero(np.diff(tokens)) + 1, len(tokens))
         starts = np.append(0, ends[:-1])
-        found = []
+        found, many = [], np.zeros(len(tokens), bool)
         for a, b in zip(starts[ends - starts > 1], ends[ends - starts > 1], strict=True):
-            for lo in range(a, b, 1024):  # in blocks: rows lo.. against all after them
-                x, y = np.nonzero(np.arange(a, b)[None, :] > np.arange(lo, min(lo + 1024, b))[:, None])
-                x, y = x + lo, y + a
-                rest = np.minimum(ns[x] - places[x], ns[y] - places[y])
-                ok = (rest * (num + den) >= num * (ns[x] + ns[y])) & (den * np.minimum(ns[x], ns[y]) >= num * np.maximum(ns[x], ns[y])) & (docs[x] != docs[y])
-                if ok.any():
-                    x, y = docs[x[ok]], docs[y[ok]]
-                    found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
+            if b - a > MOST_PAIRED:
+                many[a:b] = True
+                continue
+            x, y = np.triu_indices(b - a, 1)
+            x, y = x + a, y + a
+            rest = np.minimum(ns[x] - places[x], ns[y] - places[y])
+            ok = (rest * (num + den) >= num * (ns[x] + ns[y])) & (den * np.minimum(ns[x], ns[y]) >= num * np.maximum(ns[x], ns[y])) & (docs[x] != docs[y])
+            if ok.any():
+                x, y = docs[x[ok]], docs[y[ok]]
+                found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
         pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
-        return pd.DataFrame({"x": pairs[:, 0], "y": pairs[:, 1]})
+        one = pd.DataFrame({"x": pairs[:, 0], "y": pairs[:, 1], "token": 0, "n": 0, "rest": 0})
+        token = (np.int64(group["bucket"].iloc[0]) << 32) | tokens[many].astype(np.int64) if many.any() else np.empty(0, np.int64)
+        two = pd.DataFrame({"x": docs[many], "y": docs[many], "token": token, "n": ns[many], "rest": ns[many] - places[many]})
+        return pd.concat([one, two], ignore_index=True)
 
     python_ready(nodes.sparkSession)
     dealt = nodes.where(F.length("cold") > 0).select("doc_id", "n", "cold").mapInArrow(deal, "bucket int, tokens binary, docs binary, ns binary, places binary")
-    return dealt.groupBy("bucket").applyInPandas(pair, "x long, y long").distinct()
+    return dealt.groupBy("bucket").applyInPandas(pair, "x long, y long, token long, n int, rest int")
 
 
 def _may_link(nx, ny, rest, num: int, den: int):
@@ -251,12 +263,28 @@ def jaccard_classes(
 
     Words are separated by ASCII white space and compared with A-Z in lower case. A null or blank text
     has no shingles, links with nothing and is its own component, as is every document without a
-    partner. Rows that share an id are one document: linked to whatever either of them links to. A null
-    id stays null unless a class with an id takes it in. An empty table gives an empty result. Other
-    columns are not read.
+    partner. Rows that share an id are one document: linked to whatever either of them links to. Rows
+    with a null id take part like all others, those of equal text as one document; their id stays null,
+    and so does the component of documents that reach no id. Ids must be under 2 ** 62. An empty table
+    gives an empty result. Other columns are not read.
     """
+    null_of = lambda c: F.when(F.col(c) < NAMELESS, F.col(c)).alias(c)
+    return _classes(docs, text, doc_id, width, threshold).select(null_of("doc_id"), "n_shingles", null_of("component_id"))
+
+
+def node_id(doc_id: Column, text: Column) -> Column:
+    """The id, or one from the text for rows without."""
+    return F.coalesce(doc_id.cast("long"), F.lit(NAMELESS) + F.pmod(F.xxhash64(text.cast("string")), F.lit(NAMELESS)))
+
+
+def _heavy(holdings: int) -> int:
+    return max(HEAVY, -(-holdings // HEAVY_SHARE))
+
+
+def _classes(docs: DataFrame, text: str, doc_id: str, width: int, threshold: tuple[int, int]) -> DataFrame:
+    """jaccard_classes with ids for the rows that have none."""
     num, den = threshold
-    given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    given = docs.select(node_id(F.col(f"`{doc_id}`"), F.col(f"`{text}`")).alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     frequent = frequent_tokens(given, width)
     signed = durable(signatures(given, frequent, width, num, den), "jaccard-signatures")
     classes = signed.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"))
@@ -264,13 +292,19 @@ def jaccard_classes(
     stand = small_side(classes.select(F.col("rep").alias("doc_id")).where("doc_id IS NOT NULL"))
     nodes = signed.where("n > 0").join(stand, "doc_id", "left_semi")
     tokens = signed.agg(F.sum(F.length("cold"))).first()[0] or 0
-    seldom = durable(_seldom_pairs(nodes, max(8, tokens // 8 // BUCKET_TOKENS), num, den), "jaccard-seldom")
+    met = durable(_seldom_pairs(nodes, max(8, tokens // 8 // BUCKET_TOKENS), num, den), "jaccard-met")
+    seldom = met.where("x <> y").select("x", "y").distinct()
     held = nodes.where(F.size("hot") > 0).select(
         "doc_id", "n", F.posexplode("hot").alias("k", "token"), (F.length("cold") / 8).cast("int").alias("ahead")
     ).select("doc_id", "n", "token", (F.col("n") - F.col("ahead") - F.col("k")).alias("rest"))
-    held = durable(held.distinct(), "jaccard-frequent")
+    held = held.union(met.where("x = y").select(F.col("x").alias("doc_id"), "n", "token", "rest"))
+    held = durable(held.groupBy("doc_id", "n", "token").agg(F.max("rest").alias("rest")), "jaccard-frequent")
     best = held.groupBy("token").agg(F.max_by(F.struct("doc_id", "n", "rest"), F.struct("rest", -F.col("doc_id"))).alias("l"), F.count(F.lit(1)).alias("holders")).where("holders > 1")
-    star = held.join(best, "token").where(
+    best = durable(best, "jaccard-stars")
+    heavy = F.col("holders") >= _heavy(held.count())
+    few = F.broadcast(best.where(heavy))
+    starred = held.join(few, "token").unionByName(held.join(few.select("token"), "token", "left_anti").join(best.where(~heavy), "token"))
+    star = starred.where(
         (F.col("doc_id") != F.col("l.doc_id")) & _may_link(F.col("n"), F.col("l.n"), F.least("rest", "l.rest"), num, den)
     ).select(F.least("doc_id", "l.doc_id").alias("x"), F.greatest("doc_id", "l.doc_id").alias("y")).distinct()
     first = durable(seldom.union(star).distinct(), "jaccard-first")
@@ -305,17 +339,30 @@ def _opened(held: DataFrame, groups: DataFrame, num: int, den: int) -> DataFrame
     """Pairs x < y of different groups from the groups that the matrix can't rule out."""
     grouped = held.join(groups.withColumnRenamed("v", "doc_id"), "doc_id", "left").withColumn("group", F.coalesce("component", "doc_id")).drop("component")
     grouped = durable(grouped, "jaccard-grouped")
-    matrix = grouped.groupBy("token", "group").agg(F.max("rest").alias("most"), F.min("n").alias("smallest"), F.max("n").alias("largest"))
-    open_tokens = matrix.groupBy("token").agg(F.min("group").alias("a"), F.max("group").alias("b")).where("a <> b").select("token")
-    matrix = matrix.join(open_tokens, "token", "left_semi").withColumnRenamed("group", "other")
-    query = grouped.join(open_tokens, "token", "left_semi")
+    matrix = grouped.groupBy("token", "group").agg(F.max("rest").alias("most"), F.min("n").alias("smallest"), F.max("n").alias("largest"), F.count(F.lit(1)).alias("members"))
+    matrix = durable(matrix, "jaccard-matrix")
+    # Tokens of one group alone open nothing. Heavy ones meet on a grid: queries and groups are cut in parts, and each part of one side stands with all of the other.
+    tokens = matrix.groupBy("token").agg(F.count(F.lit(1)).alias("groups"), F.sum("members").alias("holders")).where("groups > 1")
+    tokens = durable(tokens.select("token", "holders", F.ceil(F.col("groups") / HEAVY).cast("int").alias("across"), F.ceil(F.col("holders") / HEAVY).cast("int").alias("down")), "jaccard-open-tokens")
+    heavy = F.col("holders") >= _heavy(grouped.count())
+    few = F.broadcast(tokens.where(heavy).select("token", "across", "down"))
+    light = tokens.where(~heavy).select("token")
+
+    def dealt(side: DataFrame, own: str, count: str, other: str, others: str) -> DataFrame:
+        """Rows of open tokens with the cell of the grid they stand in."""
+        cut = side.join(few, "token").withColumn(own, F.pmod(F.xxhash64("doc_id" if own == "row" else "group"), F.col(count)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(others) - 1)))
+        plain = side.join(few.select("token"), "token", "left_anti").join(light, "token", "left_semi")
+        return cut.drop("across", "down").unionByName(plain.withColumn(own, F.lit(0)).withColumn(other, F.lit(0)))
+
+    query = dealt(grouped, "row", "down", "column", "across")
+    matrix = dealt(matrix, "column", "across", "row", "down").withColumnRenamed("group", "other")
     # The nearest size a member can have decides the bound: the query's own where the range holds it.
     near = F.greatest(F.least("n", "largest"), "smallest")
     needed = F.greatest("smallest", F.ceil(F.col("n") * num / den))
     qualifies = (F.col("other") < F.col("group")) & (den * F.least(F.col("n"), near) >= num * F.greatest(F.col("n"), near)) & (
         F.least("rest", "most") * (num + den) >= num * (F.col("n") + needed)
     )
-    opened = query.join(matrix, "token").where(qualifies).select(
+    opened = query.join(matrix, ["token", "row", "column"]).where(qualifies).select(
         "token", "other", F.col("doc_id").alias("q"), F.col("n").alias("nq"), F.col("rest").alias("rq")
     )
     members = grouped.withColumnRenamed("group", "other")
@@ -328,8 +375,13 @@ def _opened(held: DataFrame, groups: DataFrame, num: int, den: int) -> DataFrame
 def representatives(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", width: int = 5, threshold: tuple[int, int] = (4, 5)) -> DataFrame:
     """The documents that stay when of each component only the one with the smallest id does; all columns stay.
 
-    Documents without shingles and those without an id all stay.
+    Documents without shingles all stay. Of a component in which no document has an id, the rows of one text
+    stay; of rows without id that have the same text, one does. An empty table gives an empty result.
     """
-    found = jaccard_classes(docs, text=text, doc_id=doc_id, width=width, threshold=threshold)
+    found = _classes(docs, text, doc_id, width, threshold)
     gone = durable(found.where("n_shingles > 0 AND component_id <> doc_id").select(F.col("doc_id").alias("gone id")).distinct(), "jaccard-gone")
-    return docs.join(small_side(gone), docs[f"`{doc_id}`"].cast("long") == F.col("gone id"), "left_anti")
+    key = node_id(docs[f"`{doc_id}`"], docs[f"`{text}`"])
+    kept = docs.withColumn("node id", key).join(small_side(gone), F.col("node id") == F.col("gone id"), "left_anti")
+    blank = F.regexp_count(F.coalesce(docs[f"`{text}`"].cast("string"), F.lit("")), F.lit(WORD)) == 0
+    single = docs[f"`{doc_id}`"].isNotNull() | blank
+    return kept.where(single).unionByName(kept.where(~single).dropDuplicates(["node id"])).drop("node id")

@@ -342,6 +342,9 @@ def test_top_k_is_exact(spark):
     vectors += [(3000, [0.5, -0.5]), (3050, []), (None, [0.1] * 16), (7, vectors[7][1])]
     df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").withColumnRenamed("x", "x").selectExpr("*", "1 AS id", "2 AS score").repartition(3)
     assert sorted(rows_of(topk.top_k(df))) == brute_top(vectors)
+    twice = df.union(df.where("vec_id = 100").selectExpr("vec_id", "transform(embedding, x -> x - 0.5D) AS embedding", "1 AS id", "2 AS score"))
+    smaller = [(i, [x - 0.5 for x in v]) for i, v in vectors if i == 100]
+    assert sorted(x for x in rows_of(topk.top_k(twice)) if x[0] == 100) == [x for x in brute_top(smaller + [v for v in vectors if v[0] != 100]) if x[0] == 100]
     assert topk.top_k(df.where("1 = 0")).count() == 0
     assert len(rows_of(topk.top_k(df.where("vec_id IN (0, 1)")))) == 1
 
@@ -379,9 +382,43 @@ def test_jaccard_classes(messy, empty):
     assert kept.columns == messy.columns
     wanted = {i for i, (n, c) in expected.items() if c == i}
     assert {r.doc_id for r in kept.collect()} == wanted | {None}
+    assert jaccard.representatives(empty).count() == 0
     assert jaccard.jaccard_classes(empty).count() == 0
 
 
+def test_jaccard_rows_without_ids(spark):
+    """They link like others: two ids that only meet through such a row are one component, and of copies one stays."""
+    base = [f"w{i}" for i in range(60)]
+    one, two = list(base), list(base)
+    one[3], two[50] = "x", "y"
+    rows = [(4, " ".join(one)), (None, " ".join(base)), (9, " ".join(two))]
+    other = " ".join(f"v{i}" for i in range(30))
+    rows += [(None, other)] * 5 + [(None, other + " end"), (None, ""), (None, None), (None, "alone here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = collections.Counter(rows_of(jaccard.jaccard_classes(df)))
+    assert got[4, 56, 4] == got[9, 56, 4] == got[None, 56, 4] == 1 and got[None, 26, None] == 5 and got[None, 27, None] == 1 and got[None, 0, None] == 2
+    kept = [r.text for r in jaccard.representatives(df).collect()]
+    assert len(kept) == 5 and sum((t or "").startswith("v0") for t in kept) == 1 and " ".join(one) in kept
+
+
+def test_jaccard_heavy_tokens(spark, monkeypatch):
+    """With low limits every path for heavy tokens is taken; links are the same."""
+    monkeypatch.setattr(jaccard, "HEAVY", 8)
+    monkeypatch.setattr(jaccard, "MOST_FREQUENT", 5)
+    r = random.Random(14)
+    base = [f"w{i}" for i in range(40)]
+    rows = []
+    for i in range(200):
+        w = list(base)
+        for _ in range(r.choice([0, 1, 1, 2, 3, 5])):
+            w[r.randrange(40)] = f"c{r.randrange(9)}"
+        rows.append((i, " ".join(w)))
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows += [(1000 + i, " ".join(f"u{i % 90}x{k}" for k in range(r.choice([2, 3, 4, 9]))) + " " + passage) for i in range(150)]
+    got = {i: (n, c) for i, n, c in rows_of(jaccard.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)))}
+    assert got == brute_classes(rows)
+
+
 def test_jaccard_groups_of_many_near_copies(spark):
     """A hot group: copies of one text with a few words changed, some of which only link through others."""
     base = [f"w{i}" for i in range(150)]
