@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from boundarylens.llm.common import durable, python_ready
 
 BLOCK_ROWS, BLOCK_QUERIES = 8192, 128
+MOST_PARTS = 2048  # partitions of the search, or four for each core if that is more
 
 
 def quantised(vector: Column, scale: int = 256) -> Column:
@@ -118,8 +119,8 @@ def top_k(
     """query_id, rank (from 1), vec_id, score: for every vector whose id is divisible by `every` its k best others.
 
     Vectors null or holding null or non-finite components, and rows with a null id, take no part; of
-    vectors of unequal length the missing components count as 0, an empty one scores 0. Rows that share
-    an id with the query are not its candidates; other repeated rows are candidates each. An empty table
+    vectors of unequal length the missing components count as 0, an empty one scores 0. Of rows that share
+    an id divisible by `every` the smallest quantised vector asks. Rows that share an id with the query are not its candidates; other repeated rows are candidates each. An empty table
     gives an empty result. Other columns are not read.
     """
     spark = vectors.sparkSession
@@ -129,7 +130,7 @@ def top_k(
     blocks = max(1, -(-kept.count() // BLOCK_ROWS))
     python_ready(spark, 10_000)
     index = durable(_index(kept, blocks), "topk-index")
-    asked = kept.where(F.col("id") % every == 0).dropDuplicates(["id", "q"])
+    asked = kept.where(F.col("id") % every == 0).groupBy("id").agg(F.min("q").alias("q"))
     groups = max(1, -(-asked.count() // BLOCK_QUERIES))
     asked = asked.withColumn("group", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int")).groupBy("group").agg(F.collect_list(F.struct("id", "q")).alias("queries"))
     sent = asked.select("group", "queries", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
@@ -160,6 +161,10 @@ def top_k(
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
 
-    matched = sent.join(index, "block").select("queries", "ids", "low", "widths", "slices").mapInArrow(search, "query_id long, vec_id long, score long")
+    # A pair of query group and block is a task's work of equal size, so pairs are dealt by number: by size they look small and would lie together.
+    pairs = sent.join(index, "block").withColumn("cell", F.col("block") * F.lit(groups) + F.col("group"))
+    parts = min(blocks * groups, max(MOST_PARTS, 4 * spark.sparkContext.defaultParallelism))
+    dealt = pairs.repartitionById(parts, F.pmod(F.col("cell"), F.lit(parts)).cast("int"))
+    matched = dealt.select("queries", "ids", "low", "widths", "slices").mapInArrow(search, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return matched.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
