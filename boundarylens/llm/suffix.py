@@ -34,7 +34,8 @@ from boundarylens.llm.common import blobs, bucketed, map_batches, python_ready
 GRAM = 32
 CHUNK = 2**20
 FLUSH = 500_000
-BUCKET_ROWS = 1_500_000
+#: Entries in a bucket, and bytes of text for a sampled position.
+BUCKET_ROWS, BYTES_A_SAMPLE = 400_000, 34
 _BASES = (0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93)
 _tables: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
 
@@ -236,7 +237,8 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id
         F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(_ORDER)).alias("doc"),
         F.xxhash64(F.col(doc_id).cast("long"), F.col(text).cast("string")).alias("row"), F.col(text).cast("string").alias("text"),
     )
-    buckets = 2 * max(4, given.rdd.getNumPartitions())
+    n_bytes = given.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(8, n_bytes // BYTES_A_SAMPLE // BUCKET_ROWS)
 
     def sampled(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
         for doc, row, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), blobs(batch.column(2)), strict=True):
@@ -251,11 +253,11 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id
             body = zstandard.decompress(t)
             open_ = _intervals(found or [], CONTESTED, 0)
             if open_ and len(open_[0][0]):
-                rows.append((len(body), None, None, None, t, b"".join(found)))
+                rows.append((len(body), None, None, None, t, b"".join(found), int((open_[0][1] - open_[0][0] + 1).sum())))
             else:
-                rows.append((*_result(body, _intervals(found or [], REPEAT, length)), None, None))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary())
-        return pa.RecordBatch.from_arrays([*batch.columns[:3], *[pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]], names=["doc_id", "doc", "row", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text", "found"])
+                rows.append((*_result(body, _intervals(found or [], REPEAT, length)), None, None, 0))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.int64())
+        return pa.RecordBatch.from_arrays([*batch.columns[:3], *[pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]], names=["doc_id", "doc", "row", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text", "found", "n_open"])
 
     def squeeze(batch: pa.RecordBatch) -> pa.RecordBatch:
         press = zstandard.ZstdCompressor(level=3)
@@ -263,8 +265,9 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id
 
     pressed = map_batches(given, squeeze, "doc_id long, doc long, row long, text binary")
     joined = pressed.join(_collected(found).hint("shuffle_hash"), "row", "left").select("doc_id", "doc", "row", "text", "found")
-    settled = bucketed(map_batches(joined, settle, "doc_id long, doc long, row long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text binary, found binary"), "row", "repeats_settled")
+    settled = bucketed(map_batches(joined, settle, "doc_id long, doc long, row long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text binary, found binary, n_open long"), "row", "repeats_settled")
     open_docs = settled.where("text IS NOT NULL")
+    n_open = settled.agg(F.sum("n_open")).first()[0] or 0
 
     def windows(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
         for doc, row, t, found in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
@@ -274,7 +277,7 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id
             start = np.unique(np.repeat(x[:, 0], x[:, 1] + 1) + np.arange((x[:, 1] + 1).sum()) - np.repeat(np.cumsum(x[:, 1] + 1) - x[:, 1] - 1, x[:, 1] + 1))
             yield *(_windows(body, start, which, length) for which in (0, 1)), np.full(len(start), doc, np.int64), np.full(len(start), row, np.int64), start, np.zeros(len(start), np.int64)
 
-    again = _collected(_ranked(_dealt(open_docs.select("doc", "row", "text", "found"), windows, buckets), False)).withColumnRenamed("found", "again")
+    again = _collected(_ranked(_dealt(open_docs.select("doc", "row", "text", "found"), windows, max(8, n_open // BUCKET_ROWS)), False)).withColumnRenamed("found", "again")
 
     def finish(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
