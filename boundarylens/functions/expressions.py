@@ -61,6 +61,11 @@ def absent(marker: Column) -> Column:
     return F.nullif(marker, F.lit("-"))
 
 
+def or_absent(value: Column) -> Column:
+    """The marker - where there is no value."""
+    return F.coalesce(value, F.lit("-"))
+
+
 def step_order(index: Column) -> Column:
     return index.cast("int")
 

@@ -46,9 +46,8 @@ def untrusted(external: Column, privileged: Column) -> Column:
     return F.when(external & ~privileged, "true").otherwise("false")
 
 
-def assembled(pairs: DataFrame, table: DataFrame, facts: dict[str, Column]) -> DataFrame:
-    """Pairs with their events and the eleven facts; the given ones, those of the events, and two that hold by construction."""
-    ev = only_event(table)
+def assembled(pairs: DataFrame, ev: DataFrame, facts: dict[str, Column]) -> DataFrame:
+    """Pairs with their events (of only_event) and the eleven facts; the given ones, those of the events, and two that hold by construction."""
     side = lambda s: ev.select(F.col("workflow").alias(s), F.col("event").alias(f"{s}_event"), F.col("external").alias(f"{s}_external"), F.col("privileged").alias(f"{s}_privileged"))
     both = pairs.join(side("producer"), "producer").join(side("consumer"), "consumer")
     known = {
@@ -58,10 +57,11 @@ def assembled(pairs: DataFrame, table: DataFrame, facts: dict[str, Column]) -> D
     return both.select("*", *[known[f].alias(f) for f in CHAIN_FACTS])
 
 
-def trace_map(chains: DataFrame, use_step: Column, check_step: Column, authority: tuple[Column, Column, Column]) -> DataFrame:
-    """id, stage, ord, file, workflow, job_id, step_index, meaning: six rows per chain.
+def places(use_step: Column, check_step: Column, authority: tuple[Column, Column, Column]) -> Column:
+    """The six places of a chain row as an array of (stage, ord, file, workflow, job_id, step_index, meaning), in order.
 
-    authority: job (null or empty for the reader's own), step and meaning.
+    authority: job (null or empty for the reader's own), step and meaning. The job of other places is
+    always that of the operation.
     """
     job, step, meaning = authority
     place = lambda ord_, side, s, m, j=None: F.struct(
@@ -69,17 +69,15 @@ def trace_map(chains: DataFrame, use_step: Column, check_step: Column, authority
         F.coalesce(F.nullif(j, F.lit("")) if j is not None else F.lit(None).cast("string"), F.col(f"{side}_job")).alias("job_id"), s.cast("string").alias("step_index"), m.alias("meaning"),
     )
     own = [F.lit(MEANINGS[s]) for s in STAGES[:5]]
-    rows = F.array(
+    return F.array(
         place(0, "producer", F.col("producer_step"), own[0]), place(1, "producer", F.col("producer_step"), own[1]), place(2, "consumer", F.col("consumer_step"), own[2]),
         place(3, "consumer", use_step, own[3]), place(4, "consumer", check_step, own[4]), place(5, "consumer", step, meaning, job),
     )
-    return chains.select("id", F.inline(rows))
 
 
-def trace_lines(trace: DataFrame) -> DataFrame:
-    """id, lines: the comment line of each stage, in order."""
-    line = F.concat(F.lit("-- TRACE "), "stage", F.lit(": "), "file", F.lit(":"), "job_id", F.lit(":"), "step_index", F.lit(" - "), "meaning")
-    return trace.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", line.alias("line")))), lambda x: x.line).alias("lines"))
+def trace_lines(found: Column) -> Column:
+    """The comment line of each of these places."""
+    return F.transform(found, lambda p: F.concat(F.lit("-- TRACE "), p.stage, F.lit(": "), p.file, F.lit(":"), p.job_id, F.lit(":"), p.step_index, F.lit(" - "), p.meaning))
 
 
 def required_elements() -> list[str]:
@@ -90,31 +88,43 @@ def required_elements() -> list[str]:
     return out + [f"sharedObject.{n}" for n in SHARED] + [f"facts.{n}" for n in CHAIN_FACTS] + [f"traceMap.{s}" for s in STAGES]
 
 
-def provenance(chains: DataFrame, table_source: str, annotation_source: str, tool_source: str, annotated: DataFrame) -> DataFrame:
-    """id, element, source_kind, source, claim.
+def record(element: Column | str, kind: Column | str, source: Column | str, claim: Column | str) -> Column:
+    """Where one element of a chain comes from."""
+    columns = (F.lit(x) if isinstance(x, str) else x for x in (element, kind, source, claim))
+    return F.struct(*[c.alias(n) for c, n in zip(columns, ("element", "source_kind", "source", "claim"), strict=True)])
 
-    annotated: id, element (facts.* or traceMap.*), source_kind, source, claim for what the annotations give.
-    """
-    fixed = [(f"scenario.{n}", "manual-judgment", annotation_source, SCENARIO_CLAIM) for n in SCENARIO]
+
+def provenance(table_source: str, annotation_source: str, tool_source: str, annotated: Column) -> Column:
+    """The records of a chain row as an array; annotated: the ones of what its annotation gives (facts.* and traceMap.*)."""
+    fixed = [record(f"scenario.{n}", "manual-judgment", annotation_source, SCENARIO_CLAIM) for n in SCENARIO]
     for side in ("producer", "consumer"):
         for section, names in (("workflow", WORKFLOW), ("operation", OPERATION)):
-            fixed += [(f"{side}.{section}.{n}", "static-analysis", table_source, TABLE_CLAIM) for n in names]
+            fixed += [record(f"{side}.{section}.{n}", "static-analysis", table_source, TABLE_CLAIM) for n in names]
     for n in SHARED:
         manual = n == "producerRunSelector"
-        fixed.append((f"sharedObject.{n}", *(("manual-judgment", tool_source, SELECTOR_CLAIM) if manual else ("static-analysis", table_source, MATCH_CLAIM))))
-    fixed += [(f"facts.{n}", "static-analysis", table_source, FACT_CLAIM) for n in STATIC_FACTS]
-    fixed += [(f"traceMap.{s}", "static-analysis", table_source, PLACE_CLAIM) for s in STAGES[:3]]
-    records = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(("element", "source_kind", "source", "claim"), r, strict=True)]) for r in fixed])
-    return chains.select("id", F.inline(records)).unionByName(annotated.select("id", "element", "source_kind", "source", "claim"))
-
-
-def provenance_faults(records: DataFrame, chains: DataFrame) -> DataFrame:
-    """id, rule, element: duplicated and missing elements and unknown source kinds; more elements than needed are fine."""
-    twice = records.groupBy("id", "element").count().where("count > 1").select("id", F.lit("duplicate").alias("rule"), "element")
-    needed = chains.select("id", F.explode(F.array(*[F.lit(e) for e in required_elements()])).alias("element"))
-    missing = needed.join(records, ["id", "element"], "left_anti").select("id", F.lit("missing").alias("rule"), "element")
-    odd = records.where(~F.coalesce(F.col("source_kind").isin(*SOURCE_KINDS), F.lit(False))).select("id", F.lit("source kind").alias("rule"), "element")
-    return twice.unionByName(missing).unionByName(odd)
+        fixed.append(record(f"sharedObject.{n}", *(("manual-judgment", tool_source, SELECTOR_CLAIM) if manual else ("static-analysis", table_source, MATCH_CLAIM))))
+    fixed += [record(f"facts.{n}", "static-analysis", table_source, FACT_CLAIM) for n in STATIC_FACTS]
+    fixed += [record(f"traceMap.{s}", "static-analysis", table_source, PLACE_CLAIM) for s in STAGES[:3]]
+    return F.concat(F.array(*fixed), annotated)
+
+
+def provenance_faults(records: Column) -> Column:
+    """(rule, element) of what is wrong with a chain's records: duplicate, missing, source kind. More elements than needed are fine."""
+    names = F.transform(records, lambda r: r.element)
+    fault = lambda rule, elements: F.transform(elements, lambda e: F.struct(F.lit(rule).alias("rule"), e.alias("element")))
+    once = F.array_distinct(names)
+    twice = F.when(F.size(once) < F.size(names), F.filter(once, lambda e: F.size(F.filter(names, lambda n: n == e)) > 1)).otherwise(F.array())
+    missing = F.array_except(F.array(*[F.lit(e) for e in required_elements()]), names)
+    odd = F.transform(F.filter(records, lambda r: ~F.coalesce(r.source_kind.isin(*SOURCE_KINDS), F.lit(False))), lambda r: r.element)
+    return F.concat(fault("duplicate", twice), fault("missing", missing), fault("source kind", odd))
+
+
+def provenance_exact(records: Column) -> Column:
+    """Whether the records cover exactly the required elements, each once, and all three kinds of source occur."""
+    names = F.transform(records, lambda r: r.element)
+    need = F.array(*[F.lit(e) for e in required_elements()])
+    kinds = F.array_distinct(F.transform(records, lambda r: r.source_kind))
+    return (F.size(F.array_except(need, names)) == 0) & (F.size(F.array_except(names, need)) == 0) & (F.size(names) == F.size(need)) & (F.array_sort(kinds) == F.array_sort(F.array(*[F.lit(k) for k in SOURCE_KINDS])))
 
 
 def missing_facts(scenarios: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 SPEC_LINE = "-- specification AG !"
 STAGE_LINE = r"^\s*stage = ([a-z_]+)\s*$"
 TITLE, SAFETY, VIOLATED, HELD, NO_TRACE = "のNuSMV検証経路", "安全性：", "違反する反例あり", "違反する反例なし", "NuSMV出力に状態経路は含まれていない．"
+PROPERTY = "未信頼な成果物を保持したまま権限へ到達しない．"
+LIMITATIONS = ("この評価集合は小規模であり，一般的な検出精度を示すものではない．", "shell処理における成果物利用と権限到達の意味付けには手動判断を含む．")
 TABLE_HEAD = "| 順序 | 状態 | workflow | job | step | 意味 |\n| --- | --- | --- | --- | ---: | --- |"
 #: Fixed values end.
 
@@ -41,23 +43,26 @@ def stage_array(text: Column) -> Column:
     return F.filter(stages, lambda x, i: (i == 0) | (x != F.get(stages, i - 1)))
 
 
-def explained(traces: DataFrame, places: DataFrame, key: str) -> DataFrame:
-    """Traces with the place of each stage (key, stage, file, workflow, job_id, step_index, meaning); stages without one fall away, numbers keep the gap."""
-    return traces.join(places, [key, "stage"])
+def explained(output: Column, places: Column) -> Column:
+    """(ord, stage, file, workflow, job_id, step_index, meaning) of the stages in an output, an array.
 
+    places: array of (stage, file, workflow, job_id, step_index, meaning). Stages without a place fall
+    away, and the numbers keep the gap.
+    """
+    def row(stage: Column, i: Column) -> Column:
+        place = F.get(F.filter(places, lambda p: p.stage == stage), 0)
+        return F.when(place.isNotNull(), F.struct((i + 1).alias("ord"), stage.alias("stage"), *[place[c].alias(c) for c in ("file", "workflow", "job_id", "step_index", "meaning")]))
+
+    return F.filter(F.transform(stage_array(output), row), lambda x: x.isNotNull())
 
-def markdown(outputs: DataFrame, places: DataFrame, key: str, text: str) -> DataFrame:
-    """key, document."""
-    row = F.concat(
-        F.lit("| "), F.col("t.ord").cast("string"), F.lit(" | `"), "stage", F.lit("` | `"), "file", F.lit("` | `"), "job_id", F.lit("` | "), "step_index", F.lit(" | "), "meaning", F.lit(" |")
-    )
-    traces = stage_trace(outputs, key, text)
-    stages = traces.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    rows = traces.alias("t").join(places.drop("ord"), [key, "stage"]).groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("t.ord", row.alias("r")))), lambda x: x.r), "\n").alias("rows"))
-    out = outputs.join(stages, key, "left").join(rows, key, "left")
-    head = F.concat(F.lit("# "), F.col(key), F.lit(TITLE), F.lit("\n\n"), F.lit(SAFETY), F.when(violated(F.col(text)), VIOLATED).otherwise(HELD), F.lit("\n\n"))
-    body = F.when(F.col("n").isNull(), F.lit(NO_TRACE + "\n")).otherwise(F.concat(F.lit(TABLE_HEAD + "\n"), F.coalesce(F.concat("rows", F.lit("\n")), F.lit(""))))
-    return out.select(key, F.concat(head, body).alias("document"))
+
+def markdown(key: Column, output: Column, places: Column) -> Column:
+    """The explanation of an output as a document."""
+    tick = lambda c: F.concat(F.lit("`"), c, F.lit("`"))
+    line = lambda x: F.concat(F.lit("| "), F.concat_ws(" | ", x.ord.cast("string"), tick(x.stage), tick(x.file), tick(x.job_id), x.step_index, x.meaning), F.lit(" |\n"))
+    head = F.concat(F.lit("# "), key, F.lit(TITLE), F.lit("\n\n"), F.lit(SAFETY), F.when(violated(output), VIOLATED).otherwise(HELD), F.lit("\n\n"))
+    table = F.concat(F.lit(TABLE_HEAD + "\n"), F.array_join(F.transform(explained(output, places), line), ""))
+    return F.concat(head, F.when(F.size(stage_array(output)) == 0, F.lit(NO_TRACE + "\n")).otherwise(table))
 
 
 def judged(cases: DataFrame) -> DataFrame:
@@ -76,6 +81,22 @@ def summary(cases: DataFrame) -> DataFrame:
     return counted.select("total", right.alias("correct"), F.try_divide(right, "total").alias("accuracy"), "true_positive", "true_negative", "false_positive", "false_negative")
 
 
+def case_documents(cases: DataFrame) -> DataFrame:
+    """id, document: the JSON of each judged case."""
+    case = F.struct("id", F.col("expected").alias("expectedVerdict"), F.col("actual").alias("actualVerdict"), "correct")
+    return cases.select("id", F.to_json(case, {"ignoreNullFields": "false"}).alias("document"))
+
+
+def report(cases: DataFrame) -> DataFrame:
+    """One row with the report as JSON: the property, the summary and the limits. The cases are rows of their own, in case_documents."""
+    matrix = F.struct(F.col("true_positive").alias("truePositive"), F.col("true_negative").alias("trueNegative"), F.col("false_positive").alias("falsePositive"), F.col("false_negative").alias("falseNegative"))
+    document = F.struct(
+        F.lit("0.1.0").alias("schemaVersion"), F.lit(PROPERTY).alias("property"), F.struct("total", "correct", "accuracy", matrix.alias("confusionMatrix")).alias("summary"),
+        F.array(*[F.lit(x) for x in LIMITATIONS]).alias("limitations"),
+    )
+    return summary(cases).select(F.to_json(document, {"ignoreNullFields": "false"}).alias("document"))
+
+
 def tool_matrix(findings: DataFrame, tools: list[str]) -> DataFrame:
     """scenario by tool: numbers of findings."""
     return findings.groupBy("scenario").pivot("tool", tools).agg(F.count(F.lit(1))).na.fill(0)

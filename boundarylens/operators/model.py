@@ -9,46 +9,65 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boundarylens.functions import expressions as X
+from boundarylens.sources.readers import of_kind
 
 STEP = ["workflow", "job_id", "step_index"]
 
 
-def workflow_rows(table: DataFrame, workflow: str) -> DataFrame:
-    return table.where(F.col("workflow") == workflow)
+def workflow_rows(table: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of the wanted workflows (column workflow); those without any are told by violations.of_table."""
+    return table.join(wanted.select("workflow").distinct(), "workflow", "left_semi")
 
 
 def headers(table: DataFrame) -> DataFrame:
     """workflow, name, file: of the first workflow row."""
     first = F.min_by(F.struct("name", "file_path"), "row_seq")
-    return table.where("kind = 'workflow'").groupBy("workflow").agg(first.alias("h")).select("workflow", F.col("h.name").alias("name"), F.col("h.file_path").alias("file"))
+    return of_kind(table, "workflow").groupBy("workflow").agg(first.alias("h")).select("workflow", F.col("h.name").alias("name"), F.col("h.file_path").alias("file"))
 
 
 def events(table: DataFrame) -> DataFrame:
-    return table.where("kind = 'event'").select(
+    return of_kind(table, "event").select(
         "workflow", F.col("name").alias("event"), X.event_flag(F.col("detail"), "externally-triggerable").alias("external"),
         X.event_flag(F.col("detail"), "privileged").alias("privileged"), "row_seq",
     )
 
 
 def event_properties(table: DataFrame) -> DataFrame:
-    """workflow, event, property, values in order, n_events: how many events of the workflow have that name (one is right)."""
-    split = table.where("kind = 'event-property'").select(
-        "workflow", F.split("name", r"\.", 2)[0].alias("event"), F.get(F.split("name", r"\.", 2), 1).alias("property"), "detail", "row_seq"
+    """workflow, event, property, values and their lines in order, n_events: how many events of the workflow have that name (one is right)."""
+    split = of_kind(table, "event-property").select(
+        "workflow", F.split("name", r"\.", 2)[0].alias("event"), F.get(F.split("name", r"\.", 2), 1).alias("property"), "detail", "line", "row_seq"
     )
-    values = split.groupBy("workflow", "event", "property").agg(F.transform(F.array_sort(F.collect_list(F.struct("row_seq", "detail"))), lambda x: x.detail).alias("values"))
+    held = split.groupBy("workflow", "event", "property").agg(F.array_sort(F.collect_list(F.struct("row_seq", "detail", "line"))).alias("v"))
+    values = held.select("workflow", "event", "property", F.col("v.detail").alias("values"), F.col("v.line").alias("lines"))
     counted = events(table).groupBy("workflow", "event").agg(F.count(F.lit(1)).alias("n_events"))
     return values.join(counted, ["workflow", "event"], "left").withColumn("n_events", F.coalesce("n_events", F.lit(0)))
 
 
+def workflow_table_rows(table: DataFrame) -> DataFrame:
+    """Headers as rows of the table, as the extraction writes them."""
+    mark = F.lit("-")
+    return headers(table).select(F.col("file").alias("file_path"), "workflow", mark.alias("job_id"), mark.alias("step_index"), F.lit("workflow").alias("kind"), "name", mark.alias("detail"))
+
+
+def event_table_rows(table: DataFrame) -> DataFrame:
+    """Events as rows of the table; the labels say whether others can trigger them and whether they are privileged."""
+    mark, label = F.lit("-"), lambda c, n: F.when(F.col(c), n).otherwise(f"not-{n}")
+    files = headers(table).select("workflow", "file")
+    return events(table).join(files, "workflow").select(
+        F.col("file").alias("file_path"), "workflow", mark.alias("job_id"), mark.alias("step_index"), F.lit("event").alias("kind"), F.col("event").alias("name"),
+        F.concat_ws(";", label("external", "externally-triggerable"), label("privileged", "privileged")).alias("detail"),
+    )
+
+
 def permissions(table: DataFrame) -> DataFrame:
     scope, access = X.scope_access(F.col("detail"))
-    return table.where("kind = 'permission'").select("workflow", X.absent(F.col("job_id")).alias("job_id"), scope.alias("scope"), access.alias("access"), "row_seq")
+    return of_kind(table, "permission").select("workflow", X.absent(F.col("job_id")).alias("job_id"), scope.alias("scope"), access.alias("access"), "row_seq")
 
 
 def jobs(table: DataFrame) -> DataFrame:
     """workflow, job_id, label (the last), labels (all), job_seq (first appearance)."""
     label = F.regexp_replace("detail", "^runs-on=", "")
-    return table.where("kind = 'job'").groupBy("workflow", "job_id").agg(
+    return of_kind(table, "job").groupBy("workflow", "job_id").agg(
         F.max_by(label, "row_seq").alias("label"), F.min("row_seq").alias("job_seq"),
         F.transform(F.array_sort(F.collect_list(F.struct("row_seq", label.alias("v")))), lambda x: x.v).alias("labels"),
     )
@@ -56,7 +75,7 @@ def jobs(table: DataFrame) -> DataFrame:
 
 def steps(table: DataFrame) -> DataFrame:
     """One row per step: uses and argument rows merge, the last value of an argument wins, a run row replaces what came before it."""
-    rows = table.where("kind IN ('uses-step', 'uses-argument', 'run-step')")
+    rows = of_kind(table, "uses-step", "uses-argument", "run-step")
     when = lambda kind, value: F.max_by(F.when(F.col("kind") == kind, value), F.when(F.col("kind") == kind, F.col("row_seq")))
     last_run = F.max(F.when(F.col("kind") == "run-step", F.col("row_seq")))
     last_use = F.max(F.when(F.col("kind") != "run-step", F.col("row_seq")))
@@ -74,10 +93,15 @@ def steps(table: DataFrame) -> DataFrame:
     )
 
 
-def argument_map() -> Column:
-    """The present arguments of a step as a map."""
+def argument_entries() -> Column:
+    """Names and values of the present arguments of a step."""
     pairs = F.array(*[F.struct(F.lit(n).alias("key"), F.col(f"`arg_{n}`").alias("value")) for n in X.ARGUMENTS])
-    return F.map_from_entries(F.filter(pairs, lambda p: p.value.isNotNull()))
+    return F.filter(pairs, lambda p: p.value.isNotNull())
+
+
+def argument_map() -> Column:
+    """The same as a map."""
+    return F.map_from_entries(argument_entries())
 
 
 def attached_steps(table: DataFrame) -> DataFrame:
@@ -86,7 +110,7 @@ def attached_steps(table: DataFrame) -> DataFrame:
 
 
 def expressions(table: DataFrame) -> DataFrame:
-    return table.where("kind = 'expression'").select("workflow", F.col("name").alias("raw"), F.col("detail").alias("normalized"), F.col("line").cast("int").alias("line"), "row_seq")
+    return of_kind(table, "expression").select("workflow", F.col("name").alias("raw"), F.col("detail").alias("normalized"), F.col("line").cast("int").alias("line"), "row_seq")
 
 
 _KINDS = {k: [a for a, kinds in X.ACTIONS.items() if k in kinds] for k in ("cacheWriteIntent", "cacheReadIntent", "artifactWriteIntent", "artifactReadIntent")}
@@ -110,25 +134,62 @@ def operations(table: DataFrame) -> DataFrame:
     )
 
 
-def documents(table: DataFrame) -> DataFrame:
-    """The nested common model, one document per workflow."""
-    ordered = lambda c, *order: F.array_sort(F.collect_list(F.struct(*order, F.struct(*c).alias("v"))))
-    ev = events(table).groupBy("workflow").agg(ordered(["event", "external", "privileged"], "row_seq").alias("events"))
-    pe = permissions(table).groupBy("workflow").agg(ordered(["job_id", "scope", "access"], "row_seq").alias("permissions"))
-    st = attached_steps(table).groupBy("workflow", "job_id").agg(F.array_sort(F.collect_list(F.struct("step_order", "type", "action", "version", argument_map().cast("string").alias("arguments"), "command"))).alias("steps"))
-    jo = jobs(table).join(st, ["workflow", "job_id"], "left").groupBy("workflow").agg(ordered(["job_id", "label", "steps"], "job_seq").alias("jobs"))
-    ex = expressions(table).groupBy("workflow").agg(ordered(["raw", "normalized", "line"], "row_seq").alias("expressions"))
-    op = operations(table).groupBy("workflow").agg(ordered(["op_id", "op_kind", "job_id", "step_index", "key", "path", "name", "run_id"], "job_seq", "step_order", "op_kind").alias("operations"))
+OBSERVED = "struct<id: string, decision: string, results: array<struct<operationId: string, outcome: string>>>"
+
+
+def documents(table: DataFrame, source: str = "table") -> DataFrame:
+    """The nested common model, one document per workflow.
+
+    Maps are made of their entries last of all, as rows that hold maps have no order.
+    """
+    ordered = lambda value, *order: F.array_sort(F.collect_list(F.struct(*order, value.alias("v"))))
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    values = event_properties(table).where("n_events = 1").groupBy("workflow", "event").agg(F.array_sort(F.collect_list(F.struct("property", "values"))).alias("properties"))
+    ev = events(table).join(values, ["workflow", "event"], "left").groupBy("workflow").agg(ordered(F.struct("event", "external", "privileged", "properties"), "row_seq").alias("events"))
+    pe = permissions(table).groupBy("workflow").agg(ordered(F.struct(F.col("job_id").alias("jobId"), "scope", "access"), "row_seq").alias("permissions"))
+    step = F.struct(F.col("step_order").alias("index"), "type", "action", "version", F.when(F.col("type") == "uses", argument_entries()).alias("arguments"), "command")
+    st = attached_steps(table).groupBy("workflow", "job_id").agg(F.array_sort(F.collect_list(step)).alias("steps"))
+    jo = jobs(table).join(st, ["workflow", "job_id"], "left").groupBy("workflow").agg(ordered(F.struct("job_id", "label", "steps"), "job_seq").alias("jobs"))
+    ex = expressions(table).groupBy("workflow").agg(ordered(F.struct("raw", "normalized", "line"), "row_seq").alias("expressions"))
+    one = F.struct(F.col("op_id").alias("id"), F.col("op_kind").alias("kind"), F.col("job_id").alias("jobId"), F.col("step_order").alias("stepIndex"), "key", "path", "name", F.col("run_id").alias("runId"))
+    op = operations(table).groupBy("workflow").agg(ordered(one, "job_seq", "step_order", _place("op_kind").alias("k")).alias("operations"))
     out = headers(table)
     for df in (ev, pe, jo, ex, op):
         out = out.join(df, "workflow", "left")
+    in_step = lambda x: F.struct(*[x[c].alias(c) for c in ("index", "type", "action", "version")], F.map_from_entries(x.arguments).alias("arguments"), x.command.alias("command"))
+    in_job = lambda x: F.struct(x.v.job_id.alias("id"), F.array(x.v.label).alias("runnerLabels"), F.coalesce(F.transform(x.v.steps, in_step), F.array()).alias("steps"))
+    properties = lambda x: F.map_from_entries(F.coalesce(x.v.properties, none("struct<property: string, values: array<string>>")))
+    in_event = lambda x: F.struct(x.v.event.alias("name"), x.v.external.alias("externallyTriggerable"), x.v.privileged.alias("privileged"), properties(x).alias("properties"))
+    plain = lambda x: x.v
+    held = lambda c, of=plain: F.coalesce(F.transform(F.col(c), of), F.array()).alias(c)
     facts = F.struct(*[F.lit("unknown").alias(n) for n in ("sameObject", "consumerUsesObject", "integrityVerified", "privilegedConsumer", "hasAuthority")])
     return out.select(
-        F.lit("0.1.0").alias("schemaVersion"), "workflow", "file",
-        *[F.transform(F.col(c), lambda x: x.v).alias(c) for c in ("events", "permissions", "jobs", "expressions", "operations")], facts.alias("verificationFacts"),
+        F.lit("0.1.0").alias("schemaVersion"), F.struct(F.lit("codeqlTable").alias("type"), F.lit(source).alias("file"), F.lit(True).alias("staticAnalysisOnly")).alias("source"),
+        "workflow", "file", held("events", in_event), held("permissions"), held("jobs", in_job), held("expressions"), held("operations"),
+        facts.alias("verificationFacts"), none(OBSERVED).alias("runtimeObservations"),
     )
 
 
+def _place(kind: str) -> Column:
+    """Writes before reads, as operations of one step stand in a document."""
+    return F.array_position(F.array(*[F.lit(k) for k in _KINDS]), F.col(kind))
+
+
+def with_observations(models: DataFrame, observations: DataFrame, results: DataFrame) -> DataFrame:
+    """Documents with the observations of their workflow appended by id; those that name an operation no model has are left out (violations.of_observations reports them).
+
+    observations: workflow, observation, decision. results: workflow, observation, op_id, outcome.
+    """
+    known = models.select("workflow", F.explode(F.coalesce(F.col("operations.id"), F.array().cast("array<string>"))).alias("op_id"))
+    bad = unknown_observed(known, results).select("workflow", "observation").distinct()
+    told = results.groupBy("workflow", "observation").agg(F.array_sort(F.collect_list(F.struct(F.col("op_id").alias("operationId"), "outcome"))).alias("results"))
+    rows = observations.join(bad, ["workflow", "observation"], "left_anti").join(told, ["workflow", "observation"], "left")
+    one = F.struct(F.col("observation").alias("id"), "decision", F.coalesce("results", F.array().cast("array<struct<operationId: string, outcome: string>>")).alias("results"))
+    per = rows.groupBy("workflow").agg(F.array_sort(F.collect_list(one)).alias("more"))
+    more = F.coalesce("more", F.array().cast(f"array<{OBSERVED}>"))
+    return models.join(per, "workflow", "left").withColumn("runtimeObservations", F.concat("runtimeObservations", more)).drop("more")
+
+
 def unknown_observed(ops: DataFrame, results: DataFrame) -> DataFrame:
     """Observed results (workflow, op_id ...) for operations that no model has."""
     return results.join(ops.select("workflow", "op_id"), ["workflow", "op_id"], "left_anti")

@@ -159,7 +159,7 @@ def witness_value(fact: str) -> Column:
 
 
 def final_stage() -> Column:
-    """Where a path with all facts known ends, with its taint: the transition system folded over a fixed number of steps."""
+    """Where a path with all facts known ends: the transition system folded over a fixed number of steps."""
     t = lambda n: F.col(n) == "true"
     checked = t("integrityCheckPresent") & t("integrityCheckPassed")
 
@@ -176,6 +176,14 @@ def final_stage() -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(6)), F.lit("start"), lambda s, _: after(s))
 
 
+def tainted_at_end() -> Column:
+    """Whether the object is still tainted where such a path ends: it is from the start if the producer is untrusted, until a restored object passes its check."""
+    t = lambda n: F.col(n) == "true"
+    names = ("producerUntrusted", "writeIntent", "writeAuthorized", "writeSucceeded", "sameObject", "readSucceeded")
+    cleared = reduce(and_, map(t, names)) & t("integrityCheckPresent") & t("integrityCheckPassed")
+    return t("producerUntrusted") & ~cleared
+
+
 def _model_text(names: tuple[str, ...], shown: list[str], before: list[Column], head: str, tail: str) -> Column:
     """Unknown facts as frozen variables, known ones as constants, between fixed texts."""
     unknown = [F.when(F.col(n) == "unknown", F.lit(f"  {s} : boolean;")) for n, s in zip(names, shown, strict=True)]
@@ -206,16 +214,45 @@ def outcome_fact(outcome: Column) -> Column:
     return F.when(outcome == "succeeded", "true").when(outcome == "failed", "false").when(outcome == "unknown", "unknown")
 
 
+def cache_choices(ops: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """workflow, n, op_id, op_kind: the operation a workflow's cache model starts from.
+
+    Without wanted (workflow, op_id) that is its only cache write. n tells how many there were to choose
+    from; op_id and op_kind are null unless it is one.
+    """
+    of = ops.where("op_kind = 'cacheWriteIntent'") if wanted is None else ops.join(wanted, ["workflow", "op_id"])
+    counted = of.groupBy("workflow").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("op_id", "op_kind")).alias("o"))
+    if wanted is not None:
+        counted = wanted.select("workflow").distinct().join(counted, "workflow", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    one = lambda c: F.when(F.col("n") == 1, F.col(f"o.{c}")).alias(c)
+    return counted.select("workflow", "n", one("op_id"), one("op_kind"))
+
+
+def chosen_observations(observations: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """workflow, n, and the columns of the observation that counts: the named one (wanted: workflow, observation), or a workflow's only one.
+
+    Where there are several to choose from, or none, their columns are null.
+    """
+    of = observations if wanted is None else observations.join(wanted, ["workflow", "observation"])
+    rest = [c for c in observations.columns if c != "workflow"]
+    counted = of.groupBy("workflow").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*rest)).alias("o"))
+    if wanted is not None:
+        counted = wanted.select("workflow").distinct().join(counted, "workflow", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return counted.select("workflow", "n", *[F.when(F.col("n") == 1, F.col("o")[c]).alias(c) for c in rest])
+
+
 def runtime_facts(ops: DataFrame, policies: DataFrame, results: DataFrame) -> DataFrame:
-    """workflow, op_id, write_authorized, write_succeeded, n_results: unknown without an observation; more than one result is an error to report.
+    """workflow, op_id, write_authorized, write_succeeded, n_results: unknown without an observation.
 
-    policies: workflow, decision. results: workflow, op_id, outcome.
+    policies: workflow, decision. results: workflow, op_id, outcome. Several decisions of a workflow or
+    several results of an operation leave the fact null; violations.of_observations reports them.
     """
-    seen = results.groupBy("workflow", "op_id").agg(F.count(F.lit(1)).alias("n_results"), F.max("outcome").alias("outcome"))
-    decided = policies.groupBy("workflow").agg(F.max("decision").alias("decision"))
+    one = lambda c: F.when(F.count(F.lit(1)) == 1, F.min(c))
+    seen = results.groupBy("workflow", "op_id").agg(F.count(F.lit(1)).alias("n_results"), one("outcome").alias("outcome"))
+    decided = policies.groupBy("workflow").agg(F.count(F.lit(1)).alias("n_decisions"), one("decision").alias("decision"))
     return ops.select("workflow", "op_id").join(decided, "workflow", "left").join(seen, ["workflow", "op_id"], "left").select(
-        "workflow", "op_id", F.coalesce(policy_fact(F.col("decision")), F.lit("unknown")).alias("write_authorized"),
-        F.coalesce(outcome_fact(F.col("outcome")), F.lit("unknown")).alias("write_succeeded"), F.coalesce("n_results", F.lit(0)).alias("n_results"),
+        "workflow", "op_id", F.when(F.col("n_decisions").isNull(), "unknown").otherwise(policy_fact(F.col("decision"))).alias("write_authorized"),
+        F.when(F.col("n_results").isNull(), "unknown").otherwise(outcome_fact(F.col("outcome"))).alias("write_succeeded"), F.coalesce("n_results", F.lit(0)).alias("n_results"),
     )
 
 

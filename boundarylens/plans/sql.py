@@ -21,7 +21,8 @@ def query(needs: str, body: str) -> str:
 
     for n in needs.split():
         add(n)
-    return "WITH " + ",\n".join(f"{n} AS ({CTES[n][1]})" for n in order) + "\n" + body
+    # Kept once: many expressions are used several times, and inlined they multiply.
+    return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({CTES[n][1]})" for n in order) + ("" if not body.startswith("WITH ") else ",") + "\n" + body.removeprefix("WITH ")
 
 
 cte("sized_lines", "", """

@@ -14,9 +14,16 @@ ANNOTATIONS = (
     f"evidenceStatus: STRING, facts: MAP<STRING, {FACT}>, locations: MAP<STRING, {PLACE}>>>"
 )
 OBSERVATION = (
-    "id STRING, platform STRING, runId STRING, observedAt STRING, platformPolicy STRUCT<cacheWriteDecision: STRING, effectiveFrom: STRING, basis: STRING>, "
+    "workflow STRING, id STRING, platform STRING, runId STRING, observedAt STRING, platformPolicy STRUCT<cacheWriteDecision: STRING, effectiveFrom: STRING, basis: STRING>, "
     "operationResults ARRAY<STRUCT<operationId: STRING, outcome: STRING, evidence: ARRAY<STRING>>>"
 )
+_AT = "STRUCT<workflowFile: STRING, workflowName: STRING, jobId: STRING, stepIndex: INT, meaning: STRING>"
+CHAIN = (
+    "schemaVersion STRING, scenario STRUCT<id: STRING, platform: STRING, description: STRING, evidenceStatus: STRING>, "
+    "facts STRUCT<producerUntrusted: STRING, writeIntent: STRING, writeAuthorized: STRING, writeSucceeded: STRING, sameObject: STRING, readSucceeded: STRING, "
+    "consumerUsesObject: STRING, integrityCheckPresent: STRING, integrityCheckPassed: STRING, privilegedConsumer: STRING, hasAuthority: STRING>, "
+    f"traceMap STRUCT<start: {_AT}, object_written: {_AT}, object_restored: {_AT}, object_used: {_AT}, integrity_checked: {_AT}, authority_reached: {_AT}>"
+)
 MANIFEST = "schemaVersion STRING, cases ARRAY<STRUCT<id: STRING, model: STRING, expectedVerdict: STRING, basis: STRING>>"
 
 
@@ -27,6 +34,26 @@ def read_extraction(spark: SparkSession, path: str) -> DataFrame:
     return renamed(raw.select(*texts).withColumn("row_seq", F.monotonically_increasing_id()))
 
 
+#: Which part of a stored table the rows of a kind lie in.
+PARTS = {"workflow": ("workflow", "event", "event-property"), "job": ("job", "permission", "expression"), "step": ("uses-step", "uses-argument", "run-step", "step")}
+
+
+def of_kind(table: DataFrame, *kinds: str) -> DataFrame:
+    """Rows of these kinds. Of a table with the column `part` only the parts that hold them are read."""
+    rows = table.where(F.col("kind").isin(*kinds))
+    if "part" in table.columns:
+        rows = rows.where(F.col("part").isin(*[p for p, held in PARTS.items() if set(held) & set(kinds)]))
+    return rows
+
+
+def store_extraction(table: DataFrame, path: str) -> None:
+    """Write the table as Parquet, a folder for each part."""
+    part = F.lit(None).cast("string")
+    for name, kinds in PARTS.items():
+        part = F.when(F.col("kind").isin(*kinds), name).otherwise(part)
+    table.withColumn("part", part).write.mode("overwrite").partitionBy("part").parquet(path)
+
+
 def renamed(raw: DataFrame) -> DataFrame:
     return raw.selectExpr("filePath AS file_path", "line", "workflowName AS workflow", "jobId AS job_id", "stepIndex AS step_index", "kind", "name", "detail", "row_seq")
 

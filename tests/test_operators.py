@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import json
 
 import pytest
 from pyspark.sql import functions as F
 
 from boundarylens.functions import expressions as X
-from boundarylens.operators import chains, evaluation, identity, model, pairing, verdicts
+from boundarylens import api
+from boundarylens.operators import chains, evaluation, identity, model, pairing, verdicts, violations
 from boundarylens.sources import readers
 
 COLUMNS = "file_path string, line int, workflow string, job_id string, step_index string, kind string, name string, detail string, row_seq long"
@@ -82,14 +84,122 @@ def test_pairing_and_its_ids(spark, pair):
 
 
 def test_chain_of_the_pair(pair):
-    made = chains.assembled(pairing.candidates(fixed(pair)), pair, {n: F.lit("true" if n != "integrityCheckPresent" else "false") for n in chains.ANNOTATED} | {"integrityCheckPassed": F.lit("false")})
+    made = chains.assembled(pairing.candidates(fixed(pair)), chains.only_event(pair), {n: F.lit("true" if n != "integrityCheckPresent" else "false") for n in chains.ANNOTATED} | {"integrityCheckPassed": F.lit("false")})
     row = made.select("*", verdicts.chain_class().alias("class")).first()
     assert (row.producerUntrusted, row.privilegedConsumer, row["class"]) == ("true", "true", "unsafe")
     assert len(chains.required_elements()) == 46 == len(set(chains.required_elements()))
-    annotated = made.select("id", F.explode(F.array(*[F.lit(f"facts.{n}") for n in chains.ANNOTATED], *[F.lit(f"traceMap.{s}") for s in chains.PLACES])).alias("element"),
-                            F.lit("manual-judgment").alias("source_kind"), F.lit("s").alias("source"), F.lit("c").alias("claim"))
-    records = chains.provenance(made, "t", "a", "p", annotated)
-    assert records.count() == 46 and chains.provenance_faults(records, made).isEmpty()
+    told = [chains.record(f"facts.{n}", "manual-judgment", "s", "c") for n in chains.ANNOTATED] + [chains.record(f"traceMap.{s}", "runtime-observation", "s", "c") for s in chains.PLACES]
+    whole = made.withColumn("records", chains.provenance("t", "a", "p", F.array(*told)))
+    faults = lambda df: sorted(tuple(r) for r in df.select(F.inline(chains.provenance_faults(F.col("records")))).collect())
+    assert whole.select(F.size("records"), chains.provenance_exact(F.col("records"))).first()[:] == (46, True) and faults(whole) == []
+    odd = whole.withColumn("records", F.concat(F.slice("records", 2, 45), F.array(chains.record("facts.writeIntent", "hearsay", "s", "c"), chains.record("more", "manual-judgment", "s", "c"))))
+    assert faults(odd) == [("duplicate", "facts.writeIntent"), ("missing", "scenario.id"), ("source kind", "facts.writeIntent")]
+    assert not odd.select(chains.provenance_exact(F.col("records"))).first()[0]
+
+
+HEADER = "filePath,line,workflowName,jobId,stepIndex,kind,name,detail\n"
+
+
+def write_table(path, *parts):
+    lines = [",".join(f'"{x}"' for x in (file, line, workflow, job, step, kind, name, detail.replace('"', '""'))) for file, line, workflow, job, step, kind, name, detail in itertools.chain(*parts)]
+    path.write_text(HEADER + "\n".join(lines) + "\n")
+    return str(path)
+
+
+def annotation(facts=chains.ANNOTATED, kind="manual-judgment", consumer="Reader", id_="CASE-1"):
+    told = lambda v: {"value": v, "sourceKind": kind, "source": "s", "claim": "c"}
+    place = {"jobId": "", "stepIndex": 2, "sourceKind": "runtime-observation", "source": "s", "claim": "reached"}
+    return {"id": id_, "producerWorkflow": "Writer", "consumerWorkflow": consumer, "description": "d", "evidenceStatus": "observed",
+            "facts": {n: told("false" if n.startswith("integrity") else "true") for n in facts}, "locations": {p: place for p in chains.PLACES.values()}}
+
+
+def test_from_files_to_chains_and_reports(spark, tmp_path):
+    good = [(j, s, k, n, d.replace("@v@4", "@v4")) for j, s, k, n, d in WRITER]
+    table = write_table(tmp_path / "t.csv", rows("Reader", "r.yml", *READER), rows("Writer", "w.yml", *good))
+    notes = tmp_path / "notes.json"
+    notes.write_text(json.dumps({"schemaVersion": "0.1.0", "scenarios": [annotation()]}))
+    assert api.discover(spark, table).documents.count() == 1
+    found = api.discover(spark, table, str(notes), output=str(tmp_path / "chains"))
+    row = found.documents.first()
+    document = json.loads(row.document)
+    assert row.file == "case-1.json" and list(document) == ["schemaVersion", "scenario", "producer", "consumer", "sharedObject", "facts", "traceMap", "evidence", "provenance"]
+    assert document["producer"]["operation"] == {"id": "artifact-write:w:2", "kind": "artifactWriteIntent", "jobId": "w", "stepIndex": 2, "name": "out", "path": None, "runId": None}
+    assert document["consumer"]["workflow"] == {"name": "Reader", "file": "r.yml", "event": "workflow_run"} and set(document["facts"]) == set(verdicts.CHAIN_FACTS)
+    assert document["traceMap"]["authority_reached"] == {"workflowFile": "r.yml", "workflowName": "Reader", "jobId": "r", "stepIndex": 2, "meaning": "reached"}
+    assert len(document["provenance"]) == 46 and {r["sourceKind"] for r in document["provenance"]} == set(chains.SOURCE_KINDS)
+    text = api.state_models(spark, str(tmp_path / "chains")).first().text
+    assert "-- TRACE start: w.yml:w:2 - " in text and "producer_untrusted := TRUE;" in text and "FROZENVAR" not in text
+    manifest = tmp_path / "m.json"
+    manifest.write_text(json.dumps({"schemaVersion": "0.1.0", "cases": [{"id": "a", "model": "x/case-1.json", "expectedVerdict": "unsafe"}, {"id": "b", "model": "gone.json", "expectedVerdict": "safe"}]}))
+    cases, report = api.evaluate(spark, str(manifest), str(tmp_path / "chains"), output=str(tmp_path / "out"))
+    assert {(r.id, r.actual, r.correct) for r in cases.collect()} == {("a", "unsafe", True), ("b", None, None)}
+    assert json.loads(report.first().document)["summary"]["confusionMatrix"]["truePositive"] == 1
+    told = api.explain(spark, str(tmp_path / "chains"), spark.createDataFrame([("CASE-1", OUTPUT)], "scenario string, output string")).first().document
+    assert "| 1 | `start` | `w.yml` | `w` | 2 |" in told
+
+
+def test_violations_of_scenarios_stop_or_are_told(spark, tmp_path):
+    good = [(j, s, k, n, d.replace("@v@4", "@v4")) for j, s, k, n, d in WRITER]
+    table = write_table(tmp_path / "t.csv", rows("Reader", "r.yml", *READER), rows("Writer", "w.yml", *good))
+    notes = tmp_path / "notes.json"
+    cases = [annotation(), annotation(chains.ANNOTATED[1:], id_="CASE-2"), annotation(kind="hearsay", id_="CASE-3"), annotation(consumer="Nobody", id_="CASE-4")]
+    notes.write_text(json.dumps({"schemaVersion": "0.1.0", "scenarios": cases}))
+    with pytest.raises(violations.Violations, match="CASE-2"):
+        api.discover(spark, table, str(notes))
+    found = api.discover(spark, table, str(notes), strict=False)
+    assert [r.scenario for r in found.documents.collect()] == ["CASE-1"]
+    told = {(r.rule, r.entity) for r in found.violations.collect()}
+    assert {("missing fact", "CASE-2"), ("source kind of fact", "CASE-3"), ("not one pair", "CASE-4")} <= told
+
+
+def test_models_with_observations(spark, tmp_path):
+    table = write_table(tmp_path / "t.csv", rows("Reader", "r.yml", *READER), rows("Writer", "w.yml", *WRITER))
+    seen = tmp_path / "o.json"
+    one = {"workflow": "Writer", "id": "run-1", "platformPolicy": {"cacheWriteDecision": "denied"}, "operationResults": [{"operationId": "cache-write:w:3", "outcome": "failed"}]}
+    seen.write_text(json.dumps([one, one | {"id": "run-2", "operationResults": [{"operationId": "gone", "outcome": "failed"}]}]))
+    with pytest.raises(violations.Violations, match="unknown operation observed"):
+        api.models(spark, table, ["Writer"], str(seen))
+    found = api.models(spark, table, ["Writer", "Nobody"], str(seen), strict=False)
+    model_ = found.documents.first()
+    assert [o.id for o in model_.runtimeObservations] == ["run-1"] and model_.source.file == table
+    assert {("no rows", "Nobody"), ("several observations", "Writer"), ("unknown operation observed", "Writer")} <= {(r.rule, r.entity) for r in found.violations.collect()}
+    jobs = {j.id: j for j in model_.jobs}
+    assert [s["index"] for s in jobs["w"].steps] == [2, 3, 4, 5] and jobs["w"].steps[1].arguments == {"key": "k"} and jobs["w"].steps[2].arguments is None
+
+
+def test_choices(spark):
+    ops = spark.createDataFrame([("a", "x", "cacheWriteIntent"), ("a", "y", "cacheReadIntent"), ("b", "x", "cacheWriteIntent"), ("b", "z", "cacheWriteIntent")], "workflow string, op_id string, op_kind string")
+    told = lambda df: {tuple(r) for r in df.collect()}
+    assert told(verdicts.cache_choices(ops)) == {("a", 1, "x", "cacheWriteIntent"), ("b", 2, None, None)}
+    wanted = spark.createDataFrame([("a", "y"), ("b", "z"), ("c", "q")], "workflow string, op_id string")
+    named = verdicts.cache_choices(ops, wanted)
+    assert told(named) == {("a", 1, "y", "cacheReadIntent"), ("b", 1, "z", "cacheWriteIntent"), ("c", 0, None, None)}
+    assert {(r.rule, r.entity) for r in violations.of_cache_choices(named).collect()} == {("no cache write", "a"), ("not one cache write", "c")}
+    seen = spark.createDataFrame([("a", "o1", "denied"), ("b", "o2", "allowed"), ("b", "o3", "unknown")], "workflow string, observation string, decision string")
+    assert told(verdicts.chosen_observations(seen)) == {("a", 1, "o1", "denied"), ("b", 2, None, None)}
+    assert told(verdicts.chosen_observations(seen, spark.createDataFrame([("b", "o3"), ("a", "o9")], "workflow string, observation string"))) == {("b", 1, "o3", "unknown"), ("a", 0, None, None)}
+    results = spark.createDataFrame([("a", "x", "failed"), ("b", "x", "failed"), ("b", "x", "unknown")], "workflow string, op_id string, outcome string")
+    facts = {(r.workflow, r.op_id): (r.write_authorized, r.write_succeeded) for r in verdicts.runtime_facts(ops.where("op_kind = 'cacheWriteIntent'"), seen, results).collect()}
+    assert facts == {("a", "x"): ("false", "false"), ("b", "x"): (None, None), ("b", "z"): (None, "unknown")}
+
+
+def test_final_taint(spark):
+    """Against walking the states one by one, for every assignment."""
+    vectors = list(itertools.product(("true", "false"), repeat=11))
+    df = spark.createDataFrame(vectors, ", ".join(f"{f} string" for f in verdicts.CHAIN_FACTS)).select("*", verdicts.tainted_at_end().alias("t"), verdicts.final_stage().alias("s"))
+    for row in df.toPandas().itertuples(index=False):
+        pu, wi, wa, ws, same, rs, uses, present, passed, priv, auth = (x == "true" for x in row[:11])
+        restored = pu and wi and wa and ws and same and rs
+        assert row.t == (pu and not (restored and present and passed))
+        used = restored and uses and (passed if present else True)
+        assert row.s == ("authority_reached" if used and priv and auth else "blocked")
+
+
+def test_stored_table_is_read_by_part(spark, pair, tmp_path):
+    readers.store_extraction(pair, str(tmp_path / "t"))
+    back = spark.read.parquet(str(tmp_path / "t"))
+    assert back.count() == pair.count() and {r.op_id for r in model.operations(back).collect()} == {r.op_id for r in model.operations(pair).collect()}
+    assert "part=workflow" in str(model.events(back).inputFiles()) or model.events(back).count() == 2
 
 
 @pytest.mark.parametrize(("text", "expected"), [
@@ -183,8 +293,8 @@ def test_outputs_are_read(spark):
     assert [r[0] for r in df.orderBy("id").select(evaluation.verdict(F.col("output"))).collect()] == ["unsafe", "safe", None, None]
     assert [tuple(r) for r in evaluation.stage_trace(df, "id", "output").orderBy("ord").collect()] == [("a", 1, "start"), ("a", 2, "object_written"), ("a", 3, "blocked"), ("a", 4, "start")]
     assert df.where("id = 'a'").select(evaluation.stage_array(F.col("output"))).first()[0] == ["start", "object_written", "blocked", "start"]
-    places = spark.createDataFrame([("a", "start", 0, "f", "w", "j", "1", "m"), ("a", "object_written", 1, "f", "w", "j", "2", "n")], "id string, stage string, ord int, file string, workflow string, job_id string, step_index string, meaning string")
-    document = evaluation.markdown(df, places, "id", "output").where("id = 'a'").first().document
+    place = lambda s, n: F.struct(F.lit(s).alias("stage"), *[F.lit(v).alias(k) for k, v in (("file", "f"), ("workflow", "w"), ("job_id", "j"), ("step_index", n), ("meaning", "m"))])
+    document = df.where("id = 'a'").select(evaluation.markdown(F.col("id"), F.col("output"), F.array(place("start", "1"), place("object_written", "2")))).first()[0]
     assert [line.split(" | ")[0] for line in document.splitlines() if "`" in line] == ["| 1", "| 2", "| 4"]
 
 
