@@ -173,13 +173,18 @@ def _dealt(df: DataFrame, entries: Callable, buckets: int) -> DataFrame:
     return df.mapInArrow(run, "bucket int, row long, a binary, b binary, docs binary, rows binary, starts binary, spans binary")
 
 
-def _ranked(dealt: DataFrame, contest: bool) -> DataFrame:
-    """What is found about each row: windows that repeat, and first stretches whose sample others share."""
+def _ranked(dealt: DataFrame, contest: bool, buckets: int) -> DataFrame:
+    """(row, found): what is found about each row, windows that repeat and first stretches whose sample others share. One row per row of the table.
+
+    A bucket deals its finds by row over as many buckets again, in one blob for each; those are then put
+    together row by row.
+    """
 
     def rank(group: pd.DataFrame) -> pd.DataFrame:
         settled = group["docs"].map(len) == 0
-        passed = group.loc[settled, ["row", "a"]].rename(columns={"a": "found"})
-        group = group[~settled]
+        passed, group = group[settled], group[~settled]
+        known = np.frombuffer(b"".join(passed["a"]), np.int32).reshape(-1, 3)
+        of = np.repeat(passed["row"].to_numpy(np.int64), passed["a"].map(len).to_numpy(np.int64) // 12)
         a, b = np.frombuffer(b"".join(group["a"]), np.uint64), np.frombuffer(b"".join(group["b"]), np.uint32)
         doc, row, start, span = (
             np.frombuffer(b"".join(map(zstandard.decompress, group[c])), k) for c, k in (("docs", np.int64), ("rows", np.int64), ("starts", np.int32), ("spans", np.uint16))
@@ -192,14 +197,21 @@ def _ranked(dealt: DataFrame, contest: bool) -> DataFrame:
             code[new & (different[sample] > 1)] = CONTESTED
         keep = code > 0
         rows = order[keep]
-        return pd.concat([passed, _by_row(row[rows], start[rows], span[rows], code[keep])], ignore_index=True)
-
-    return dealt.groupBy("bucket").applyInPandas(rank, _FOUND)
+        row = np.concatenate([of, row[rows]])
+        found = np.concatenate([known, np.stack([start[rows], span[rows], code[keep]], 1).astype(np.int32)])
+        to = (row.view(np.uint64) % np.uint64(buckets)).astype(np.int32)
+        by = np.argsort(to, kind="stable")
+        parts = np.split(by, np.flatnonzero(np.diff(to[by])) + 1) if len(by) else []
+        press = zstandard.ZstdCompressor(level=1).compress
+        return pd.DataFrame({"bucket": [int(to[p[0]]) for p in parts], "rows": [press(row[p].tobytes()) for p in parts], "found": [press(found[p].tobytes()) for p in parts]})
 
+    def gather(group: pd.DataFrame) -> pd.DataFrame:
+        row = np.frombuffer(b"".join(map(zstandard.decompress, group["rows"])), np.int64)
+        found = np.frombuffer(b"".join(map(zstandard.decompress, group["found"])), np.int32).reshape(-1, 3)
+        return _by_row(row, *found.T)
 
-def _collected(found: DataFrame) -> DataFrame:
-    """One row per row of the table, of which there can be no more entries than it has windows."""
-    return found.groupBy("row").agg(F.collect_list("found").alias("found"))
+    finds = dealt.groupBy("bucket").applyInPandas(rank, "bucket int, rows binary, found binary")
+    return finds.groupBy("bucket").applyInPandas(gather, _FOUND)
 
 
 def _result(text: bytes, covered: list[tuple[np.ndarray, np.ndarray]]) -> tuple[int, int, int, str]:
@@ -214,10 +226,10 @@ def _result(text: bytes, covered: list[tuple[np.ndarray, np.ndarray]]) -> tuple[
     return n, int(gone.sum()), int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest()
 
 
-def _intervals(found: list[bytes], code: int, length: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def _intervals(found: bytes | None, code: int, length: int) -> list[tuple[np.ndarray, np.ndarray]]:
     if not found:
         return []
-    x = np.frombuffer(b"".join(found), np.int32).reshape(-1, 3).astype(np.int64)
+    x = np.frombuffer(found, np.int32).reshape(-1, 3).astype(np.int64)
     x = x[x[:, 2] == code]
     return [(x[:, 0], x[:, 0] + x[:, 1] + length)]
 
@@ -245,17 +257,17 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id
             gram, whole, start, span = stretches(np.frombuffer(t, np.uint8), length)
             yield gram, whole, np.full(len(gram), doc, np.int64), np.full(len(gram), row, np.int64), start, span
 
-    found = _ranked(_dealt(given.select("doc", "row", "text"), sampled, buckets), True)
+    found = _ranked(_dealt(given.select("doc", "row", "text"), sampled, buckets), True, buckets)
 
     def settle(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
         for t, found in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
             body = zstandard.decompress(t)
-            open_ = _intervals(found or [], CONTESTED, 0)
+            open_ = _intervals(found, CONTESTED, 0)
             if open_ and len(open_[0][0]):
-                rows.append((len(body), None, None, None, t, b"".join(found), int((open_[0][1] - open_[0][0] + 1).sum())))
+                rows.append((len(body), None, None, None, t, found, int((open_[0][1] - open_[0][0] + 1).sum())))
             else:
-                rows.append((*_result(body, _intervals(found or [], REPEAT, length)), None, None, 0))
+                rows.append((*_result(body, _intervals(found, REPEAT, length)), None, None, 0))
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.int64())
         return pa.RecordBatch.from_arrays([*batch.columns[:3], *[pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]], names=["doc_id", "doc", "row", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text", "found", "n_open"])
 
@@ -264,7 +276,7 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id
         return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([press.compress(t) for t in blobs(batch.column(3))], pa.binary())], names=["doc_id", "doc", "row", "text"])
 
     pressed = map_batches(given, squeeze, "doc_id long, doc long, row long, text binary")
-    joined = pressed.join(_collected(found).hint("shuffle_hash"), "row", "left").select("doc_id", "doc", "row", "text", "found")
+    joined = pressed.join(found.hint("shuffle_hash"), "row", "left").select("doc_id", "doc", "row", "text", "found")
     settled = bucketed(map_batches(joined, settle, "doc_id long, doc long, row long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text binary, found binary, n_open long"), "row", "repeats_settled")
     open_docs = settled.where("text IS NOT NULL")
     n_open = settled.agg(F.sum("n_open")).first()[0] or 0
@@ -277,12 +289,13 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id
             start = np.unique(np.repeat(x[:, 0], x[:, 1] + 1) + np.arange((x[:, 1] + 1).sum()) - np.repeat(np.cumsum(x[:, 1] + 1) - x[:, 1] - 1, x[:, 1] + 1))
             yield *(_windows(body, start, which, length) for which in (0, 1)), np.full(len(start), doc, np.int64), np.full(len(start), row, np.int64), start, np.zeros(len(start), np.int64)
 
-    again = _collected(_ranked(_dealt(open_docs.select("doc", "row", "text", "found"), windows, max(8, n_open // BUCKET_ROWS)), False)).withColumnRenamed("found", "again")
+    last = max(8, n_open // BUCKET_ROWS)
+    again = _ranked(_dealt(open_docs.select("doc", "row", "text", "found"), windows, last), False, last).withColumnRenamed("found", "again")
 
     def finish(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
         for t, found, more in zip(*(batch.column(i).to_pylist() for i in range(2, 5)), strict=True):
-            rows.append(_result(zstandard.decompress(t), _intervals([found], REPEAT, length) + _intervals(more or [], REPEAT, length)))
+            rows.append(_result(zstandard.decompress(t), _intervals(found, REPEAT, length) + _intervals(more, REPEAT, length)))
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
         return pa.RecordBatch.from_arrays([*batch.columns[:2], *[pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]], names=["doc_id", "row", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
