@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 from pathlib import Path
@@ -15,31 +14,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from boundarylens.sources.shared import shared_folder, stored
+
 #: The characters that separate words: space, tab, line feed, vertical tab, form feed, carriage return.
 #: bytes.split() of Python splits on exactly these.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
-_own_folder: list[str] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir. Only a local session, as in tests, may do without and gets a temporary one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    if not _own_folder:
-        _own_folder.append("file://" + tempfile.mkdtemp(prefix="spark-shared-"))
-    return _own_folder[0]
-
-
-def durable(df: DataFrame, name: str) -> DataFrame:
-    """Write the rows to the shared folder and read them back: the lineage ends there."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Writes rows to the shared folder and reads them back: the lineage ends there.
+durable = stored
 
 
 def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from boundarylens.llm.common import durable, word_count
 
 BUCKET_ROWS = 4000
+SOURCES_A_TASK = 100_000
 
 
 def _source_key(source: Column) -> Column:
@@ -38,22 +39,36 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_e
     Sources share the total size by weight; a target stops at max_epochs times its source's size and
     the excess is shared again by weight until no target is above. The closed form: with sources in
     the order of the share at which they fill up, the common level is the largest of the levels that
-    result from taking each beginning of that order as full.
+    result from taking each beginning of that order as full. Sources may be many, too: both orders are
+    taken in ranges.
     """
-    sums = sized.groupBy("src").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("size").alias("source_size"))
-    place = (F.row_number().over(Window.orderBy("src")) - 1) % len(weights)
-    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (place + 1).cast("int"))
-    every = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    before = Window.orderBy("full_at", "src").rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        sums.withColumn("weight", weight)
-        .withColumn("full_at", F.lit(float(max_epochs)) * F.col("source_size") / F.col("weight"))
-        .withColumn("filled", F.coalesce(F.sum(F.col("source_size") * max_epochs).over(before), F.lit(0)))
-        .withColumn("weighed", F.coalesce(F.sum("weight").over(before), F.lit(0)))
-        .withColumn("level", (F.sum("source_size").over(every) - F.col("filled")) / (F.sum("weight").over(every) - F.col("weighed")))
-        .withColumn("target", F.least(F.lit(float(max_epochs)) * F.col("source_size"), F.max("level").over(every) * F.col("weight")))
-        .select("src", "n_docs", "source_size", "target")
-    )
+    sums = durable(sized.groupBy("src").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("size").alias("source_size")), "mix-source-sizes")
+    parts = sums.count() // SOURCES_A_TASK + 1
+    total = F.lit(sums.agg(F.sum("source_size")).first()[0] or 0)
+    named = _before(durable(_ranged(sums, parts, "src"), "mix-named"), {"place": F.lit(1)}, "src")
+    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
+    weighed = named.withColumn("weight", weight).withColumn("full_at", F.lit(float(max_epochs)) * F.col("source_size") / F.col("weight"))
+    filling = durable(_ranged(weighed.drop("place"), parts, "full_at", "src"), "mix-filling")
+    weights_in_all = F.lit(filling.agg(F.sum("weight")).first()[0] or 0)
+    full = _before(filling, {"filled": F.col("source_size") * max_epochs, "weighed": F.col("weight")}, "full_at", "src")
+    level = full.agg(F.max((total - F.col("filled")) / (weights_in_all - F.col("weighed")))).first()[0]
+    target = F.least(F.lit(float(max_epochs)) * F.col("source_size"), F.lit(level).cast("double") * F.col("weight"))
+    return full.select("src", "n_docs", "source_size", target.alias("target"))
+
+
+def _ranged(df: DataFrame, parts: int, *order: str) -> DataFrame:
+    """Rows dealt by range of an order, with the number of the range."""
+    return df.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id())
+
+
+def _before(ranged: DataFrame, amounts: dict[str, Column], *order: str) -> DataFrame:
+    """For each name the sum of its amount over all rows that stand before in the order: ranges are summed first, then each adds up its own."""
+    sums = ranged.groupBy("part").agg(*[F.sum(v).alias(f"{k} in part") for k, v in amounts.items()])
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    starts = sums.select("part", *[F.coalesce(F.sum(f"{k} in part").over(before), F.lit(0)).alias(f"{k} start") for k in amounts])
+    within = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranged.join(starts, "part")
+    return placed.select(*[c for c in ranged.columns if c != "part"], *[(F.col(f"{k} start") + F.coalesce(F.sum(v).over(within), F.lit(0))).alias(k) for k, v in amounts.items()])
 
 
 def source_cuts(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3) -> DataFrame:

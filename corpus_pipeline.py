@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from boundarylens.llm import jaccard, mixing, packing, resampling, secrets
+from boundarylens.llm.common import durable
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,12 +44,16 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on the documents of sf_dir, each on what the one before it kept."""
+    """All stages on the documents of sf_dir, each on what the one before it kept.
+
+    What a stage keeps is written to the shared folder: the next one reads it several times, and a lost
+    executor costs no more than its own stage.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = durable(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+    return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: Classifier, joins and packing are iterative; tests compare the run with a brute-force version.
+#: Classifier, joins and packing are iterative; tests/llm/test_pipeline.py has the run in plain Python and NumPy.
 ORACLE_SQL = None

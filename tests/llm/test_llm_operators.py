@@ -218,6 +218,19 @@ def test_caps_are_shared_again(spark):
     assert next(r.taken for r in got if r.source_size == 3) == 9
 
 
+def test_many_sources_in_ranges(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SOURCES_A_TASK", 7)
+    r = random.Random(23)
+    rows = [(i, "w " * r.choice([0, 1, 5, 40, 300]), f"s{r.randrange(60):02d}" if i % 9 else None) for i in range(400)]
+    sizes = collections.Counter()
+    for _, t, s in rows:
+        sizes[s] += len(t.split())
+    targets = brute_targets(sizes)
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)).collect()
+    source = {i: s for i, _, s in rows}
+    assert all(x.target == pytest.approx(targets[source[x.doc_id]]) and x.source_size == sizes[source[x.doc_id]] for x in got)
+
+
 # Quality rules
 
 def test_quality_counts(messy, empty):
@@ -462,6 +475,16 @@ def test_tool_calls_are_linked_ordered_and_checked(spark):
     assert json.loads(got[3, "q"].json)["arguments"] is None
 
 
+def test_no_calls_and_clashing_columns(spark):
+    calls = spark.createDataFrame([(1, "a", "reply", '{"prompt":"p","turn":1}', None)], "conv long, id string, name string, arguments string, after string")
+    results = spark.createDataFrame([(1, "a", "ok")], "conv long, id string, content string")
+    odd = calls.selectExpr("*", "1 AS depth", "2 AS content", "3 AS up", "4 AS `my col`")
+    got = toolcalls.link_tool_calls(odd, results.selectExpr("*", "1 AS name", "2 AS n_calls"), toolcalls.REPLY).collect()
+    assert [(x.id, x.valid, x.n_results) for x in got] == [("a", True, 1)]
+    assert toolcalls.link_tool_calls(calls.where("1 = 0"), results, toolcalls.REPLY).count() == 0
+    assert [x.n_results for x in toolcalls.link_tool_calls(calls, results.where("1 = 0"), toolcalls.REPLY).collect()] == [0]
+
+
 def test_long_chains_of_calls(spark):
     calls = spark.createDataFrame([(1, f"t{i}", "reply", "{}", f"t{i - 1}") for i in range(150)], "conv long, id string, name string, arguments string, after string")
     got = toolcalls.link_tool_calls(calls, spark.createDataFrame([], "conv long, id string, content string"), toolcalls.REPLY)
@@ -680,10 +703,26 @@ def test_resampling_on_held_out_labels(spark):
     assert {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.kept} and kept.columns == docs.columns
 
 
-def test_resampling_against_brute_force(spark):
-    """Weights, keys and the sample in NumPy; the noise of an id comes from the library's hash."""
+def brute_sample(spark, rows, known):
+    """(weight, key) of each row (id, text) and the smallest key in the sample, in NumPy; the noise of an id comes from the library's hash."""
     from pyspark.sql import functions as F
 
+    ids = spark.createDataFrame([(i,) for i, _ in rows], "doc_id long").distinct()
+    noise = dict(rows_of(ids.select("doc_id", resampling.gumbel(F.col("doc_id"), 11))))
+    grams = [resampling.ngram_buckets((t or "").encode()) for _, t in rows]
+    count = lambda some: np.bincount(np.concatenate([np.empty(0, np.int64), *some]), minlength=resampling.BUCKETS)
+    target, raw = count([g for g, (i, _) in zip(grams, rows, strict=True) if known.get(i) == 1]) + 1.0, count(grams) + 1.0
+    ratio = np.log(target / target.sum()) - np.log(raw / raw.sum())
+    means = [(known.get(i), ratio[g].mean()) for g, (i, _) in zip(grams, rows, strict=True) if len(g) and i in known]
+    cut = resampling.best_cut(np.array([m for q, m in means if q == 1]), np.array([m for q, m in means if q == 0]))
+    weight = [8.0 if not len(g) else (ratio[g].sum() - cut * len(g) + 8) * min(1, 64 / len(g)) for g in grams]
+    keys = [w + noise[i] for w, (i, _) in zip(weight, rows, strict=True)]
+    k = round(sum(1 / (1 + np.exp(-w)) for w in weight))
+    return weight, keys, sorted(keys)[-k]
+
+
+def test_resampling_against_brute_force(spark):
+    """Weights, keys and the sample in NumPy."""
     r = random.Random(17)
     rows = labelled(300)
     mixed = [" ".join(r.choice(["The", "house", "stands", "BUY!!", "river,", "1000%"] if i % 2 else ["quiet", "by", "a"]) for _ in range(r.randrange(1, 40))) for i in range(100)]
@@ -691,22 +730,12 @@ def test_resampling_against_brute_force(spark):
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string").repartition(3)
     known = {i: q for i, _, q in rows if i % 3}
     labels = spark.createDataFrame(list(known.items()), "doc_id long, quality int")
-    noise = dict(rows_of(docs.select("doc_id", resampling.gumbel(F.col("doc_id"), 11)).distinct()))
-    grams = [resampling.ngram_buckets((t or "").encode()) for _, t, _ in rows]
-    count = lambda some: np.bincount(np.concatenate([np.empty(0, np.int64), *some]), minlength=resampling.BUCKETS)
-    target, raw = count([g for g, (i, _, _) in zip(grams, rows, strict=True) if known.get(i) == 1]) + 1.0, count(grams) + 1.0
-    ratio = np.log(target / target.sum()) - np.log(raw / raw.sum())
-    means = [(known.get(i), ratio[g].mean()) for g, (i, _, _) in zip(grams, rows, strict=True) if len(g) and i in known]
-    cut = resampling.best_cut(np.array([m for q, m in means if q == 1]), np.array([m for q, m in means if q == 0]))
-    weight = [8.0 if not len(g) else (ratio[g].sum() - cut * len(g) + 8) * min(1, 64 / len(g)) for g in grams]
-    keys = [w + noise[i] for w, (i, _, _) in zip(weight, rows, strict=True)]
-    k = round(sum(1 / (1 + np.exp(-w)) for w in weight))
-    lowest = sorted(keys)[-k]
+    weight, keys, lowest = brute_sample(spark, [r[:2] for r in rows], known)
     got = {r.doc_id: r for r in resampling.importance_resample(docs, labels).collect()}
     for (i, _, _), w, key in zip(rows, weight, keys, strict=True):
         assert got[i].log_weight == pytest.approx(w) and got[i].key == pytest.approx(key) and got[i].kept == (key >= lowest - 1e-9)
     # The sample is no threshold on weights.
-    ordered = sorted(weight)[-k]
+    ordered = sorted(weight)[-sum(k >= lowest for k in keys)]
     assert sum(x.kept != (x.log_weight >= ordered) for x in got.values()) > 0
     odd = docs.selectExpr("doc_id", "text", "1 AS `my col`", "2 AS `a.b`", "struct(3 AS `x y`) AS s")
     assert resampling.resampled_documents(odd, labels).columns == odd.columns
