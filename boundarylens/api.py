@@ -53,7 +53,7 @@ def discover(spark: SparkSession, table_path: str, annotations_path: str | None
     if annotations_path is None:
         return _finished(P.catalog(pairs), wrong, output, strict)
     scenarios = D.scenarios(R.read_json(spark, annotations_path, R.ANNOTATIONS))
-    rows = D.annotated(scenarios, pairs, C.only_event(t), table_path, annotations_path)
+    rows = stored(D.annotated(scenarios, pairs, table_path, annotations_path), "annotated-chains")
     wrong = wrong.unionByName(W.of_scenarios(scenarios, pairs)).unionByName(W.of_chains(rows))
     made = D.chain_documents(rows, table_path)
     if output is not None:

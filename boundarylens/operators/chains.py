@@ -46,10 +46,9 @@ def untrusted(external: Column, privileged: Column) -> Column:
     return F.when(external & ~privileged, "true").otherwise("false")
 
 
-def assembled(pairs: DataFrame, ev: DataFrame, facts: dict[str, Column]) -> DataFrame:
-    """Pairs with their events (of only_event) and the eleven facts; the given ones, those of the events, and two that hold by construction."""
-    side = lambda s: ev.select(F.col("workflow").alias(s), F.col("event").alias(f"{s}_event"), F.col("external").alias(f"{s}_external"), F.col("privileged").alias(f"{s}_privileged"))
-    both = pairs.join(side("producer"), "producer").join(side("consumer"), "consumer")
+def assembled(pairs: DataFrame, facts: dict[str, Column]) -> DataFrame:
+    """Pairs whose workflows have exactly one event each, with the eleven facts; the given ones, those of the events, and two that hold by construction."""
+    both = pairs.where("producer_n_events = 1 AND consumer_n_events = 1")
     known = {
         "producerUntrusted": untrusted(F.col("producer_external"), F.col("producer_privileged")), "writeIntent": F.lit("true"), "sameObject": F.lit("true"),
         "privilegedConsumer": F.when(F.col("consumer_privileged"), "true").otherwise("false"), **facts,

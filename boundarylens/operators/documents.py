@@ -33,15 +33,15 @@ def fact_value(facts: Column, name: str) -> Column:
     return F.when(given.sourceKind.isin(*C.SOURCE_KINDS), given.value)
 
 
-def annotated(scenario_rows: DataFrame, pairs: DataFrame, events: DataFrame, table_source: str, annotation_source: str) -> DataFrame:
+def annotated(scenario_rows: DataFrame, pairs: DataFrame, table_source: str, annotation_source: str) -> DataFrame:
     """One row per scenario with exactly one pair, a unique one, and all seven facts: the chain's columns, places and records.
 
-    events: of chains.only_event. What keeps a scenario out is told by violations.of_scenarios.
+    What keeps a scenario out is told by violations.of_scenarios.
     """
     chosen = P.found_for(scenario_rows.select("scenario", "producer", "consumer"), pairs).where("chosen IS NOT NULL").select("scenario", F.col("chosen").alias("id"))
     whole = F.size(F.array_except(F.array(*[F.lit(n) for n in C.ANNOTATED]), F.map_keys("facts"))) == 0
     given = scenario_rows.where(whole).drop("producer", "consumer").join(chosen, "scenario")
-    rows = C.assembled(pairs.join(given, "id"), events, {n: fact_value(F.col("facts"), n) for n in C.ANNOTATED})
+    rows = C.assembled(pairs.join(given, "id"), {n: fact_value(F.col("facts"), n) for n in C.ANNOTATED})
     at = lambda place: F.col("locations")[place]
     authority = at("authorityReached")
     told = [C.record(f"facts.{n}", *(F.col("facts")[n][k] for k in ("sourceKind", "source", "claim"))) for n in C.ANNOTATED]
@@ -86,7 +86,7 @@ def chain_documents(rows: DataFrame, table_source: str) -> DataFrame:
     return sound.select("scenario", F.concat(F.lower("scenario"), F.lit(".json")).alias("file"), F.to_json(chain(table_source), NULLS).alias("document"))
 
 
-def configured(configs: DataFrame, operations: DataFrame, events: DataFrame, headers: DataFrame) -> DataFrame:
+def configured(configs: DataFrame, operations: DataFrame, workflows: DataFrame) -> DataFrame:
     """Chains that a configuration names by hand: one row per config whose two operations exist once, with equal names.
 
     configs: scenario, producer, consumer, producer_op, consumer_op, facts (map of strings), use_step,
@@ -94,10 +94,10 @@ def configured(configs: DataFrame, operations: DataFrame, events: DataFrame, hea
     """
     def side(s: str) -> DataFrame:
         once = operations.groupBy("workflow", "op_id").agg(F.count(F.lit(1)).alias("n"), *[F.min(c).alias(c) for c in ("job_id", "step_index", "name", "path", "run_id")]).where("n = 1")
-        named = once.join(headers.select("workflow", "file"), "workflow")
-        return named.select(F.col("workflow").alias(s), F.col("op_id").alias(f"{s}_op"), F.col("job_id").alias(f"{s}_job"), F.col("step_index").alias(f"{s}_step"), F.col("name").alias(f"{s}_name"), F.col("path").alias(f"{s}_path"), F.col("file").alias(f"{s}_file"), *([F.col("run_id")] if s == "consumer" else []))
+        named = once.withColumnRenamed("workflow", s).join(P.sided(workflows, s), s)
+        return named.select(s, *[c for c in named.columns if c.startswith(f"{s}_")], F.col("op_id").alias(f"{s}_op"), F.col("job_id").alias(f"{s}_job"), F.col("step_index").alias(f"{s}_step"), F.col("name").alias(f"{s}_name"), F.col("path").alias(f"{s}_path"), *([F.col("run_id")] if s == "consumer" else []))
 
     both = configs.join(side("producer"), ["producer", "producer_op"]).join(side("consumer"), ["consumer", "consumer_op"])
     same = both.where(F.col("producer_name").eqNullSafe(F.col("consumer_name"))).withColumn("name", F.col("producer_name"))
     facts = {n: F.col("facts")[n] for n in (*C.ANNOTATED, "sameObject")}
-    return C.assembled(same, events, facts).select("*", C.places(F.col("use_step"), F.col("check_step"), (F.col("authority.jobId"), F.col("authority.stepIndex"), F.col("authority.meaning"))).alias("places"))
+    return C.assembled(same, facts).select("*", C.places(F.col("use_step"), F.col("check_step"), (F.col("authority.jobId"), F.col("authority.stepIndex"), F.col("authority.meaning"))).alias("places"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from boundarylens.functions import expressions as X
 from boundarylens.sources.readers import of_kind
+from boundarylens.sources.shared import stored
 
 STEP = ["workflow", "job_id", "step_index"]
 
@@ -32,6 +33,23 @@ def events(table: DataFrame) -> DataFrame:
     )
 
 
+def workflows(table: DataFrame) -> DataFrame:
+    """workflow, file (null without a header), n_events, event, external, privileged (of one event), targets.
+
+    All that pairing asks of a workflow, in one aggregation. Targets are the workflows named by
+    workflow_run, where a workflow has exactly one such event; each once.
+    """
+    is_ = lambda kind: F.col("kind") == kind
+    event = F.struct(F.col("name").alias("event"), X.event_flag(F.col("detail"), "externally-triggerable").alias("external"), X.event_flag(F.col("detail"), "privileged").alias("privileged"))
+    header = lambda c: F.when(is_("workflow"), F.col(c))
+    of = of_kind(table, "workflow", "event", "event-property").groupBy("workflow").agg(
+        F.min_by(header("file_path"), header("row_seq")).alias("file"), F.count_if(is_("event")).alias("n_events"), F.max(F.when(is_("event"), event)).alias("e"),
+        F.count_if(is_("event") & (F.col("name") == "workflow_run")).alias("n_runs"),
+        F.collect_set(F.when(is_("event-property") & (F.col("name") == "workflow_run.workflows"), F.col("detail"))).alias("named"),
+    )
+    return of.select("workflow", "file", "n_events", "e.event", "e.external", "e.privileged", F.when(F.col("n_runs") == 1, F.col("named")).otherwise(F.array()).alias("targets"))
+
+
 def event_properties(table: DataFrame) -> DataFrame:
     """workflow, event, property, values and their lines in order, n_events: how many events of the workflow have that name (one is right)."""
     split = of_kind(table, "event-property").select(
@@ -117,7 +135,7 @@ _KINDS = {k: [a for a, kinds in X.ACTIONS.items() if k in kinds] for k in ("cach
 _PREFIX = {"cacheWriteIntent": "cache-write", "cacheReadIntent": "cache-read", "artifactWriteIntent": "artifact-write", "artifactReadIntent": "artifact-read"}
 
 
-def operations(table: DataFrame) -> DataFrame:
+def operations(table: DataFrame, attached: DataFrame | None = None) -> DataFrame:
     """workflow, op_id, op_kind, job_id, step_index, key, path, name, run_id, job_seq: none, one or two per step, writes first."""
     def op(kind: str) -> Column:
         cache = kind.startswith("cache")
@@ -129,7 +147,8 @@ def operations(table: DataFrame) -> DataFrame:
         return F.when((F.col("type") == "uses") & F.col("action").isin(_KINDS[kind]), fields)
 
     found = F.filter(F.array(*[op(k) for k in _KINDS]), lambda x: x.isNotNull())
-    return attached_steps(table).select(*STEP, "job_seq", "step_order", F.explode(found).alias("o")).select(
+    attached = attached_steps(table) if attached is None else attached
+    return attached.select(*STEP, "job_seq", "step_order", F.explode(found).alias("o")).select(
         "workflow", F.concat_ws(":", "o.prefix", "job_id", "step_index").alias("op_id"), "o.op_kind", "job_id", "step_index", "o.key", "o.path", "o.name", "o.run_id", "job_seq", "step_order"
     )
 
@@ -148,11 +167,12 @@ def documents(table: DataFrame, source: str = "table") -> DataFrame:
     ev = events(table).join(values, ["workflow", "event"], "left").groupBy("workflow").agg(ordered(F.struct("event", "external", "privileged", "properties"), "row_seq").alias("events"))
     pe = permissions(table).groupBy("workflow").agg(ordered(F.struct(F.col("job_id").alias("jobId"), "scope", "access"), "row_seq").alias("permissions"))
     step = F.struct(F.col("step_order").alias("index"), "type", "action", "version", F.when(F.col("type") == "uses", argument_entries()).alias("arguments"), "command")
-    st = attached_steps(table).groupBy("workflow", "job_id").agg(F.array_sort(F.collect_list(step)).alias("steps"))
+    attached = stored(attached_steps(table), "attached-steps")
+    st = attached.groupBy("workflow", "job_id").agg(F.array_sort(F.collect_list(step)).alias("steps"))
     jo = jobs(table).join(st, ["workflow", "job_id"], "left").groupBy("workflow").agg(ordered(F.struct("job_id", "label", "steps"), "job_seq").alias("jobs"))
     ex = expressions(table).groupBy("workflow").agg(ordered(F.struct("raw", "normalized", "line"), "row_seq").alias("expressions"))
     one = F.struct(F.col("op_id").alias("id"), F.col("op_kind").alias("kind"), F.col("job_id").alias("jobId"), F.col("step_order").alias("stepIndex"), "key", "path", "name", F.col("run_id").alias("runId"))
-    op = operations(table).groupBy("workflow").agg(ordered(one, "job_seq", "step_order", _place("op_kind").alias("k")).alias("operations"))
+    op = operations(table, attached).groupBy("workflow").agg(ordered(one, "job_seq", "step_order", _place("op_kind").alias("k")).alias("operations"))
     out = headers(table)
     for df in (ev, pe, jo, ex, op):
         out = out.join(df, "workflow", "left")

@@ -19,19 +19,22 @@ MATCH_BASIS = (
 
 def trigger_targets(table: DataFrame) -> DataFrame:
     """workflow, target: the workflows named by workflow_run, where a workflow has exactly one such event; each target once."""
-    one = model.events(table).where("event = 'workflow_run'").groupBy("workflow").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("workflow")
-    named = model.event_properties(table).where("event = 'workflow_run' AND property = 'workflows'").join(one, "workflow", "left_semi")
-    return named.select("workflow", F.explode(F.array_distinct("values")).alias("target"))
+    return model.workflows(table).select("workflow", F.explode("targets").alias("target"))
+
+
+def sided(workflows: DataFrame, side: str) -> DataFrame:
+    """What model.workflows tells of the workflow on one side of a pair; workflows without a header stay out."""
+    return workflows.where("file IS NOT NULL").select(F.col("workflow").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("file", "n_events", "event", "external", "privileged")])
 
 
 def candidates(table: DataFrame, ops: DataFrame | None = None) -> DataFrame:
-    """One row per pair of an artifact write and a read that may take its artifact.
+    """One row per pair of an artifact write and a read that may take its artifact, with the events of both workflows.
 
     The join's key is artifact name and producing workflow, so that a frequent name is spread over its
     workflows. pairing is 'unique' where the read has one match, else 'ambiguous' on all of them.
     """
     ops = model.operations(table) if ops is None else ops
-    head = model.headers(table)
+    known = model.workflows(table)
     writes = ops.where("op_kind = 'artifactWriteIntent' AND name IS NOT NULL").select(
         F.col("workflow").alias("producer"), F.col("op_id").alias("producer_op"), F.col("job_id").alias("producer_job"), F.col("step_index").alias("producer_step"), "name", F.col("path").alias("producer_path")
     )
@@ -39,10 +42,9 @@ def candidates(table: DataFrame, ops: DataFrame | None = None) -> DataFrame:
         F.col("workflow").alias("consumer"), F.col("op_id").alias("consumer_op"), F.col("job_id").alias("consumer_job"), F.col("step_index").alias("consumer_step"), "name",
         F.col("path").alias("consumer_path"), "run_id",
     )
-    aimed = reads.join(trigger_targets(table).withColumnRenamed("workflow", "consumer").withColumnRenamed("target", "producer"), "consumer")
-    pairs = aimed.join(writes, ["name", "producer"])
-    files = lambda side: head.select(F.col("workflow").alias(side), F.col("file").alias(f"{side}_file"))
-    placed = pairs.join(files("producer"), "producer").join(files("consumer"), "consumer")
+    aimed = known.select(F.col("workflow").alias("consumer"), F.explode("targets").alias("producer"))
+    pairs = reads.join(sided(known, "consumer"), "consumer").join(aimed, "consumer").join(writes, ["name", "producer"])
+    placed = pairs.join(sided(known, "producer"), "producer")
     matches = F.count(F.lit(1)).over(Window.partitionBy("consumer", "consumer_op"))
     return placed.withColumn("pairing", F.when(matches == 1, "unique").otherwise("ambiguous")).withColumn(
         "id", X.candidate_id(F.col("producer_file"), F.col("producer_op"), F.col("consumer_file"), F.col("consumer_op"))

@@ -59,7 +59,7 @@ def pairs_of(t: DataFrame) -> DataFrame:
 def chains_of(t: DataFrame) -> DataFrame:
     """Candidates with the facts and places that the benchmark tables bind to them; one row each, from which all that follows is a projection."""
     step = F.col("consumer_step").cast("int")
-    rows = C.assembled(pairs_of(t), C.only_event(t), {k: F.expr(v) for k, v in S.PAIR_FACTS.items()})
+    rows = C.assembled(pairs_of(t), {k: F.expr(v) for k, v in S.PAIR_FACTS.items()})
     return rows.withColumn("places", C.places(step + 1, step + 2, (F.when(F.col("pairing") == "unique", F.lit("deploy")), step + 3, F.lit("権限へ到達する．"))))
 
 
@@ -732,7 +732,7 @@ WHERE f.n = 1 AND f.n_unique = 1 AND f.seed % 11 <> 0""")
 
 
 def annotated_of(t: DataFrame) -> DataFrame:
-    return D.annotated(annotations_of(P.trigger_targets(t)), pairs_of(t), C.only_event(t), "table.csv", "annotations.json")
+    return stored(D.annotated(annotations_of(P.trigger_targets(t)), pairs_of(t), "table.csv", "annotations.json"), "annotated-chains")
 
 
 @register("op_34_annotated_values", "told", """SELECT scenario, "writeAuthorized", CASE WHEN seed % 13 = 0 THEN NULL ELSE "readSucceeded" END AS "readSucceeded", "hasAuthority" FROM told""")
@@ -816,7 +816,7 @@ def configs_of(pairs: DataFrame) -> DataFrame:
   FROM chain WHERE pairing = 'unique' AND consumer_step <> '3'""")
 def _(t):
     ops = artifact_operations(t)
-    rows = D.configured(configs_of(P.candidates(t, ops)), ops, C.only_event(t), M.headers(t))
+    rows = D.configured(configs_of(P.candidates(t, ops)), ops, M.workflows(t))
     return rows.select("scenario", "producer_file", "consumer_file", *V.CHAIN_FACTS, F.concat_ws(":", F.col("places")[5].job_id, F.col("places")[5].step_index).alias("authority"))
 
 

@@ -84,7 +84,7 @@ def test_pairing_and_its_ids(spark, pair):
 
 
 def test_chain_of_the_pair(pair):
-    made = chains.assembled(pairing.candidates(fixed(pair)), chains.only_event(pair), {n: F.lit("true" if n != "integrityCheckPresent" else "false") for n in chains.ANNOTATED} | {"integrityCheckPassed": F.lit("false")})
+    made = chains.assembled(pairing.candidates(fixed(pair)), {n: F.lit("true" if n != "integrityCheckPresent" else "false") for n in chains.ANNOTATED} | {"integrityCheckPassed": F.lit("false")})
     row = made.select("*", verdicts.chain_class().alias("class")).first()
     assert (row.producerUntrusted, row.privilegedConsumer, row["class"]) == ("true", "true", "unsafe")
     assert len(chains.required_elements()) == 46 == len(set(chains.required_elements()))
