@@ -48,7 +48,7 @@ def op8_prefix_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resampling.importance_resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return resampling.importance_resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), share=0.99)
 
 
 def op10_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

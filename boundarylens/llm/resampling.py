@@ -6,9 +6,10 @@ log p_target - log p_raw, shifted per n-gram by the cut that separates the label
 n-grams of one text depend on one another: a text counts as at most `effective` independent ones, so that
 a long text's weight is its mean per n-gram times that number.
 
-With the shift a weight is the log odds that a document is like the target. The sample's size k is the
-expected number of such documents, the sum of these probabilities over all of them, and the sample is drawn
-without replacement by Gumbel top-k: weight plus Gumbel noise, the k largest. The noise comes from a hash of
+With the shift a weight is the log odds that a document is like the target. The sample's size k is a share
+of the expected number of such documents, the sum of these probabilities over all of them, and the sample is
+drawn without replacement by Gumbel top-k: weight plus Gumbel noise, the k largest. With a share of 1 hardly
+any document like the target is left out; a smaller one draws among them. The noise comes from a hash of
 the id, so reruns agree. The k-th largest value is found by histograms of ever narrower ranges; documents
 are never sorted or collected.
 """
@@ -162,14 +163,14 @@ def kth_largest(values: DataFrame, k: int, few: int = 4096) -> float:
 
 def importance_resample(
     docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
-    quality: str = "quality", max_labelled: int = 20_000, prior: float = 8.0, effective: int = 64, seed: int = 11,
+    quality: str = "quality", max_labelled: int = 20_000, prior: float = 8.0, effective: int = 64, share: float = 1.0, seed: int = 11,
 ) -> DataFrame:
     """doc_id, n_ngrams, log_weight, key (with Gumbel noise), kept: one row per document.
 
     The two models count all documents; labels come from at most `max_labelled` labelled rows, those
     with the smallest hashes of their id. `prior` is the log odds for a document before it is read, so
     that texts too short to tell are kept; `effective` is the number of independent n-grams a text counts
-    as at most. A null or empty text has weight `prior`. Rows with the same id share their noise; ties at
+    as at most; `share` is the sample's size as a share of the expected number of documents like the target. A null or empty text has weight `prior`. Rows with the same id share their noise; ties at
     the cut are all kept. Without labels of both kinds everything is kept. An empty table gives an empty
     result. Other columns are not read.
     """
@@ -178,7 +179,7 @@ def importance_resample(
     raw = durable(_weights(docs, ratio, [F.col(doc_id).cast("long")], F.col(text), "doc_id long, raw_weight double, n_ngrams long"), "resample-weights")
     cut = _cut(raw, good)
     keyed = _keyed(raw, F.col("doc_id"), cut, prior, effective, seed)
-    return keyed.select("doc_id", "n_ngrams", "log_weight", "key", (F.col("key") >= F.lit(_lowest(keyed, cut))).alias("kept"))
+    return keyed.select("doc_id", "n_ngrams", "log_weight", "key", (F.col("key") >= F.lit(_lowest(keyed, cut, share))).alias("kept"))
 
 
 def _cut(raw: DataFrame, good: dict[int, int]) -> float:
@@ -198,18 +199,18 @@ def _keyed(raw: DataFrame, doc_id: Column, cut: float, prior: float, effective:
     return raw.withColumn("log_weight", weight).withColumn("key", F.col("log_weight") + gumbel(doc_id, seed))
 
 
-def _lowest(keyed: DataFrame, cut: float) -> float:
+def _lowest(keyed: DataFrame, cut: float, share: float) -> float:
     """The smallest key in the sample. Probabilities are summed as whole millionths, so that reruns agree."""
     if math.isinf(cut):
         return -math.inf
     chance = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("log_weight")))
     expected = keyed.agg(F.sum(F.floor(chance * 1e6))).first()[0] or 0
-    return kth_largest(keyed.select("key"), round(expected / 1e6))
+    return kth_largest(keyed.select("key"), round(share * expected / 1e6))
 
 
 def resampled_documents(
     docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
-    quality: str = "quality", max_labelled: int = 20_000, prior: float = 8.0, effective: int = 64, seed: int = 11,
+    quality: str = "quality", max_labelled: int = 20_000, prior: float = 8.0, effective: int = 64, share: float = 1.0, seed: int = 11,
 ) -> DataFrame:
     """The documents that the sample keeps, with the columns of docs, whatever their names. An empty table gives an empty result."""
     names = docs.columns
@@ -219,7 +220,7 @@ def resampled_documents(
     cut = _cut(raw, good)
     if math.isinf(cut):
         return docs
-    lowest = _lowest(_keyed(raw, F.col("doc_id"), cut, prior, effective, seed), cut)
+    lowest = _lowest(_keyed(raw, F.col("doc_id"), cut, prior, effective, seed), cut, share)
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
     schema = StructType(held.schema.fields).add("raw_weight", "double").add("n_ngrams", "long")
     again = _weights(held, ratio, [F.col("row")], F.col(f"row.`{text}`"), schema)

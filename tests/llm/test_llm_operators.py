@@ -703,7 +703,7 @@ def test_resampling_on_held_out_labels(spark):
     assert {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.kept} and kept.columns == docs.columns
 
 
-def brute_sample(spark, rows, known):
+def brute_sample(spark, rows, known, share=1.0):
     """(weight, key) of each row (id, text) and the smallest key in the sample, in NumPy; the noise of an id comes from the library's hash."""
     from pyspark.sql import functions as F
 
@@ -717,11 +717,12 @@ def brute_sample(spark, rows, known):
     cut = resampling.best_cut(np.array([m for q, m in means if q == 1]), np.array([m for q, m in means if q == 0]))
     weight = [8.0 if not len(g) else (ratio[g].sum() - cut * len(g) + 8) * min(1, 64 / len(g)) for g in grams]
     keys = [w + noise[i] for w, (i, _) in zip(weight, rows, strict=True)]
-    k = round(sum(1 / (1 + np.exp(-w)) for w in weight))
+    k = round(share * sum(1 / (1 + np.exp(-w)) for w in weight))
     return weight, keys, sorted(keys)[-k]
 
 
-def test_resampling_against_brute_force(spark):
+@pytest.mark.parametrize("share", [1.0, 0.9])
+def test_resampling_against_brute_force(spark, share):
     """Weights, keys and the sample in NumPy."""
     r = random.Random(17)
     rows = labelled(300)
@@ -730,8 +731,8 @@ def test_resampling_against_brute_force(spark):
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string").repartition(3)
     known = {i: q for i, _, q in rows if i % 3}
     labels = spark.createDataFrame(list(known.items()), "doc_id long, quality int")
-    weight, keys, lowest = brute_sample(spark, [r[:2] for r in rows], known)
-    got = {r.doc_id: r for r in resampling.importance_resample(docs, labels).collect()}
+    weight, keys, lowest = brute_sample(spark, [r[:2] for r in rows], known, share)
+    got = {r.doc_id: r for r in resampling.importance_resample(docs, labels, share=share).collect()}
     for (i, _, _), w, key in zip(rows, weight, keys, strict=True):
         assert got[i].log_weight == pytest.approx(w) and got[i].key == pytest.approx(key) and got[i].kept == (key >= lowest - 1e-9)
     # The sample is no threshold on weights.
@@ -739,7 +740,7 @@ def test_resampling_against_brute_force(spark):
     assert sum(x.kept != (x.log_weight >= ordered) for x in got.values()) > 0
     odd = docs.selectExpr("doc_id", "text", "1 AS `my col`", "2 AS `a.b`", "struct(3 AS `x y`) AS s")
     assert resampling.resampled_documents(odd, labels).columns == odd.columns
-    assert {x.doc_id for x in resampling.resampled_documents(odd, labels).collect()} == {i for i, x in got.items() if x.kept}
+    assert {x.doc_id for x in resampling.resampled_documents(odd, labels, share=share).collect()} == {i for i, x in got.items() if x.kept}
     assert resampling.resampled_documents(odd.where("1 = 0"), labels).count() == 0
 
 
