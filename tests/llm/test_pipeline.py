@@ -97,7 +97,8 @@ def test_run_against_brute_force(spark, tmp_path):
     expected = brute_run(spark, docs, labels)
     assert collections.Counter((x.doc_id, x.piece, x.start, x.length, x.ids_crc32) for x in got) == expected
     kept = {k[0] for k in expected}
-    assert len(kept & set(range(70))) > 50 and not kept & {i for i, t, _ in docs if t and t.startswith("###")}
+    # The mix itself leaves out what a source has over its target.
+    assert len(kept & set(range(70))) > 30 and not kept & {i for i, t, _ in docs if t and t.startswith("###")}
     at = collections.defaultdict(list)
     for x in got:
         at[x.sequence_id].append((x.offset, x.length))
