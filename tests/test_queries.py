@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import subprocess
+import sys
+from pathlib import Path
+
 import duckdb
 import pytest
 
 from boundarylens.registry import ORACLE_SQL, QUERIES
+from boundarylens.sources import shared
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -31,3 +36,23 @@ def test_query_equals_sql(spark, data, duck, name):
     columns = [d[0] for d in sql.description]
     assert sorted(got.columns) == sorted(columns)
     assert plain(map(tuple, got.collect()), got.columns) == plain(sql.fetchall(), columns)
+
+
+def test_entry_without_what_only_corpus_operators_need():
+    """A library that only they import is missing: the rest of the entry works."""
+    code = "import sys; sys.modules['public_tokenizers'] = None; import __spark_entry__ as e; print(len(e.queries()), sum(n.startswith('op_') for n in e.queries()), 'pipeline' in e.queries())"
+    out = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[1], capture_output=True, text=True, check=True).stdout.split()
+    assert out == [str(len(QUERIES)), str(len(QUERIES) - 1), "False"]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Elsewhere:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+            getConf = staticmethod(lambda: Elsewhere.conf)
+
+    with pytest.raises(RuntimeError, match=r"spark\.checkpoint\.dir"):
+        shared.shared_folder(Elsewhere())
