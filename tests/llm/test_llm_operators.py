@@ -654,6 +654,7 @@ def test_repeats_are_removed(messy, empty):
     got = rows_of(suffix.remove_repeats(messy.where("doc_id IS NULL OR doc_id <> 8")))
     assert {i: tuple(x) for i, *x in got if i is not None} == brute_repeats(rows, 100)
     assert suffix.remove_repeats(empty).count() == 0
+    assert not [r.tableName for r in messy.sparkSession.sql("SHOW TABLES").collect() if r.tableName.startswith("repeats")]
 
 
 def test_repeats_of_repeated_rows_and_null_ids(spark, messy):
