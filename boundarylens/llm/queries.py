@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from boundarylens.llm import html, jaccard, mixing, packing, quality, resampling, secrets, suffix, toolcalls, topk
+from boundarylens.llm import html, jaccard, merkle, mixing, neighbours, packing, quality, resampling, runs, secrets, suffix, toolcalls, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,10 +55,23 @@ def op10_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer=public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_kolpakov_kucherov_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digest(runs.periodic_runs(_table(spark, sf_dir, "documents"), alter=True))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tampered_proofs(_table(spark, sf_dir, "documents"))
+
+
+def op13_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest_neighbours(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_randomness_battery, op2_mix_sources, op3_divergence_rules, op4_bit_sliced_top_k,
         op5_token_group_join, op6_tool_call_linking, op7_wrapper_induction, op8_prefix_doubling, op9_importance_resampling, op10_pattern_packing,
+        op11_kolpakov_kucherov_runs, op12_merkle_manifest, op13_inverted_multi_index,
     )
 }
 
@@ -126,4 +139,52 @@ SELECT c.conv, 't' || c.turn AS id, 'reply' AS name, depth AS call_order, prompt
 FROM calls c JOIN placed p ON c.conv = p.conv AND c.turn = p.turn LEFT JOIN answers a ON a.conv = c.conv AND a.turn = c.turn
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_mix_sources": OP2_SQL, "op4_bit_sliced_top_k": OP4_SQL, "op6_tool_call_linking": OP6_SQL}
+def _crc32(text: str) -> str:
+    """The unsigned crc32 of an ASCII text, bit by bit."""
+    byte = "list_reduce(range(8), lambda c, k: xor(c >> 1, (c & 1) * 3988292384), xor(state, byte))"
+    return f"xor(list_reduce(list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT), lambda state, byte: {byte}, 4294967295::BIGINT), 4294967295)"
+
+
+def _leaf(text: str) -> str:
+    fields = ["doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text]
+    return "sha256(" + " || ".join(f"coalesce(strlen({x})::VARCHAR || ':' || {x}, '-')" for x in fields) + ")"
+
+
+def _tree(nodes: str, leaves: str, beside: str) -> str:
+    """All nodes over some leaves (key, pos, node, n), and what stands left and right of each under its parent."""
+    return f"""
+{nodes} AS (
+  SELECT key, 0 AS level, pos, node, n FROM {leaves}
+  UNION ALL
+  SELECT key, level + 1, pos // 8, sha256(string_agg(node, '' ORDER BY pos)), (n + 7) // 8 FROM {nodes} WHERE n > 1 GROUP BY key, level, pos // 8, n),
+{beside} AS (
+  SELECT a.key, a.level, a.pos, coalesce(string_agg(b.node, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS l,
+         coalesce(string_agg(b.node, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS r
+  FROM {nodes} a JOIN {nodes} b ON a.key = b.key AND a.level = b.level AND a.pos // 8 = b.pos // 8 AND a.n > 1 GROUP BY a.key, a.level, a.pos)"""
+
+
+OP12_SQL = f"""
+WITH RECURSIVE leaves AS (
+  SELECT doc_id, coalesce('+' || lang, '') AS key, {_leaf("text")} AS node,
+         CASE WHEN {_crc32("doc_id::VARCHAR")} % 3 = 0 THEN {_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS altered
+  FROM documents),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id NULLS FIRST, node) - 1 AS pos, count(*) OVER (PARTITION BY key) AS n FROM leaves),
+{_tree("low", "numbered", "low_beside")},
+subroots AS (
+  SELECT key AS name, level AS height, node, '' AS key, row_number() OVER (ORDER BY key) - 1 AS pos, count(*) OVER () AS n FROM low WHERE n = 1),
+{_tree("high", "subroots", "high_beside")},
+up AS (
+  SELECT doc_id, key, pos AS leaf_pos, node AS leaf, 0 AS level, pos, coalesce(altered, node) AS folded, '' AS proof FROM numbered
+  UNION ALL
+  SELECT doc_id, key, leaf_pos, leaf, level + 1, pos // 8, sha256(l || folded || r), proof || l || r FROM up JOIN low_beside USING (key, level, pos)),
+over AS (
+  SELECT u.doc_id, u.leaf, s.node AS subroot, 0 AS level, s.pos, u.folded, u.proof, s.name, u.leaf_pos
+  FROM up u JOIN subroots s ON u.key = s.name AND u.level = s.height
+  UNION ALL
+  SELECT doc_id, leaf, subroot, o.level + 1, o.pos // 8, sha256(l || folded || r), proof || l || r, name, leaf_pos FROM over o JOIN high_beside b ON o.level = b.level AND o.pos = b.pos)
+SELECT doc_id, leaf, subroot, root.node AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root.node AS verified
+FROM over JOIN high root ON root.n = 1 AND over.level = root.level
+"""
+
+ORACLE_SQL: dict[str, str] = {"op12_merkle_manifest": OP12_SQL, "op2_mix_sources": OP2_SQL, "op4_bit_sliced_top_k": OP4_SQL, "op6_tool_call_linking": OP6_SQL}
