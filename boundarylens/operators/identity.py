@@ -1,4 +1,4 @@
-"""Whether two runs saw the same object."""
+"""Whether two runs saw the same artifact; caches are in operators/caches.py."""
 
 from __future__ import annotations
 
@@ -21,21 +21,3 @@ def same_artifact(producers: DataFrame, consumers: DataFrame) -> DataFrame:
 def payload_digest(payload: Column) -> Column:
     """Of the payload as a line."""
     return F.sha2(F.concat(payload, F.lit("\n")), 256)
-
-
-def scope_visible(writer_scope: Column, reader_scope: Column, default_scope: Column) -> Column:
-    """A cache is seen from its own scope, and from everywhere if it belongs to the default branch."""
-    return (writer_scope == reader_scope) | (writer_scope == default_scope)
-
-
-def same_cache(writes: DataFrame, reads: DataFrame) -> DataFrame:
-    """Pairs of a cache write and read of one repository and key: write_id, read_id, same ('true', 'false' or 'unknown').
-
-    writes, reads: id, repo, key, version, scope, at. Unknown where a version is; false if version, scope
-    or order of time rule it out.
-    """
-    w = writes.select("repo", "key", *[F.col(c).alias(f"w_{c}") for c in ("id", "version", "scope", "at")])
-    pairs = reads.join(w, ["repo", "key"])
-    no = (F.col("w_at") > F.col("at")) | ~scope_visible(F.col("w_scope"), F.col("scope"), F.lit("main")) | F.coalesce(F.col("w_version") != F.col("version"), F.lit(False))
-    unknown = F.col("w_version").isNull() | F.col("version").isNull()
-    return pairs.select(F.col("w_id").alias("write_id"), F.col("id").alias("read_id"), F.when(no, "false").when(unknown, "unknown").otherwise("true").alias("same"))

@@ -636,25 +636,6 @@ def _(t):
     return chains_of(t).select("id", V.blocking_condition().alias("blocked_by"))
 
 
-S.cte("cache_op", "op", """
-SELECT op_id, op_kind, key, n % 1000 AS repo, CASE n % 4 WHEN 0 THEN 'main' ELSE workflow END AS scope, CASE n % 5 WHEN 0 THEN NULL ELSE 'v' || (n % 2) END AS version, job_id::BIGINT AS at
-FROM (SELECT *, substring(workflow, 4)::BIGINT AS n FROM op WHERE key IS NOT NULL)""")
-
-
-@register("op_s3_same_cache", "cache_op", """SELECT w.op_id AS write_id, r.op_id AS read_id, CASE WHEN w.at > r.at OR NOT (w.scope = r.scope OR w.scope = 'main') OR coalesce(w.version <> r.version, false) THEN 'false'
-  WHEN w.version IS NULL OR r.version IS NULL THEN 'unknown' ELSE 'true' END AS same
-  FROM cache_op w JOIN cache_op r ON w.repo = r.repo AND w.key = r.key WHERE w.op_kind = 'cacheWriteIntent' AND r.op_kind = 'cacheReadIntent'""")
-def _(t):
-    """Workflows are spread over repositories; some write for the default branch, versions differ, and some are not known."""
-    n = "cast(substring(workflow, 4) AS bigint)"
-    ops = M.operations(t).where("key IS NOT NULL").selectExpr(
-        "op_id AS id", f"{n} % 1000 AS repo", "key", f"CASE {n} % 4 WHEN 0 THEN 'main' ELSE workflow END AS scope", "cast(job_id AS bigint) AS at",
-        f"CASE {n} % 5 WHEN 0 THEN NULL ELSE concat('v', {n} % 2) END AS version", "op_kind",
-    )
-    ops = stored(ops, "cache-operations")
-    return I.same_cache(ops.where("op_kind = 'cacheWriteIntent'"), ops.where("op_kind = 'cacheReadIntent'"))
-
-
 @register("op_s4_outcome_classes", "chain", f"SELECT pairing, {S.CLASS} AS class, count(*) AS n FROM chain GROUP BY ALL")
 def _(t):
     return chains_of(t).groupBy("pairing", V.chain_class().alias("class")).agg(F.count(F.lit(1)).alias("n"))
