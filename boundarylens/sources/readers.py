@@ -1,10 +1,12 @@
-"""Readers and writers of the documents around the tables: CSV, JSON, text and Parquet, schemas given."""
+"""Readers and writers of the documents around the tables: CSV in splits, JSON, text and Parquet, schemas given."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from boundarylens.sources.shared import stored
+
 EXTRACTION = "filePath STRING, line INT, workflowName STRING, jobId STRING, stepIndex STRING, kind STRING, name STRING, detail STRING"
 KINDS = ("workflow", "event", "event-property", "job", "uses-step", "uses-argument", "run-step", "step", "permission", "expression")
 FACT = "STRUCT<value: STRING, sourceKind: STRING, source: STRING, claim: STRING>"
@@ -27,11 +29,52 @@ CHAIN = (
 MANIFEST = "schemaVersion STRING, cases ARRAY<STRUCT<id: STRING, model: STRING, expectedVerdict: STRING, basis: STRING>>"
 
 
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """file, record, seq: the records of CSV files, each as text, in order of file names and of lines.
+
+    Files are read in splits, by many tasks; a record may hold line breaks inside quotes and reach over any number of splits. A line
+    is inside quotes if the quotes before it are odd in number: a sum over the splits gives how each begins, and only splits with an open quote
+    have their lines ordered. Quotes inside quoted fields are doubled, as RFC 4180 says. Blank lines between records are no records; a byte order
+    mark is no text. An unclosed quote leaves the rest of its file in one record.
+    """
+    lines = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true").text(path)
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"))
+    lines = lines.select(at.alias("at"), "value").select("at.file", "at.split", F.monotonically_increasing_id().alias("place"), F.col("value"), F.length(F.regexp_replace("value", '[^"]', "")).alias("quotes"))
+    lines = stored(lines, "csv-lines")
+    # Few rows: one for each split. What comes before a split in its file, and before a file in all.
+    splits = lines.groupBy("file", "split").agg(F.min("place").alias("first"), F.count("*").alias("lines"), F.sum("quotes").alias("quotes"), F.max(F.col("quotes") % 2).alias("opens"))
+    ahead = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumns({"lines_before": F.coalesce(F.sum("lines").over(ahead), F.lit(0)), "quotes_before": F.coalesce(F.sum("quotes").over(ahead), F.lit(0))})
+    files = splits.groupBy("file").agg(F.sum("lines").alias("lines"))
+    files = files.select("file", F.coalesce(F.sum("lines").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("files_before"))
+    starts = splits.join(files, "file").select("file", "split", "first", "lines_before", "files_before", (F.col("quotes_before") % 2).alias("inside"), ((F.col("opens") == 1) | (F.col("quotes_before") % 2 == 1)).alias("broken"))
+    numbered = lines.join(starts, ["file", "split"]).select(
+        "file", "split", "value", "quotes", "inside", "broken", (F.col("lines_before") + F.col("place") - F.col("first")).alias("line"), "files_before")
+    text = F.regexp_replace("value", r"\r$", "")
+    whole = numbered.where("NOT broken").select("file", "line", "files_before", text.alias("record"))
+    # In a broken split a line belongs to the record of the last line before it that began outside quotes; one that none precedes, to the last of earlier splits.
+    so_far = Window.partitionBy("file", "split").orderBy("line")
+    began = numbered.where("broken").withColumn("open", (F.col("inside") + F.sum("quotes").over(so_far.rowsBetween(Window.unboundedPreceding, 0)) - F.col("quotes")) % 2)
+    began = began.withColumn("head", F.last(F.when(F.col("open") == 0, F.col("line")), ignorenulls=True).over(so_far.rowsBetween(Window.unboundedPreceding, 0)))
+    tails = began.groupBy("file", "split").agg(F.max("head").alias("tail"))
+    handed = F.last("tail", ignorenulls=True).over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1))
+    began = began.join(tails.select("file", "split", handed.alias("handed")), ["file", "split"]).withColumn("head", F.coalesce("head", "handed"))
+    pieces = began.groupBy("file", "head", "files_before").agg(F.array_sort(F.collect_list(F.struct("line", "value"))).alias("pieces"))
+    joined = pieces.select("file", F.col("head").alias("line"), "files_before", F.regexp_replace(F.array_join("pieces.value", "\n"), r"\r$", "").alias("record"))
+    bare = F.when(F.col("line") == 0, F.regexp_replace("record", "^\ufeff", "")).otherwise(F.col("record"))
+    return whole.unionByName(joined).select("file", bare.alias("record"), (F.col("files_before") + F.col("line")).alias("seq"), "line").where("record <> ''").drop("line")
+
+
 def read_extraction(spark: SparkSession, path: str) -> DataFrame:
-    """The 8-column table; empty fields stay empty strings, row_seq keeps the order of an unsplit file."""
-    raw = spark.read.schema(EXTRACTION).csv(path, header=True, multiLine=True, quote='"', escape='"')
-    texts = [F.coalesce(c, F.lit("")).alias(c) if c != "line" else F.col(c) for c in raw.columns]
-    return renamed(raw.select(*texts).withColumn("row_seq", F.monotonically_increasing_id()))
+    """The 8-column table of a CSV file, or of several in one order; empty fields are empty strings, row_seq is the order of the rows.
+
+    The first record of each file is its header; columns are taken in the order of the schema.
+    """
+    records = read_records(spark, path)
+    heads = records.groupBy("file").agg(F.min("seq").alias("head"))
+    rows = records.join(heads, "file").where("seq > head").select(F.from_csv("record", EXTRACTION, {"quote": '"', "escape": '"', "multiLine": "true"}).alias("r"), F.col("seq").alias("row_seq"))
+    rows = rows.select("r.*", "row_seq")
+    return renamed(rows.select(*[F.coalesce(c, F.lit("")).alias(c) if c not in ("line", "row_seq") else F.col(c) for c in rows.columns]))
 
 
 #: Which part of a stored table the rows of a kind lie in.
