@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right as bisect
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,6 @@ _KEYWORDS = (b"passw", b"secret", b"token", b"api")
 _RUN = re.compile(rb"[A-Za-z0-9+/_=-]{20,}")
 #: Candidates in a run, from long to short; padding belongs to what it ends.
 _PIECES = (re.compile(rb"[A-Za-z0-9+/_-]{20,}=*"), re.compile(rb"[A-Za-z0-9+_-]{20,}=*"), re.compile(rb"[A-Za-z0-9]{20,}=*"))
-_WHOLE = 4096  # from this length on a random token is taken as it is, without a look at its pieces
 
 #: Alphabets tried from the smallest on; the first that has all of a token's symbols is its encoding.
 ENCODINGS = (
@@ -144,13 +144,24 @@ def _base_spans(text: bytes) -> list[tuple[int, int, str]]:
 def _candidates(text: bytes, base: list[tuple[int, int, str]], reject: float) -> tuple[list[tuple[int, int, str, float]], list[int]]:
     """Byte spans outside the base ones that pass the battery, with the p-value of ordinary writing; and how many were tried in each stratum."""
     out, tried = [], [0] * len(STRATA)
+    apart: list[list[int]] = []  # base spans, joined where they overlap, so that one sweep takes runs and spans along
+    for a, b, _ in base:
+        if apart and a <= apart[-1][1]:
+            apart[-1][1] = max(apart[-1][1], b)
+        else:
+            apart.append([a, b])
+    next_span = 0
     for m in _RUN.finditer(text):
         at = m.start()
-        for a, b, _ in [*base, (m.end(), m.end(), "")]:
-            if b >= at and a <= m.end():
-                if a - at >= 20:
-                    out += _in_run(text, at, a, reject, tried)
-                at = max(at, b)
+        while next_span < len(apart) and apart[next_span][1] <= at:
+            next_span += 1
+        while at < m.end():
+            stop, after = apart[next_span] if next_span < len(apart) and apart[next_span][0] < m.end() else (m.end(), m.end())
+            if stop - at >= 20:
+                out += _in_run(text, at, stop, reject, tried)
+            at = after
+            if at < m.end():
+                next_span += 1
     return out, tried
 
 
@@ -160,18 +171,19 @@ def _in_run(text: bytes, start: int, end: int, reject: float, by_stratum: list[i
     for pieces in _PIECES:
         for m in pieces.finditer(text, start, end):
             span = m.span()
-            if span in tried or any(a <= span[0] and span[1] <= b and b - a >= _WHOLE for a, b, *_ in passed):
+            if span in tried:
                 continue
             tried.add(span)
             by_stratum[sum(span[1] - span[0] >= x for x in STRATA[1:])] += 1
             found = battery(m.group())
             if found and min(found[1:4]) >= reject:
                 passed.append((*span, found[0], found[4]))
-    out: list[tuple[int, int, str, float]] = []
+    out: list[tuple[int, int, str, float]] = []  # in order, and apart from each other: only the neighbours of a place can overlap
     for a, b, encoding, p in sorted(passed, key=lambda x: (x[3], x[0] - x[1], x[0])):
-        if all(b <= c or d <= a for c, d, *_ in out):
-            out.append((a, b, encoding, min(1.0, p * len(tried))))
-    return sorted(out)
+        at = bisect(out, a, key=lambda x: x[0])
+        if (not at or out[at - 1][1] <= a) and (at == len(out) or b <= out[at][0]):
+            out.insert(at, (a, b, encoding, min(1.0, p * len(tried))))
+    return out
 
 
 SCANNED = "doc_id long, base array<struct<kind: string, start: int, end: int>>, more array<struct<kind: string, start: int, end: int, encoding: string, p: double>>, tried array<int>"
