@@ -34,7 +34,7 @@ BUCKET_TOKENS, FLUSH, GROUPS = 600_000, 400_000, 256
 MOST_PAIRED = 64
 #: A token is heavy from this many holders on, and from this share of all holdings; so there are at most HEAVY_SHARE of them.
 HEAVY, HEAVY_SHARE = 1000, 100_000
-#: Rows without an id stand under ids from here on.
+#: Rows without an id stand under numbers from here on.
 NAMELESS = 2**62
 
 
@@ -265,26 +265,46 @@ def jaccard_classes(
     has no shingles, links with nothing and is its own component, as is every document without a
     partner. Rows that share an id are one document: linked to whatever either of them links to. Rows
     with a null id take part like all others, those of equal text as one document; their id stays null,
-    and so does the component of documents that reach no id. Ids must be under 2 ** 62. An empty table
+    and so does the component of documents that reach no id. Ids may be any long. An empty table
     gives an empty result. Other columns are not read.
     """
-    null_of = lambda c: F.when(F.col(c) < NAMELESS, F.col(c)).alias(c)
-    return _classes(docs, text, doc_id, width, threshold).select(null_of("doc_id"), "n_shingles", null_of("component_id"))
-
-
-def node_id(doc_id: Column, text: Column) -> Column:
-    """The id, or one from the text for rows without."""
-    return F.coalesce(doc_id.cast("long"), F.lit(NAMELESS) + F.pmod(F.xxhash64(text.cast("string")), F.lit(NAMELESS)))
+    given, names = _nodes(docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text")))
+    found = _classes(given, width, threshold)
+    for c in ("doc_id", "component_id"):
+        if names is None:
+            continue
+        if isinstance(names, DataFrame):
+            found = found.join(names.withColumnsRenamed({"node": c, "id": "real"}), c, "left").withColumn(c, F.col("real")).drop("real")
+        else:
+            found = found.withColumn(c, F.when(F.col(c) < names, F.col(c)))
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
+def _nodes(rows: DataFrame) -> tuple[DataFrame, DataFrame | int | None]:
+    """The rows (id, text, ...) with doc_id, the number they take part under, in the order of ids and after all of them for rows without.
+
+    Numbers are the ids themselves if every row has one, or if the largest leaves room for those without; what these start from comes along. Otherwise ids
+    are numbered in their order, and (node, id) comes along.
+    """
+    nameless = lambda: F.lit(NAMELESS) + F.pmod(F.xxhash64("text"), F.lit(NAMELESS))
+    n, named, largest = rows.agg(F.count("*"), F.count("id"), F.max("id")).first()
+    if n == named:
+        return rows.withColumn("doc_id", F.col("id")), None
+    if (largest or 0) < NAMELESS:
+        return rows.withColumn("doc_id", F.coalesce("id", nameless())), NAMELESS
+    order = durable(rows.select("id").where("id IS NOT NULL").distinct().repartitionByRange("id").sortWithinPartitions("id").select(F.monotonically_increasing_id().alias("node"), "id"), "jaccard-numbers")
+    numbered = rows.join(order, "id", "left").withColumn("doc_id", F.coalesce("node", nameless())).drop("node")
+    return numbered, order
 
 
 def _heavy(holdings: int) -> int:
     return max(HEAVY, -(-holdings // HEAVY_SHARE))
 
 
-def _classes(docs: DataFrame, text: str, doc_id: str, width: int, threshold: tuple[int, int]) -> DataFrame:
-    """jaccard_classes with ids for the rows that have none."""
+def _classes(given: DataFrame, width: int, threshold: tuple[int, int]) -> DataFrame:
+    """jaccard_classes of (doc_id, text), all with a number."""
     num, den = threshold
-    given = docs.select(node_id(F.col(f"`{doc_id}`"), F.col(f"`{text}`")).alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    given = given.select("doc_id", "text")
     frequent = frequent_tokens(given, width)
     signed = durable(signatures(given, frequent, width, num, den), "jaccard-signatures")
     classes = signed.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"))
@@ -299,7 +319,7 @@ def _classes(docs: DataFrame, text: str, doc_id: str, width: int, threshold: tup
     ).select("doc_id", "n", "token", (F.col("n") - F.col("ahead") - F.col("k")).alias("rest"))
     held = held.union(met.where("x = y").select(F.col("x").alias("doc_id"), "n", "token", "rest"))
     held = durable(held.groupBy("doc_id", "n", "token").agg(F.max("rest").alias("rest")), "jaccard-frequent")
-    best = held.groupBy("token").agg(F.max_by(F.struct("doc_id", "n", "rest"), F.struct("rest", -F.col("doc_id"))).alias("l"), F.count(F.lit(1)).alias("holders")).where("holders > 1")
+    best = held.groupBy("token").agg(F.max_by(F.struct("doc_id", "n", "rest"), F.struct("rest", F.bitwise_not("doc_id"))).alias("l"), F.count(F.lit(1)).alias("holders")).where("holders > 1")
     best = durable(best, "jaccard-stars")
     heavy = F.col("holders") >= _heavy(held.count())
     few = F.broadcast(best.where(heavy))
@@ -378,10 +398,11 @@ def representatives(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
     Documents without shingles all stay. Of a component in which no document has an id, the rows of one text
     stay; of rows without id that have the same text, one does. An empty table gives an empty result.
     """
-    found = _classes(docs, text, doc_id, width, threshold)
-    gone = durable(found.where("n_shingles > 0 AND component_id <> doc_id").select(F.col("doc_id").alias("gone id")).distinct(), "jaccard-gone")
-    key = node_id(docs[f"`{doc_id}`"], docs[f"`{text}`"])
-    kept = docs.withColumn("node id", key).join(small_side(gone), F.col("node id") == F.col("gone id"), "left_anti")
-    blank = F.regexp_count(F.coalesce(docs[f"`{text}`"].cast("string"), F.lit("")), F.lit(WORD)) == 0
-    single = docs[f"`{doc_id}`"].isNotNull() | blank
-    return kept.where(single).unionByName(kept.where(~single).dropDuplicates(["node id"])).drop("node id")
+    own = {c: f"given {i}" for i, c in enumerate(docs.columns)}
+    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"), *[F.col(f"`{c}`").alias(a) for c, a in own.items()])
+    rows, _ = _nodes(rows)
+    found = _classes(rows, width, threshold)
+    gone = durable(found.where("n_shingles > 0 AND component_id <> doc_id").select("doc_id").distinct(), "jaccard-gone")
+    kept = rows.join(small_side(gone), "doc_id", "left_anti")
+    single = F.col("id").isNotNull() | (F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)) == 0)
+    return kept.where(single).unionByName(kept.where(~single).dropDuplicates(["doc_id"])).select(*[F.col(f"`{a}`").alias(c) for c, a in own.items()])

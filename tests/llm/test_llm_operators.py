@@ -452,6 +452,18 @@ def test_jaccard_rows_without_ids(spark):
     assert len(kept) == 5 and sum((t or "").startswith("v0") for t in kept) == 1 and " ".join(one) in kept
 
 
+def test_jaccard_ids_over_the_whole_range(spark):
+    """Ids of any size survive, with and without rows that have none."""
+    words_of = lambda i: " ".join(f"w{i}x{j}" for j in range(40))
+    rows = [(2**62 + 5, words_of(1)), (7, words_of(1)), (2**62 + 9, words_of(2)), (-(2**63), words_of(3)), (2**63 - 1, words_of(3)), (2**63 - 2, words_of(4)), (-5, words_of(4) + " more")]
+    for extra in ([], [(None, words_of(2)), (None, words_of(5)), (None, None)]):
+        df = spark.createDataFrame(rows + extra, "doc_id long, text string").repartition(2)
+        got = collections.Counter((i, c) for i, _, c in rows_of(jaccard.jaccard_classes(df)))
+        wanted = {2**62 + 5: 7, 7: 7, 2**62 + 9: 2**62 + 9, -(2**63): -(2**63), 2**63 - 1: -(2**63), 2**63 - 2: -5, -5: -5}
+        assert got == collections.Counter([*wanted.items(), *([(None, 2**62 + 9), (None, None), (None, None)] if extra else [])])
+        assert sorted((r.doc_id is None, r.doc_id or 0) for r in jaccard.representatives(df).collect()) == [(False, i) for i in sorted(set(wanted.values()))] + [(True, 0)] * (2 if extra else 0)
+
+
 def test_jaccard_heavy_tokens(spark, monkeypatch):
     """With low limits every path for heavy tokens is taken; links are the same."""
     monkeypatch.setattr(jaccard, "HEAVY", 8)
