@@ -96,6 +96,12 @@ def top_rows(slices: list[np.ndarray], among: np.ndarray, k: int) -> np.ndarray:
     return np.concatenate([rows(sure), rows(tied)[:need]])
 
 
+def row_values(slices: list[list[np.ndarray]], low: np.ndarray, row: int) -> list[int]:
+    """A row's quantised vector, read back from the bitmaps."""
+    bit = np.uint64(row % 64)
+    return [int(least) + sum(int(b[row // 64] >> bit & np.uint64(1)) << i for i, b in enumerate(bits)) for bits, least in zip(slices, low, strict=True)]
+
+
 def _index(vectors: DataFrame, blocks: int) -> DataFrame:
     """One row per block: ids in ascending order and quantised values, the source of its slices."""
 
@@ -119,8 +125,8 @@ def top_k(
     """query_id, rank (from 1), vec_id, score: for every vector whose id is divisible by `every` its k best others.
 
     Vectors null or holding null or non-finite components, and rows with a null id, take no part; of
-    vectors of unequal length the missing components count as 0, an empty one scores 0. Of rows that share
-    an id divisible by `every` the smallest quantised vector asks. Rows that share an id with the query are not its candidates; other repeated rows are candidates each. An empty table
+    vectors of unequal length the missing components count as 0, an empty one scores 0. Repeated rows are rows each: every one of them asks, and
+    is a candidate of all others, so that a row's twin, or another vector under its id, can be among its best. An empty table
     gives an empty result. Other columns are not read.
     """
     spark = vectors.sparkSession
@@ -130,9 +136,10 @@ def top_k(
     blocks = max(1, -(-kept.count() // BLOCK_ROWS))
     python_ready(spark, 10_000)
     index = durable(_index(kept, blocks), "topk-index")
-    asked = kept.where(F.col("id") % every == 0).groupBy("id").agg(F.min("q").alias("q"))
+    asked = kept.where(F.col("id") % every == 0).groupBy("id", "q").agg(F.count("*").alias("copies"))
+    asked = durable(asked.withColumn("ask", F.monotonically_increasing_id()), "topk-asked")
     groups = max(1, -(-asked.count() // BLOCK_QUERIES))
-    asked = asked.withColumn("group", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int")).groupBy("group").agg(F.collect_list(F.struct("id", "q")).alias("queries"))
+    asked = asked.withColumn("group", F.pmod(F.xxhash64("id", "q"), F.lit(groups)).cast("int")).groupBy("group").agg(F.collect_list(F.struct("id", "q", "ask", "copies")).alias("queries"))
     sent = asked.select("group", "queries", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,17 +161,20 @@ def top_k(
                     scores, offset = score_slices(q, low, slices, full)
                     among = full.copy()
                     for r in range(np.searchsorted(ids, query["id"]), np.searchsorted(ids, query["id"], "right")):
-                        among[r // 64] &= ~(np.uint64(1) << np.uint64(r % 64))
+                        if row_values(slices, low, r) == [*query["q"], *[0] * (len(low) - len(query["q"]))]:  # the row itself, or a twin in its place
+                            among[r // 64] &= ~(np.uint64(1) << np.uint64(r % 64))
+                            break
                     for r in top_rows(scores, among, k).tolist():
                         score = offset + sum(int(s[r // 64] >> np.uint64(r % 64) & np.uint64(1)) << i for i, s in enumerate(scores))
-                        out.append((query["id"], int(ids[r]), score))
+                        out.append((query["ask"], query["copies"], query["id"], int(ids[r]), score))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["ask", "copies", "query_id", "vec_id", "score"])
 
     # A pair of query group and block is a task's work of equal size, so pairs are dealt by number: by size they look small and would lie together.
     pairs = sent.join(index, "block").withColumn("cell", F.col("block") * F.lit(groups) + F.col("group"))
     parts = min(blocks * groups, max(MOST_PARTS, 4 * spark.sparkContext.defaultParallelism))
     dealt = pairs.repartitionById(parts, F.pmod(F.col("cell"), F.lit(parts)).cast("int"))
-    matched = dealt.select("queries", "ids", "low", "widths", "slices").mapInArrow(search, "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return matched.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    matched = dealt.select("queries", "ids", "low", "widths", "slices").mapInArrow(search, "ask long, copies long, query_id long, vec_id long, score long")
+    best = Window.partitionBy("ask").orderBy(F.desc("score"), "vec_id")
+    ranked = matched.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return ranked.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("query_id", "rank", "vec_id", "score")

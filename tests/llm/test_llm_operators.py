@@ -369,20 +369,17 @@ def test_junk_falls_and_prose_stays(spark):
 # Top-k
 
 def brute_top(vectors, every=50, k=5):
-    q = {}
-    for i, v in vectors:
-        if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
-            q.setdefault(i, []).append(np.floor(256 * np.array(v, float)).astype(np.int64))
+    """By rows, whatever ids they share."""
+    q = [(i, np.floor(256 * np.array(v, float)).astype(np.int64)) for i, v in vectors if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
-    for i, mine in q.items():
-        if i % every:
-            continue
-        scores = []
-        for j, others in q.items():
-            for o in others if j != i else ():
-                n = min(len(o), len(mine[0]))
-                scores.append((-int(mine[0][:n] @ o[:n]), j))
-        out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(sorted(scores)[:k])]
+    for a, (i, mine) in enumerate(q):
+        if i % every == 0:
+            scores = []
+            for b, (j, other) in enumerate(q):
+                if a != b:
+                    n = min(len(other), len(mine))
+                    scores.append((-int(mine[:n] @ other[:n]), j))
+            out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(sorted(scores)[:k])]
     return sorted(out)
 
 
@@ -394,8 +391,10 @@ def test_top_k_is_exact(spark):
     df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").withColumnRenamed("x", "x").selectExpr("*", "1 AS id", "2 AS score").repartition(3)
     assert sorted(rows_of(topk.top_k(df))) == brute_top(vectors)
     twice = df.union(df.where("vec_id = 100").selectExpr("vec_id", "transform(embedding, x -> x - 0.5D) AS embedding", "1 AS id", "2 AS score"))
-    smaller = [(i, [x - 0.5 for x in v]) for i, v in vectors if i == 100]
-    assert sorted(x for x in rows_of(topk.top_k(twice)) if x[0] == 100) == [x for x in brute_top(smaller + [v for v in vectors if v[0] != 100]) if x[0] == 100]
+    more = vectors + [(i, [x - 0.5 for x in v]) for i, v in vectors if i == 100]
+    assert sorted(rows_of(topk.top_k(twice))) == brute_top(more)
+    again = twice.union(df.where("vec_id IN (50, 100)"))
+    assert sorted(rows_of(topk.top_k(again))) == brute_top(more + [v for v in vectors if v[0] in (50, 100)])
     assert topk.top_k(df.where("1 = 0")).count() == 0
     assert len(rows_of(topk.top_k(df.where("vec_id IN (0, 1)")))) == 1
 
