@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from boundarylens.plans import cache_queries  # noqa: F401 - registers its queries
+from boundarylens.plans import cache_queries, finding_queries, schema_queries  # noqa: F401 - they register their queries
 from boundarylens.plans.queries import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
