@@ -9,6 +9,7 @@ from boundarylens.functions import expressions as X
 from boundarylens.operators import chains as C
 from boundarylens.operators import pairing as P
 from boundarylens.operators.verdicts import CHAIN_FACTS, STAGES
+from boundarylens.sources.documents import pretty_column
 
 #: Fixed values of the chain document.
 VERSION, PLATFORM, PRODUCER_RUN = "0.3.0", "GitHub Actions", "github.run_id"
@@ -63,9 +64,13 @@ def _endpoint(side: str, kind: str) -> Column:
     )
 
 
+def _place(i: int) -> Column:
+    at = F.col("places")[i]
+    return F.struct(at.file.alias("workflowFile"), at.workflow.alias("workflowName"), at.job_id.alias("jobId"), at.step_index.cast("int").alias("stepIndex"), at.meaning.alias("meaning"))
+
+
 def chain(table_source: str) -> Column:
     """The nested document of an annotated row."""
-    place = lambda i: F.struct(*[F.col("places")[i][k].alias(n) for k, n in (("file", "workflowFile"), ("workflow", "workflowName"), ("job_id", "jobId"))], F.col("places")[i].step_index.cast("int").alias("stepIndex"), F.col("places")[i].meaning.alias("meaning"))
     return F.struct(
         F.lit(VERSION).alias("schemaVersion"),
         F.struct(F.col("scenario").alias("id"), F.lit(PLATFORM).alias("platform"), "description", F.col("evidence_status").alias("evidenceStatus")).alias("scenario"),
@@ -74,7 +79,7 @@ def chain(table_source: str) -> Column:
             F.lit("artifact").alias("kind"), F.lit(PRODUCER_RUN).alias("producerRunSelector"), F.lit(X.WORKFLOW_RUN_ID).alias("consumerRunSelector"),
             F.array(*[F.lit(b) for b in P.MATCH_BASIS]).alias("identityBasis"), "name",
         ).alias("sharedObject"),
-        F.struct(*CHAIN_FACTS).alias("facts"), F.struct(*[place(i).alias(s) for i, s in enumerate(STAGES)]).alias("traceMap"),
+        F.struct(*CHAIN_FACTS).alias("facts"), F.struct(*[_place(i).alias(s) for i, s in enumerate(STAGES)]).alias("traceMap"),
         F.array(F.struct(F.lit("static").alias("kind"), F.lit(table_source).alias("source"), F.lit(EVIDENCE_CLAIM).alias("claim"))).alias("evidence"),
         F.transform("records", lambda r: F.struct(r.element.alias("element"), r.source_kind.alias("sourceKind"), r.source.alias("source"), r.claim.alias("claim"))).alias("provenance"),
     )
@@ -86,6 +91,21 @@ def chain_documents(rows: DataFrame, table_source: str) -> DataFrame:
     return sound.select("scenario", F.concat(F.lower("scenario"), F.lit(".json")).alias("file"), F.to_json(chain(table_source), NULLS).alias("document"))
 
 
+def chain_files(rows: DataFrame, table_source: str) -> DataFrame:
+    """file, document: the same documents as they are written, each on lines of its own."""
+    sound = rows.where(F.size(C.provenance_faults(F.col("records"))) == 0).select(F.concat(F.lower("scenario"), F.lit(".json")).alias("file"), chain(table_source).alias("chain"))
+    return sound.select("file", pretty_column(sound, "chain").alias("document"))
+
+
+def configured_chain() -> Column:
+    """The nested document of a configured row: what its configuration tells is taken from there."""
+    shared = F.struct(*[F.col(f"sharedObject.{c}").alias(c) for c in ("kind", "producerRunSelector", "consumerRunSelector", "identityBasis")], F.col("name"))
+    return F.struct(
+        "schemaVersion", F.col("told").alias("scenario"), _endpoint("producer", "artifactWriteIntent").alias("producer"), _endpoint("consumer", "artifactReadIntent").alias("consumer"),
+        shared.alias("sharedObject"), F.struct(*CHAIN_FACTS).alias("facts"), F.struct(*[_place(i).alias(s) for i, s in enumerate(STAGES)]).alias("traceMap"), "evidence",
+    )
+
+
 def configured(configs: DataFrame, operations: DataFrame, workflows: DataFrame) -> DataFrame:
     """Chains that a configuration names by hand: one row per config whose two operations exist once, with equal names.
 

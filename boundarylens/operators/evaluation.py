@@ -43,6 +43,35 @@ def stage_array(text: Column) -> Column:
     return F.filter(stages, lambda x, i: (i == 0) | (x != F.get(stages, i - 1)))
 
 
+def output_lines(numbered: DataFrame) -> DataFrame:
+    """file, split, line, part, value: lines of checker outputs (readers.numbered_lines), also where a carriage return alone ends them."""
+    plain = F.regexp_replace("value", r"\r$", "")
+    return numbered.select("file", "split", "line", F.posexplode(F.split(plain, "\r")).alias("part", "value"))
+
+
+def file_verdicts(lines: DataFrame) -> DataFrame:
+    """file, verdict, told (the first specification line), violated: of whole outputs. Sums over lines, so that one large output is no task's alone."""
+    spec = F.when(F.col("value").startswith(SPEC_LINE), F.struct("line", "part"))
+    first = lines.groupBy("file").agg(F.min_by("value", spec).alias("told"), F.max(violated(F.col("value"))).alias("violated"), F.count(spec).alias("n"))
+    told = F.when(F.col("n") > 0, F.col("told"))
+    return first.select("file", verdict(told).alias("verdict"), told.alias("told"), "violated")
+
+
+def file_stages(lines: DataFrame) -> DataFrame:
+    """file, ord (from 1), stage: the stages of whole outputs in order, repeats next to each other as one.
+
+    Each split collapses its own; its first stage is held against the last one of the splits before, and its places start after theirs.
+    """
+    rows = lines.select("file", "split", "line", "part", F.regexp_extract("value", STAGE_LINE, 1).alias("stage")).where("stage <> ''")
+    here, ahead = Window.partitionBy("file", "split").orderBy("line", "part"), Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.groupBy("file", "split").agg(F.max_by("stage", F.struct("line", "part")).alias("end"))
+    handed = ends.select("file", "split", F.last("end").over(ahead).alias("handed"))
+    changed = rows.withColumn("before", F.lag("stage").over(here)).join(handed, ["file", "split"]).where("coalesce(before, handed) IS NULL OR coalesce(before, handed) <> stage")
+    counts = changed.groupBy("file", "split").agg(F.count("*").alias("n"))
+    counts = counts.select("file", "split", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("earlier"))
+    return changed.join(counts, ["file", "split"]).select("file", (F.col("earlier") + F.row_number().over(here)).cast("int").alias("ord"), "stage")
+
+
 def explained(output: Column, places: Column) -> Column:
     """(ord, stage, file, workflow, job_id, step_index, meaning) of the stages in an output, an array.
 
@@ -56,13 +85,26 @@ def explained(output: Column, places: Column) -> Column:
     return F.filter(F.transform(stage_array(output), row), lambda x: x.isNotNull())
 
 
+def file_markdown(chains: DataFrame, verdicts: DataFrame, stages: DataFrame) -> DataFrame:
+    """scenario, document: explanations of whole outputs. chains: scenario, places, name; verdicts and stages with the name of the chain that they are of. Stages without a place fall away."""
+    place = chains.select("name", F.explode("places").alias("p")).select("name", "p.*").drop("ord")
+    rows = stages.join(place, ["name", "stage"]).groupBy("name").agg(F.array_sort(F.collect_list(F.struct("ord", "stage", "file", "workflow", "job_id", "step_index", "meaning"))).alias("rows"))
+    met = stages.groupBy("name").agg(F.count("*").alias("met"))
+    told = chains.join(verdicts, "name").join(rows, "name", "left").join(met, "name", "left")
+    return told.select("scenario", _page(F.col("scenario"), F.col("violated"), F.coalesce("met", F.lit(0)) == 0, F.coalesce("rows", F.array().cast(rows.schema["rows"].dataType))).alias("document"))
+
+
 def markdown(key: Column, output: Column, places: Column) -> Column:
     """The explanation of an output as a document."""
+    return _page(key, violated(output), F.size(stage_array(output)) == 0, explained(output, places))
+
+
+def _page(key: Column, bad: Column, empty: Column, rows: Column) -> Column:
     tick = lambda c: F.concat(F.lit("`"), c, F.lit("`"))
     line = lambda x: F.concat(F.lit("| "), F.concat_ws(" | ", x.ord.cast("string"), tick(x.stage), tick(x.file), tick(x.job_id), x.step_index, x.meaning), F.lit(" |\n"))
-    head = F.concat(F.lit("# "), key, F.lit(TITLE), F.lit("\n\n"), F.lit(SAFETY), F.when(violated(output), VIOLATED).otherwise(HELD), F.lit("\n\n"))
-    table = F.concat(F.lit(TABLE_HEAD + "\n"), F.array_join(F.transform(explained(output, places), line), ""))
-    return F.concat(head, F.when(F.size(stage_array(output)) == 0, F.lit(NO_TRACE + "\n")).otherwise(table))
+    head = F.concat(F.lit("# "), key, F.lit(TITLE), F.lit("\n\n"), F.lit(SAFETY), F.when(bad, VIOLATED).otherwise(HELD), F.lit("\n\n"))
+    table = F.concat(F.lit(TABLE_HEAD + "\n"), F.array_join(F.transform(rows, line), ""))
+    return F.concat(head, F.when(empty, NO_TRACE + "\n").otherwise(table))
 
 
 def judged(cases: DataFrame) -> DataFrame:

@@ -69,6 +69,11 @@ def of_chains(rows: DataFrame) -> DataFrame:
     )
 
 
+def of_facts(rows: DataFrame) -> DataFrame:
+    """Chain rows (id, eleven facts) without records: facts that are none of the three values."""
+    return _rows(C.bad_facts(rows), "no such fact value", F.col("id"), F.concat_ws("=", "fact", "value"))
+
+
 def of_lookups(wanted: DataFrame, operations: DataFrame, table: DataFrame) -> DataFrame:
     """Operations named by hand (producer, producer_op, consumer, consumer_op): not exactly one, workflows without exactly one event, names that differ."""
     side = lambda s: wanted.select(F.col(s).alias("workflow"), F.col(f"{s}_op").alias("op_id")).distinct()

@@ -26,30 +26,51 @@ CHAIN = (
     "consumerUsesObject: STRING, integrityCheckPresent: STRING, integrityCheckPassed: STRING, privilegedConsumer: STRING, hasAuthority: STRING>, "
     f"traceMap STRUCT<start: {_AT}, object_written: {_AT}, object_restored: {_AT}, object_used: {_AT}, integrity_checked: {_AT}, authority_reached: {_AT}>"
 )
+#: What is read of a model document, and a chain's configuration.
+MODEL = (
+    "workflow STRUCT<name: STRING, file: STRING, events: ARRAY<STRUCT<name: STRING, externallyTriggerable: BOOLEAN, privileged: BOOLEAN>>>, "
+    "sharedStateOperations ARRAY<STRUCT<id: STRING, kind: STRING, jobId: STRING, stepIndex: INT, key: STRING, path: STRING, name: STRING, runId: STRING>>, "
+    "verificationFacts STRUCT<sameObject: STRING, consumerUsesObject: STRING, integrityVerified: STRING, privilegedConsumer: STRING, hasAuthority: STRING>, "
+    "runtimeObservations ARRAY<STRUCT<id: STRING, platformPolicy: STRUCT<cacheWriteDecision: STRING>, operationResults: ARRAY<STRUCT<operationId: STRING, outcome: STRING>>>>"
+)
+CONFIG = (
+    "schemaVersion STRING, scenario STRUCT<id: STRING, platform: STRING, description: STRING, evidenceStatus: STRING>, producerModel STRING, consumerModel STRING, "
+    "producerOperationId STRING, consumerOperationId STRING, facts MAP<STRING, STRING>, "
+    "sharedObject STRUCT<kind: STRING, producerRunSelector: STRING, consumerRunSelector: STRING, identityBasis: ARRAY<STRING>>, useStepIndex INT, integrityStepIndex INT, "
+    "authority STRUCT<jobId: STRING, stepIndex: INT, meaning: STRING>, evidence ARRAY<STRUCT<kind: STRING, source: STRING, claim: STRING>>"
+)
 MANIFEST = "schemaVersion STRING, cases ARRAY<STRUCT<id: STRING, model: STRING, expectedVerdict: STRING, basis: STRING>>"
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """file, record, seq: the records of CSV files, each as text, in order of file names and of lines.
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, split, value, line (from 0 in its file), files_before (lines of all files before it), quotes, inside, broken: the lines of text files.
 
-    Files are read in splits, by many tasks; a record may hold line breaks inside quotes and reach over any number of splits. A line
-    is inside quotes if the quotes before it are odd in number: a sum over the splits gives how each begins, and only splits with an open quote
-    have their lines ordered. Quotes inside quoted fields are doubled, as RFC 4180 says. Blank lines between records are no records; a byte order
-    mark is no text. An unclosed quote leaves the rest of its file in one record.
+    Files are read in splits, by many tasks; sums over the splits, few rows, give where each begins. inside tells whether the quotes before a split are odd in number, broken
+    whether that or a line in it with an odd number of quotes makes the state of its lines differ.
     """
     lines = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true").text(path)
     at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"))
     lines = lines.select(at.alias("at"), "value").select("at.file", "at.split", F.monotonically_increasing_id().alias("place"), F.col("value"), F.length(F.regexp_replace("value", '[^"]', "")).alias("quotes"))
-    lines = stored(lines, "csv-lines")
-    # Few rows: one for each split. What comes before a split in its file, and before a file in all.
+    lines = stored(lines, "text-lines")
     splits = lines.groupBy("file", "split").agg(F.min("place").alias("first"), F.count("*").alias("lines"), F.sum("quotes").alias("quotes"), F.max(F.col("quotes") % 2).alias("opens"))
     ahead = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
     splits = splits.withColumns({"lines_before": F.coalesce(F.sum("lines").over(ahead), F.lit(0)), "quotes_before": F.coalesce(F.sum("quotes").over(ahead), F.lit(0))})
     files = splits.groupBy("file").agg(F.sum("lines").alias("lines"))
     files = files.select("file", F.coalesce(F.sum("lines").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("files_before"))
     starts = splits.join(files, "file").select("file", "split", "first", "lines_before", "files_before", (F.col("quotes_before") % 2).alias("inside"), ((F.col("opens") == 1) | (F.col("quotes_before") % 2 == 1)).alias("broken"))
-    numbered = lines.join(starts, ["file", "split"]).select(
+    return lines.join(starts, ["file", "split"]).select(
         "file", "split", "value", "quotes", "inside", "broken", (F.col("lines_before") + F.col("place") - F.col("first")).alias("line"), "files_before")
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """file, record, seq: the records of CSV files, each as text, in order of file names and of lines.
+
+    A record may hold line breaks inside quotes and reach over any number of splits. A line
+    is inside quotes if the quotes before it are odd in number, and only splits with an open quote
+    have their lines ordered. Quotes inside quoted fields are doubled, as RFC 4180 says. Blank lines between records are no records; a byte order
+    mark is no text. An unclosed quote leaves the rest of its file in one record.
+    """
+    numbered = numbered_lines(spark, path)
     text = F.regexp_replace("value", r"\r$", "")
     whole = numbered.where("NOT broken").select("file", "line", "files_before", text.alias("record"))
     # In a broken split a line belongs to the record of the last line before it that began outside quotes; one that none precedes, to the last of earlier splits.
@@ -103,7 +124,12 @@ def renamed(raw: DataFrame) -> DataFrame:
 
 def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Whole documents, never inferred: field order and absent fields stay as in the schema."""
-    return spark.read.schema(schema).json(path, multiLine=True)
+    return spark.read.schema(schema).json(path, multiLine=True, recursiveFileLookup=True)
+
+
+def read_named(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The same with the column path: where each document comes from."""
+    return read_json(spark, path, schema).select("*", F.col("_metadata.file_path").alias("path"))
 
 
 def write_json(df: DataFrame, path: str) -> None:

@@ -131,7 +131,10 @@ def test_from_files_to_chains_and_reports(spark, tmp_path):
     assert "-- TRACE start: w.yml:w:2 - " in text and "producer_untrusted := TRUE;" in text and "FROZENVAR" not in text
     manifest = tmp_path / "m.json"
     manifest.write_text(json.dumps({"schemaVersion": "0.1.0", "cases": [{"id": "a", "model": "x/case-1.json", "expectedVerdict": "unsafe"}, {"id": "b", "model": "gone.json", "expectedVerdict": "safe"}]}))
-    cases, report = api.evaluate(spark, str(manifest), str(tmp_path / "chains"), output=str(tmp_path / "out"))
+    with pytest.raises(violations.Violations, match=r"no such chain: b: gone\.json"):
+        api.evaluate(spark, str(manifest), str(tmp_path / "chains"))
+    done = api.evaluate(spark, str(manifest), str(tmp_path / "chains"), output=str(tmp_path / "out"), strict=False)
+    cases, report = done.cases, done.report
     assert {(r.id, r.actual, r.correct) for r in cases.collect()} == {("a", "unsafe", True), ("b", None, None)}
     assert json.loads(report.first().document)["summary"]["confusionMatrix"]["truePositive"] == 1
     told = api.explain(spark, str(tmp_path / "chains"), spark.createDataFrame([("CASE-1", OUTPUT)], "scenario string, output string")).first().document
