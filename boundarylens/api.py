@@ -130,7 +130,7 @@ def check_documents(spark: SparkSession, documents_path: str, schema_path: str)
     """path, at, rule: what the JSON documents under a path break of a schema file."""
     schema = json.loads("\n".join(r.value for r in spark.read.text(schema_path, wholetext=True).collect()))
     documents = spark.read.text(documents_path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("id"), F.col("value").alias("document"))
-    return J.violations(documents, schema).withColumnsRenamed({"id": "path", "path": "at"})
+    return J.violations(documents, schema).select(F.col("id").alias("path"), F.col("path").alias("at"), "rule")
 
 
 @dataclass(frozen=True)

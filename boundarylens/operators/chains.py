@@ -28,10 +28,9 @@ SELECTOR_CLAIM = "upload-artifactは実行中runへ成果物を保存すると
 MATCH_CLAIM = "保存操作と取得操作の照合から生成した．"
 FACT_CLAIM = "CodeQL抽出結果と結合条件から算出した．"
 PLACE_CLAIM = "CodeQLが抽出した操作位置から生成した．"
-#: Fixed values end.
-
 STATIC_FACTS = ("producerUntrusted", "writeIntent", "sameObject", "privilegedConsumer")
 PLACES = {"object_used": "objectUsed", "integrity_checked": "integrityChecked", "authority_reached": "authorityReached"}
+#: Fixed values end.
 
 
 def only_event(table: DataFrame) -> DataFrame:
@@ -42,6 +41,12 @@ def only_event(table: DataFrame) -> DataFrame:
     return every.where("n = 1").drop("n")
 
 
+def lookup_counts(wanted: DataFrame, operations: DataFrame) -> DataFrame:
+    """workflow, op_id, n: how many operations each wanted name stands for; one is right."""
+    n = operations.groupBy("workflow", "op_id").agg(F.count(F.lit(1)).alias("n"))
+    return wanted.join(n, ["workflow", "op_id"], "left").select("workflow", "op_id", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def untrusted(external: Column, privileged: Column) -> Column:
     return F.when(external & ~privileged, "true").otherwise("false")
 

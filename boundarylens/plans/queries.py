@@ -136,7 +136,7 @@ def _(t):
 
 # From the table to the model
 
-@register("op_01_rows_of_workflows", "d1 ev", "SELECT workflow, kind, name, detail, row_seq FROM d1 WHERE workflow IN (SELECT workflow FROM ev WHERE event = 'workflow_run')")
+@register("op_01_rows_of_workflows", "d1", "SELECT workflow, kind, name, detail, row_seq FROM d1 WHERE workflow IN (SELECT workflow FROM d1 WHERE kind = 'event' AND name = 'workflow_run')")
 def _(t):
     wanted = M.events(t).where("event = 'workflow_run'")
     return M.workflow_rows(t, wanted).select("workflow", "kind", "name", "detail", "row_seq")
@@ -246,12 +246,12 @@ def _(t):
 
 
 def observed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as observed results of the operations of the job with their id: error is failed, purchase succeeded."""
-    e = table(spark, sf_dir, "events").where("event_type IN ('error', 'purchase')")
-    return e.selectExpr("concat('wf-', user_id) AS workflow", "concat('cache-write:', event_id, ':1') AS op_id", "CASE event_type WHEN 'error' THEN 'failed' ELSE 'succeeded' END AS outcome")
+    """Events as observed results of the operations of the job with their id: error is failed, purchase succeeded, all else not known."""
+    e = table(spark, sf_dir, "events")
+    return e.selectExpr("concat('wf-', user_id) AS workflow", "concat('cache-write:', event_id, ':1') AS op_id", "CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'succeeded' ELSE 'unknown' END AS outcome")
 
 
-S.cte("observed", "", "SELECT 'wf-' || user_id AS workflow, 'cache-write:' || event_id || ':1' AS op_id, CASE event_type WHEN 'error' THEN 'failed' ELSE 'succeeded' END AS outcome FROM events WHERE event_type IN ('error', 'purchase')")
+S.cte("observed", "", "SELECT 'wf-' || user_id AS workflow, 'cache-write:' || event_id || ':1' AS op_id, CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'succeeded' ELSE 'unknown' END AS outcome FROM events")
 
 
 @register_on("op_21_unknown_observed", "observed op", "SELECT workflow, op_id, outcome FROM observed o WHERE NOT EXISTS (SELECT 1 FROM op WHERE op.workflow = o.workflow AND op.op_id = o.op_id)")
@@ -359,9 +359,14 @@ def _(t):
     return chains_of(t).groupBy("producerUntrusted", "privilegedConsumer").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("op_44_operation_lookup", "op", "SELECT workflow, op_id, count(*) AS n FROM op GROUP BY ALL HAVING count(*) <> 1")
+@register("op_44_operation_lookup", "op", """WITH twice AS (SELECT workflow, op_id FROM op UNION ALL SELECT workflow, op_id FROM op WHERE step_index = '2'),
+wanted AS (SELECT DISTINCT workflow, op_id || CASE WHEN step_index = '3' THEN '-gone' ELSE '' END AS op_id FROM op)
+SELECT w.workflow, w.op_id, count(t.op_id) AS n FROM wanted w LEFT JOIN twice t ON w.workflow = t.workflow AND w.op_id = t.op_id GROUP BY ALL""")
 def _(t):
-    return M.operations(t).groupBy("workflow", "op_id").agg(F.count(F.lit(1)).alias("n")).where("n <> 1")
+    """How many operations each name stands for: some stand twice, and some names are of none."""
+    ops = stored(M.operations(t).select("workflow", "op_id", "step_index"), "operations")
+    wanted = ops.select("workflow", F.concat("op_id", F.when(F.col("step_index") == "3", "-gone").otherwise("")).alias("op_id")).distinct()
+    return C.lookup_counts(wanted, ops.unionByName(ops.where("step_index = '2'")))
 
 
 @register("op_46_endpoints", "chain", "SELECT id, producer, producer_file, producer_event, producer_op, consumer, consumer_file, consumer_event, consumer_op FROM chain")
@@ -512,7 +517,7 @@ def _(t):
 
 
 @register_on("op_64_runtime_facts", "op observed", """SELECT o.workflow, o.op_id, CASE c_mktsegment WHEN 'BUILDING' THEN 'false' WHEN 'HOUSEHOLD' THEN 'true' ELSE 'unknown' END AS write_authorized,
-  CASE count(outcome) WHEN 0 THEN 'unknown' WHEN 1 THEN CASE max(outcome) WHEN 'succeeded' THEN 'true' WHEN 'failed' THEN 'false' END END AS write_succeeded, count(outcome) AS n_results
+  CASE count(outcome) WHEN 0 THEN 'unknown' WHEN 1 THEN CASE max(outcome) WHEN 'succeeded' THEN 'true' WHEN 'failed' THEN 'false' ELSE 'unknown' END END AS write_succeeded, count(outcome) AS n_results
   FROM op o LEFT JOIN (SELECT workflow, 'cache-write:' || split_part(op_id, ':', 2) || ':1' AS op_id, outcome FROM observed) r USING (workflow, op_id) JOIN customer ON 'wf-' || c_custkey = o.workflow
   WHERE op_kind = 'cacheWriteIntent' GROUP BY ALL""")
 def _(spark, sf_dir):
@@ -820,14 +825,14 @@ def _(t):
 
 
 def observations_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Observations and their results: an event of some kinds observes the workflow of its user; its result is that of the write of the job of that number."""
-    e = table(spark, sf_dir, "events").where("event_type IN ('error', 'purchase')")
+    """Observations and their results: an event observes the workflow of its user; its result is that of the write of the job of that number."""
+    e = table(spark, sf_dir, "events")
     observations = e.selectExpr("concat('wf-', user_id) AS workflow", "concat('obs-', event_id) AS observation", "CASE event_id % 4 WHEN 0 THEN 'allowed' WHEN 1 THEN 'denied' WHEN 2 THEN 'unknown' ELSE 'perhaps' END AS decision")
-    results = e.selectExpr("concat('wf-', user_id) AS workflow", "concat('obs-', event_id) AS observation", "concat('cache-write:', event_id, ':1') AS op_id", "CASE event_type WHEN 'error' THEN 'failed' ELSE 'succeeded' END AS outcome")
+    results = e.selectExpr("concat('wf-', user_id) AS workflow", "concat('obs-', event_id) AS observation", "concat('cache-write:', event_id, ':1') AS op_id", "CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'succeeded' ELSE 'unknown' END AS outcome")
     return observations, results
 
 
-S.cte("observation", "", "SELECT 'wf-' || user_id AS workflow, 'obs-' || event_id AS observation, CASE event_id % 4 WHEN 0 THEN 'allowed' WHEN 1 THEN 'denied' WHEN 2 THEN 'unknown' ELSE 'perhaps' END AS decision, event_id, event_type FROM events WHERE event_type IN ('error', 'purchase')")
+S.cte("observation", "", "SELECT 'wf-' || user_id AS workflow, 'obs-' || event_id AS observation, CASE event_id % 4 WHEN 0 THEN 'allowed' WHEN 1 THEN 'denied' WHEN 2 THEN 'unknown' ELSE 'perhaps' END AS decision, event_id, event_type FROM events")
 
 
 @register_on("op_63_chosen_observations", "observation", "SELECT workflow, count(*) AS n, CASE WHEN count(*) = 1 THEN min(observation) END AS observation, CASE WHEN count(*) = 1 THEN min(decision) END AS decision FROM observation GROUP BY workflow")
@@ -841,14 +846,14 @@ def _(spark, sf_dir):
     return V.chosen_observations(observations_of(spark, sf_dir)[0], wanted)
 
 
-S.cte("result", "", "SELECT 'wf-' || o_custkey AS workflow, 'obs-' || o_orderkey AS observation, CASE o_orderkey % 3 WHEN 0 THEN 'allowed' ELSE 'denied' END AS decision, 'cache-write:' || o_orderkey || ':1' AS op_id, CASE o_orderstatus WHEN 'F' THEN 'failed' WHEN 'O' THEN 'succeeded' ELSE 'unknown' END AS outcome FROM orders WHERE o_orderkey % 7 = 0")
+S.cte("result", "", "SELECT 'wf-' || o_custkey AS workflow, 'obs-' || o_orderkey AS observation, CASE o_orderkey % 3 WHEN 0 THEN 'allowed' ELSE 'denied' END AS decision, 'cache-write:' || o_orderkey || ':1' AS op_id, CASE o_orderstatus WHEN 'F' THEN 'failed' WHEN 'O' THEN 'succeeded' ELSE 'unknown' END AS outcome FROM orders")
 
 
 @register_on("op_21_appended_observations", "result op head", """SELECT h.workflow, count(o.op_id) AS n, coalesce(string_agg(observation || '=' || decision || ':' || r.op_id || '=' || outcome, ',' ORDER BY observation) FILTER (o.op_id IS NOT NULL), '') AS observed
   FROM head h LEFT JOIN result r ON r.workflow = h.workflow LEFT JOIN op o ON o.workflow = r.workflow AND o.op_id = r.op_id GROUP BY h.workflow""")
 def _(spark, sf_dir):
     """Observations of orders appended to the documents; those of an operation that no model has stay out."""
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 7 = 0")
+    o = table(spark, sf_dir, "orders")
     key = ("concat('wf-', o_custkey) AS workflow", "concat('obs-', o_orderkey) AS observation")
     observations = o.selectExpr(*key, "CASE o_orderkey % 3 WHEN 0 THEN 'allowed' ELSE 'denied' END AS decision")
     results = o.selectExpr(*key, "concat('cache-write:', o_orderkey, ':1') AS op_id", "CASE o_orderstatus WHEN 'F' THEN 'failed' WHEN 'O' THEN 'succeeded' ELSE 'unknown' END AS outcome")
