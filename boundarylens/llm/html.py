@@ -27,7 +27,7 @@ import json
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import numpy as np
@@ -95,7 +95,8 @@ class TreeBuilder(HTMLParser):
         for k, v in attrs:
             if k in ("hidden",) or k == "aria-hidden" and v == "true" or k == "style" and v and re.search(r"display\s*:\s*none", v):
                 return HARD
-            if k in ("class", "id", "role") and v and tag not in ("html", "body", "article", "main"):
+            # A name on a piece of running text tells what the piece is, not that it is none.
+            if k in ("class", "id", "role") and v and tag not in INLINE and tag not in ("html", "body", "article", "main"):
                 named = named or any(map(_is_noise, v.split()))
         if tag in LEFT_OUT and tag != "form" or tag == "header" and not self.open["article"]:
             return TAGGED
@@ -180,8 +181,11 @@ def _size(nodes: list[Node], through: int = 0) -> int:
 
 
 def _spare(root: Node) -> None:
-    """An element that holds the only articles of a page, or most of its text, is no noise, whatever it is called."""
-    if _outermost(root, ("article", "main")):
+    """An element that holds the only articles of a page, or most of its text, is no noise, whatever it is called; nor is a form with most of an article's text."""
+    articles = _outermost(root, ("article", "main"))
+    if articles:
+        for article in articles:
+            _keep_most(article, lambda n: n.tag == "form")
         return
     inside = _outermost(root, ("article", "main"), TAGGED)
     if inside:
@@ -192,10 +196,15 @@ def _spare(root: Node) -> None:
                 above.noise = 0
                 above = above.up
         return
+    _keep_most(root, lambda n: True)
+
+
+def _keep_most(root: Node, of: Callable[[Node], bool]) -> None:
+    """Named elements of a kind with far more text than all that is no noise below root are none."""
     left, todo = None, [root]
     while todo:
         n = todo.pop()
-        if n.noise == NAMED:
+        if n.noise == NAMED and of(n):
             left = _size([root]) if left is None else left
             if _size([n], NAMED) > 4 * left:
                 n.noise, left = 0, None

@@ -565,6 +565,14 @@ def test_names_drop_noise_and_nothing_else():
     assert html.main_text(PAGE % f"{story}<aside><article>More</article></aside>") == "Head One two"
 
 
+def test_names_in_running_text_and_forms_around_an_article_keep_their_text():
+    assert html.main_text(PAGE % "<article><p>Use the <span class='alert'>red</span> button</p></article>") == "Use the red button"
+    assert html.main_text(PAGE % "<article><p>See <a class=comment href=x>the note</a> there</p></article>") == "See the note there"
+    body = "<p>" + "A long story told in a form. " * 20 + "</p>"
+    assert html.main_text(PAGE % f"<article><h1>Head</h1><form>{body}<select><option>no</select></form><form>Search</form></article>") == "Head " + ("A long story told in a form. " * 20).strip()
+    assert html.main_text(PAGE % f"<article>{body}<form>Sign up for more</form><div class=comments>{body * 9}</div></article>") == ("A long story told in a form. " * 20).strip()
+
+
 def test_wrapper_induction_drops_what_is_constant(spark, empty):
     body = "<div><p>Read us daily and tell your friends about it</p><div><h2>Title %d</h2><p>Story number %d of the day, with its own words.</p></div><p>Printed on paper</p></div>"
     pages = [(i, "http://h.example/%d" % i, PAGE % (body % (i, i))) for i in range(12)]
