@@ -212,9 +212,7 @@ def _file_name(path: Column) -> Column:
 
 
 def _finished(made: DataFrame, wrong: DataFrame, output: str | None, strict: bool) -> Found:
-    wrong = stored(wrong, "violations")
-    if strict:
-        W.strict(wrong)
+    wrong = W.kept(wrong, strict)
     if output is not None:
         R.write_json(made, output)
     return Found(made, wrong)

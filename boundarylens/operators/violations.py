@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from boundarylens.operators import chains as C
 from boundarylens.operators import evaluation as E
 from boundarylens.operators import model as M
 from boundarylens.operators import pairing as P
-from boundarylens.sources.readers import of_kind
+from boundarylens.sources.shared import stored
 
 
 class Violations(ValueError):
@@ -25,6 +25,15 @@ def strict(found: DataFrame, shown: int = 20) -> None:
         raise Violations("; ".join(f"{r.rule}: {r.entity}: {r.detail}" for r in first))
 
 
+def kept(found: DataFrame, stop: bool) -> DataFrame:
+    """The violations, stored once. They are counted as they are written, so that where there are none nothing is read again; with stop any raises."""
+    counted = Observation()
+    rows = stored(found.observe(counted, F.count(F.lit(1)).alias("n")), "violations")
+    if stop and counted.get["n"]:
+        strict(rows)
+    return rows
+
+
 def _rows(df: DataFrame, rule: str, entity: Column, detail: Column | None = None) -> DataFrame:
     return df.select(F.lit(rule).alias("rule"), entity.cast("string").alias("entity"), (F.lit(None) if detail is None else detail).cast("string").alias("detail"))
 
@@ -34,18 +43,28 @@ def _all(*found: DataFrame) -> DataFrame:
 
 
 def of_table(table: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
-    """The table: wanted workflows (column workflow) without rows, workflows without a header row, properties without exactly one event or without a dot, permissions without a colon, lines that are no number."""
-    known = table.select("workflow").distinct()
-    found = [
-        _rows(known.join(M.headers(table), "workflow", "left_anti"), "no workflow row", F.col("workflow")),
-        _rows(M.event_properties(table).where("n_events <> 1 AND property IS NOT NULL"), "property without one event", F.col("workflow"), F.concat_ws(".", "event", "property")),
-        _rows(of_kind(table, "event-property").where("instr(name, '.') = 0").select("workflow", "name").distinct(), "property without dot", F.col("workflow"), F.col("name")),
-        _rows(of_kind(table, "permission").where("instr(detail, ':') = 0"), "permission without colon", F.concat_ws(":", "workflow", "job_id"), F.col("detail")),
-        _rows(of_kind(table, "expression").where("line IS NULL"), "line is no number", F.col("workflow"), F.col("name")),
-    ]
-    if wanted is not None:
-        found.append(_rows(wanted.join(known, "workflow", "left_anti"), "no rows", F.col("workflow")))
-    return _all(*found)
+    """The table: wanted workflows (column workflow) without rows, workflows without a header row, properties without exactly one event or without a dot, permissions without a colon, lines that are no number.
+
+    One scan and one aggregation: a workflow's events, property names and odd rows come together in its row, and its faults are computed there.
+    """
+    is_, name = lambda kind: F.col("kind") == kind, F.col("name")
+    fault = lambda rule, detail, entity="workflow": F.struct(F.lit(rule).alias("rule"), (F.col(entity) if isinstance(entity, str) else entity).alias("entity"), detail.cast("string").alias("detail"))
+    of = table.groupBy("workflow").agg(
+        F.count_if(is_("workflow")).alias("heads"), F.collect_list(F.when(is_("event"), name)).alias("events"), F.collect_set(F.when(is_("event-property"), name)).alias("properties"),
+        F.collect_list(F.when(is_("permission") & (F.instr("detail", ":") == 0), F.struct("job_id", "detail"))).alias("permissions"),
+        F.collect_list(F.when(is_("expression") & F.col("line").isNull(), name)).alias("unnumbered"),
+    )
+    dotted, plain = F.filter("properties", lambda x: x.contains(".")), F.filter("properties", lambda x: ~x.contains("."))
+    unclear = F.filter(dotted, lambda x: F.size(F.filter("events", lambda e: e == F.substring_index(x, ".", 1))) != 1)
+    faults = F.concat(
+        F.when(F.col("heads") == 0, F.array(fault("no workflow row", F.lit(None)))).otherwise(F.array().cast("array<struct<rule: string, entity: string, detail: string>>")),
+        F.transform(unclear, lambda x: fault("property without one event", x)), F.transform(plain, lambda x: fault("property without dot", x)),
+        F.transform("permissions", lambda x: fault("permission without colon", x["detail"], F.concat_ws(":", "workflow", x["job_id"]))), F.transform("unnumbered", lambda x: fault("line is no number", x)),
+    )
+    if wanted is None:
+        return of.select(F.inline(faults))
+    both = of.join(wanted.select("workflow").distinct().withColumn("wanted", F.lit(True)), "workflow", "full")
+    return both.select(F.inline(F.when(F.col("heads").isNull(), F.array(fault("no rows", F.lit(None)))).otherwise(faults)))
 
 
 def of_scenarios(scenario_rows: DataFrame, pairs: DataFrame) -> DataFrame:
