@@ -28,6 +28,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import numpy as np
@@ -71,6 +72,7 @@ class Node:
         self.tag, self.noise, self.children, self.parts, self.spared, self.up = tag, noise, [], [], False, up
 
 
+@lru_cache(maxsize=2**16)
 def _is_noise(name: str) -> bool:
     words = [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()) if w]
     if len(words) > 1 and words[0] in SITE:
@@ -87,11 +89,17 @@ class TreeBuilder(HTMLParser):
         self.root = Node("#")
         self.stack = [self.root]
         self.open: Counter[str] = Counter()
+        self.forms = False
+
+    def updatepos(self, i: int, j: int) -> int:
+        """Line numbers are not asked for."""
+        return j
 
     def _noise(self, tag: str, attrs: list) -> int:
         if tag in LEFT_OUT and tag not in WRAPPERS:
             return HARD
         named = tag == "form"
+        self.forms = self.forms or named
         for k, v in attrs:
             if k in ("hidden",) or k == "aria-hidden" and v == "true" or k == "style" and v and re.search(r"display\s*:\s*none", v):
                 return HARD
@@ -150,7 +158,7 @@ def parse(html: str) -> Node:
     builder = TreeBuilder()
     builder.feed(html)
     builder.close()
-    _spare(builder.root)
+    _spare(builder.root, builder.forms)
     return builder.root
 
 
@@ -180,11 +188,11 @@ def _size(nodes: list[Node], through: int = 0) -> int:
     return total
 
 
-def _spare(root: Node) -> None:
+def _spare(root: Node, forms: bool) -> None:
     """An element that holds the only articles of a page, or most of its text, is no noise, whatever it is called; nor is a form with most of an article's text."""
     articles = _outermost(root, ("article", "main"))
     if articles:
-        for article in articles:
+        for article in articles if forms else ():
             _keep_most(article, lambda n: n.tag == "form")
         return
     inside = _outermost(root, ("article", "main"), TAGGED)
