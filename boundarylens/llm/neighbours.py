@@ -216,12 +216,12 @@ def nearest_neighbours(
                 to.append(sorted({int(shard_of[c]) + p for c in cells for p in range(pieces[c])}))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(reach, pa.float64()), pa.array(to, pa.list_(pa.int32()))], names=["query", "v", "reach", "shards"])
 
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     numbered = durable(questions.select(F.monotonically_increasing_id().alias("query"), "v"), "neighbours-questions")
-    walked = durable(numbered.mapInArrow(ask, "query long, v array<double>, reach double, shards array<int>"), "neighbours-walks")
+    walked = durable(numbered.repartition(parts, "query").mapInArrow(ask, "query long, v array<double>, reach double, shards array<int>"), "neighbours-walks")
     # Groups of queries go past a shard in its task; beyond LANE_GROUPS groups it stands in several lanes, each a task's work.
     groups = max(1, -(-numbered.count() // GROUP_QUERIES))
     lanes = -(-groups // LANE_GROUPS)
-    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     sent = walked.withColumn("part", F.pmod(F.xxhash64("query"), F.lit(groups)).cast("int")).select("query", "v", "reach", "part", F.explode("shards").alias("shard"))
     sent = sent.groupBy("shard", "part").agg(F.collect_list(F.struct("query", "v", "reach")).alias("queries")).withColumn("lane", F.col("part") % F.lit(lanes))
     held_ready = shards.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)))).repartition(parts, "shard", "lane")
