@@ -56,6 +56,8 @@ NOISE = frozenset(
 )
 SITE = frozenset(("site", "global"))
 NAMED, TAGGED, HARD = 1, 2, 3
+_PLAIN_START = re.compile(r'<([a-zA-Z][a-zA-Z0-9]*)((?:\s+[a-zA-Z][a-zA-Z-]*="[^"<>&]*")*)>')
+_PLAIN_ATTRIBUTE, _PLAIN_END = re.compile(r'([a-zA-Z][a-zA-Z-]*)="([^"]*)"'), re.compile("</([a-zA-Z][a-zA-Z0-9]*)>")
 CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPE = frozenset("html body div article section main aside nav header footer table ul ol dl td th li blockquote form fieldset figure".split())
 HEADINGS = frozenset(("h1", "h2", "h3"))
@@ -95,6 +97,24 @@ class TreeBuilder(HTMLParser):
         """Line numbers are not asked for."""
         return j
 
+    def parse_starttag(self, i: int) -> int:
+        """Plain tags, nearly all of a page, by one pattern; all others as they were."""
+        m = _PLAIN_START.match(self.rawdata, i)
+        if m is None:
+            return super().parse_starttag(i)
+        self.lasttag = tag = m[1].lower()
+        self.handle_starttag(tag, [(k.lower(), v) for k, v in _PLAIN_ATTRIBUTE.findall(m[2])] if m[2] else [])
+        if tag in self.CDATA_CONTENT_ELEMENTS:
+            self.set_cdata_mode(tag)
+        return m.end()
+
+    def parse_endtag(self, i: int) -> int:
+        m = _PLAIN_END.match(self.rawdata, i) if self.cdata_elem is None else None
+        if m is None:
+            return super().parse_endtag(i)
+        self.handle_endtag(m[1].lower())
+        return m.end()
+
     def _noise(self, tag: str, attrs: list) -> int:
         if tag in LEFT_OUT and tag not in WRAPPERS:
             return HARD

@@ -565,6 +565,33 @@ def test_names_drop_noise_and_nothing_else():
     assert html.main_text(PAGE % f"{story}<aside><article>More</article></aside>") == "Head One two"
 
 
+def test_plain_tags_are_parsed_as_all_others():
+    """The quick way with plain tags makes the tree that the standard parser makes."""
+
+    class Standard(html.TreeBuilder):
+        parse_starttag, parse_endtag, updatepos = html.HTMLParser.parse_starttag, html.HTMLParser.parse_endtag, html.HTMLParser.updatepos
+
+    def shape(builder, text):
+        b = builder()
+        b.feed(text)
+        b.close()
+        out, todo = [], [b.root]
+        while todo:
+            n = todo.pop()
+            out.append((n.tag, n.noise, [p if isinstance(p, str) else p.tag for p in n.parts]))
+            todo += n.children
+        return out
+
+    r = random.Random(3)
+    bits = [
+        "<p>", "</p>", "<div class=\"ad x\">", "<div class='nav'>", "</div>", "<DIV ID=\"Menu\" data-x=\"1\">", "<br/>", "<br />", "<a href=\"x?a&amp;b\">", "</a>", "</a >", "<script>", "</script>", "<script src=\"y\">if (a<b) '</p>'", "<style>", "</style >",
+        "text & more", "&amp;&lt;", "<", ">", "</", "</>", "<!-- c -->", "<!doctype html>", "<b hidden>", "<i hidden=\"\">", "</i x=\"1\">", "<form\n role=\"search\">", "</form>", "<li><li>", "<td>", "<x-y a=\"1\">", "</x-y>", "<p class=\"a>b\">", "<p class=\"a", "<article>", "<?pi?>", "<p a=\"1\"b=\"2\">",
+    ]
+    for _ in range(1500):
+        text = "".join(r.choice(bits) for _ in range(r.randrange(1, 14)))
+        assert shape(html.TreeBuilder, text) == shape(Standard, text), text
+
+
 def test_names_in_running_text_and_forms_around_an_article_keep_their_text():
     assert html.main_text(PAGE % "<article><p>Use the <span class='alert'>red</span> button</p></article>") == "Use the red button"
     assert html.main_text(PAGE % "<article><p>See <a class=comment href=x>the note</a> there</p></article>") == "See the note there"
