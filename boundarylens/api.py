@@ -19,6 +19,7 @@ from boundarylens.operators import model as M
 from boundarylens.operators import model_documents as MD
 from boundarylens.operators import pairing as P
 from boundarylens.operators import schemas as J
+from boundarylens.operators import upkeep as U
 from boundarylens.operators import verdicts as V
 from boundarylens.operators import violations as W
 from boundarylens.sources import readers as R
@@ -49,6 +50,13 @@ def models(spark: SparkSession, table_path: str, workflows: list[str] | None = N
     return _finished(made, wrong, output, strict)
 
 
+def update_models(spark: SparkSession, table_path: str, store_path: str, *, strict: bool = True) -> U.Update:
+    """Bring a store of models, operations and pairs (operators/upkeep.py) up to date with a table. In strict mode a table with violations changes nothing."""
+    t = stored(R.read_extraction(spark, table_path), "extraction")
+    W.kept(W.of_table(t), strict)
+    return U.update(t, store_path, table_path)
+
+
 def discover(spark: SparkSession, table_path: str, annotations_path: str | None = None, *, output: str | None = None, strict: bool = True) -> Found:
     """Without annotations the catalog of candidates (id, document), with them one chain document per scenario (scenario, file, document)."""
     t = stored(R.read_extraction(spark, table_path), "extraction")

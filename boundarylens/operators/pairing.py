@@ -27,14 +27,14 @@ def sided(workflows: DataFrame, side: str) -> DataFrame:
     return workflows.where("file IS NOT NULL").select(F.col("workflow").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("file", "n_events", "event", "external", "privileged")])
 
 
-def candidates(table: DataFrame, ops: DataFrame | None = None) -> DataFrame:
+def candidates(table: DataFrame, ops: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
     """One row per pair of an artifact write and a read that may take its artifact, with the events of both workflows.
 
     The join's key is artifact name and producing workflow, so that a frequent name is spread over its
     workflows. pairing is 'unique' where the read has one match, else 'ambiguous' on all of them.
     """
     ops = model.operations(table) if ops is None else ops
-    known = model.workflows(table)
+    known = model.workflows(table) if known is None else known
     writes = ops.where("op_kind = 'artifactWriteIntent' AND name IS NOT NULL").select(
         F.col("workflow").alias("producer"), F.col("op_id").alias("producer_op"), F.col("job_id").alias("producer_job"), F.col("step_index").alias("producer_step"), "name", F.col("path").alias("producer_path")
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -11,14 +13,16 @@ _own_folder: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir. Only a local session, as in tests, may do without and gets a temporary one."""
+    """The folder all executors share: spark.checkpoint.dir. Only a local session, as in tests, may do without and gets a temporary one, which goes when Python ends."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if folder:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not _own_folder:
-        _own_folder.append("file://" + tempfile.mkdtemp(prefix="spark-shared-"))
+        made = tempfile.mkdtemp(prefix="spark-shared-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        _own_folder.append(f"file://{made}")
     return _own_folder[0]
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import shutil
 import subprocess
 import sys
 from pathlib import Path
@@ -45,6 +46,17 @@ def test_entry_without_what_only_corpus_operators_need():
     assert out == [str(len(QUERIES)), str(len(QUERIES) - 1), "False"]
 
 
+def test_entry_and_core_without_the_corpus_folders(tmp_path):
+    """In a copy without the subpackage, its tests and the pipeline everything else imports and gives its queries."""
+    root = Path(__file__).resolve().parents[1]
+    leave = shutil.ignore_patterns("llm", "corpus_pipeline.py", ".git", "__pycache__", ".pytest_cache")
+    shutil.copytree(root, tmp_path / "copy", ignore=leave)
+    modules = ["boundarylens.api", *(f"boundarylens.{p.parent.name}.{p.stem}" for p in (tmp_path / "copy/boundarylens").glob("*/*.py") if p.stem != "__init__"), *(p.stem for p in (tmp_path / "copy/tests").glob("*.py"))]
+    code = f"import sys, importlib; sys.path.append('tests'); [importlib.import_module(m) for m in {modules}]; import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "copy", capture_output=True, text=True, check=True).stdout.split()
+    assert out == [str(len(QUERIES)), str(len(ORACLE_SQL))]
+
+
 def test_a_cluster_needs_a_shared_folder():
     class Elsewhere:
         class conf:  # noqa: N801
