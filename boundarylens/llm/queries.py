@@ -121,22 +121,29 @@ FROM scored QUALIFY row_number() OVER (PARTITION BY row ORDER BY score DESC, vec
 """
 
 OP6_SQL = """
-WITH RECURSIVE calls AS (
-  SELECT conv_id AS conv, turn, min(text) AS prompt, bool_or(text IS NULL) AS has_null, count(*) AS n_calls
-  FROM conversations WHERE role = 'user' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id, turn),
+WITH RECURSIVE asked AS (
+  SELECT conv_id AS conv, turn, min(CASE role WHEN 'user' THEN 'reply' ELSE 'instruct' END) AS name, count(*) AS n_calls, count(DISTINCT [role, text]) > 1 AS several
+  FROM conversations WHERE role IN ('user', 'system') AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id, turn),
+calls AS (
+  SELECT a.*, (SELECT min(text) FROM conversations c WHERE c.conv_id = a.conv AND c.turn = a.turn AND c.role = CASE a.name WHEN 'reply' THEN 'user' ELSE 'system' END) AS text,
+         CASE WHEN EXISTS (SELECT 1 FROM asked p WHERE p.conv = a.conv AND p.turn = a.turn - 1) THEN a.turn - 1 ELSE a.turn - 2 END AS up
+  FROM asked a),
 answers AS (
-  SELECT conv_id AS conv, turn - 1 AS turn, min(text) AS content, count(*) AS n_results
-  FROM conversations WHERE role = 'assistant' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id, turn),
+  SELECT conv_id AS conv, turn - 1 AS turn, text AS content, count(*) AS n_results
+  FROM conversations WHERE role = 'assistant' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id, turn, text),
 placed AS (
   SELECT c.conv, c.turn, 0::BIGINT AS depth FROM calls c
-  WHERE NOT EXISTS (SELECT 1 FROM calls p WHERE p.conv = c.conv AND p.turn = c.turn - 2)
+  WHERE NOT EXISTS (SELECT 1 FROM asked p WHERE p.conv = c.conv AND p.turn = c.up)
   UNION ALL
-  SELECT c.conv, c.turn, p.depth + 1 FROM placed p JOIN calls c ON c.conv = p.conv AND c.turn = p.turn + 2)
-SELECT c.conv, 't' || c.turn AS id, 'reply' AS name, depth AS call_order, prompt IS NOT NULL AS valid,
-       CASE WHEN prompt IS NULL THEN 'prompt: missing' ELSE '' END AS errors, n_calls, coalesce(n_results, 0) AS n_results,
-       to_json({'arguments': CASE WHEN prompt IS NULL THEN to_json({'turn': c.turn}) ELSE to_json({'prompt': prompt, 'turn': c.turn}) END,
-                'id': 't' || c.turn, 'name': 'reply', 'order': depth, 'result': content, 'valid': prompt IS NOT NULL})::VARCHAR AS json
-FROM calls c JOIN placed p ON c.conv = p.conv AND c.turn = p.turn LEFT JOIN answers a ON a.conv = c.conv AND a.turn = c.turn
+  SELECT c.conv, c.turn, p.depth + 1 FROM placed p JOIN calls c ON c.conv = p.conv AND c.up = p.turn),
+checked AS (
+  SELECT c.*, depth, concat_ws(';', CASE WHEN text IS NULL THEN CASE name WHEN 'reply' THEN 'prompt: missing' ELSE 'required: text' END END,
+                               CASE WHEN name = 'instruct' AND turn < 0 THEN '/turn minimum' END, CASE WHEN several THEN 'several calls' END) AS errors
+  FROM calls c JOIN placed p USING (conv, turn))
+SELECT c.conv, 't' || c.turn AS id, name, depth AS call_order, errors = '' AS valid, errors, n_calls, coalesce(n_results, 0) AS n_results,
+       to_json({'arguments': CASE WHEN text IS NULL THEN to_json({'turn': c.turn}) WHEN name = 'reply' THEN to_json({'prompt': text, 'turn': c.turn}) ELSE to_json({'text': text, 'turn': c.turn}) END,
+                'id': 't' || c.turn, 'name': name, 'order': depth, 'result': content, 'valid': errors = ''})::VARCHAR AS json
+FROM checked c LEFT JOIN answers a ON a.conv = c.conv AND a.turn = c.turn
 """
 
 def _crc32(text: str) -> str:

@@ -524,6 +524,65 @@ def test_tool_calls_are_linked_ordered_and_checked(spark):
     assert json.loads(got[3, "q"].json)["arguments"] is None
 
 
+def test_calls_with_several_predecessors_and_circles(spark):
+    """Longest ways in random graphs, against a search in plain Python."""
+    r = random.Random(5)
+    after = {}
+    for conv in range(6):
+        for i in range(60):
+            few = r.random() < 0.7
+            after[conv, f"k{i}"] = [f"k{r.randrange(i)}" for _ in range(1 if few else 3)] if i else []
+        for i in (3, 40):
+            after[conv, f"k{i}"] += ["gone", None]
+    after[1, "k2"] = ["k50"]  # a circle if k50 comes after k2, else none
+    after[2, "k7"] = ["k7"]
+    after[3, "k9"] = ["k10", "k8"]
+    after[3, "k10"] = ["k9", "k1"]
+
+    def depth(node, seen=()):
+        ups = [(node[0], u) for u in after[node] if (node[0], u) in after]
+        if node in seen:
+            return None
+        found = [depth(u, (*seen, node)) for u in ups]
+        return None if None in found else 1 + max(found) if found else 0
+
+    rows = [(c, i, "t", "{}", up) for (c, i), up in after.items()]
+    calls = spark.createDataFrame(rows, "conv long, id string, name string, arguments string, after array<string>")
+    got = toolcalls.link_tool_calls(calls, spark.createDataFrame([], "conv long, id string, content string"), {"t": {}}).collect()
+    assert {(x.conv, x.id): x.call_order for x in got} == {node: depth(node) for node in after}
+    assert all(x.valid for x in got)
+
+
+def test_differing_calls_and_results_of_one_identifier(spark):
+    calls = spark.createDataFrame([(1, "a", "t", "{}", None), (1, "a", "t", '{"x":1}', None), (1, "b", "t", "{}", "a"), (1, "b", "t", "{}", "a")], "conv long, id string, name string, arguments string, after string")
+    results = spark.createDataFrame([(1, "b", "second"), (1, "b", "first"), (1, "b", "second"), (1, "b", None)], "conv long, id string, content string")
+    got = toolcalls.link_tool_calls(calls, results, {"t": {"x": ("integer", False)}}).collect()
+    assert [(x.errors, x.valid, x.n_calls, x.n_results) for x in got if x.id == "a"] == [("several calls", False, 2, 0)]
+    assert sorted((json.loads(x.json)["result"] or "", x.n_results, x.n_calls, x.call_order) for x in got if x.id == "b") == [("", 1, 2, 1), ("first", 1, 2, 1), ("second", 2, 2, 1)]
+
+
+def test_arguments_against_a_nested_schema(spark):
+    schema = {
+        "type": "object", "required": ["unit"], "additionalProperties": False,
+        "properties": {"unit": {"enum": ["c", "f"]}, "places": {"type": "array", "items": {"type": "object", "required": ["name"], "properties": {"name": {"type": "string"}}}}},
+    }
+    given = ['{"unit":"c","places":[{"name":"x"}]}', '{"unit":"k","places":[{"name":1},{}],"more":0}', "[1]", None, "{}"]
+    calls = spark.createDataFrame([(1, f"k{i}", "w", a, None) for i, a in enumerate(given)], "conv long, id string, name string, arguments string, after string")
+    got = toolcalls.link_tool_calls(calls, spark.createDataFrame([], "conv long, id string, content string"), {"w": schema}).collect()
+    assert {x.id: x.errors for x in got} == {
+        "k0": "", "k1": "/more additionalProperties;/places/0/name type: string;/places/1 required: name;/unit enum", "k2": "not a JSON object", "k3": "not a JSON object", "k4": "required: unit",
+    }
+
+
+def test_turns_as_calls(spark):
+    turns = [(1, 0, "system", "be"), (1, 1, "user", "q"), (1, 2, "assistant", "a"), (1, 3, "user", None), (1, 4, "user", "r"), (1, 9, "tool", "x"), (None, 0, "user", "n"), (2, None, "user", "n"), (3, 5, "system", None)]
+    calls, results = toolcalls.conversation_calls(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
+    got = {(x.conv, x.id): (x.name, x.call_order, x.errors, x.n_results) for x in toolcalls.link_tool_calls(calls, results, toolcalls.REPLY).collect()}
+    assert got == {
+        (1, "t0"): ("instruct", 0, "", 0), (1, "t1"): ("reply", 1, "", 1), (1, "t3"): ("reply", 2, "prompt: missing", 0), (1, "t4"): ("reply", 3, "", 0), (3, "t5"): ("instruct", 0, "required: text", 0),
+    }
+
+
 def test_no_calls_and_clashing_columns(spark):
     calls = spark.createDataFrame([(1, "a", "reply", '{"prompt":"p","turn":1}', None)], "conv long, id string, name string, arguments string, after string")
     results = spark.createDataFrame([(1, "a", "ok")], "conv long, id string, content string")
