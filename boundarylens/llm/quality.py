@@ -1,6 +1,7 @@
 """Quality rules by distribution divergence, in DataFrame functions only.
 
-Every text gets two histograms: of character classes and of common words. References for each language
+Every text gets two histograms: of character classes and of common words. The common words of a language are
+those that most of its documents hold, found in the corpus itself. References for each language
 are the summed histograms of all its documents that pass the plain rules. A document is kept if both
 Jensen-Shannon distances to its language's reference stay under limits that widen for short texts;
 texts under a minimum length are not judged by divergence.
@@ -10,21 +11,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boundarylens.llm.common import SPACE, durable
 
-#: Frequent function words of four languages; one histogram bin each, plus one for all other words.
-COMMON_WORDS = (
-    "the of and to in is that for it with as was on be by this at are from "
-    "la le les des un une en et du est que qui dans pour pas sur au ou par avec "
-    "der die und den von zu das mit sich auf für ist nicht ein eine als auch dem "
-    "el los y a se las del con no por su para es lo más o"
-).split()
-#: A reference is an array of some 90 numbers, so so many of them take 8 MB; beyond that they are joined by a shuffle.
+#: So many common words a language; one histogram bin each, plus one for all other words.
+COMMON_WORDS = 24
+_CODES = " " + "".join(chr(65 + i) for i in range(COMMON_WORDS))  # of the other words and of each common one
+#: A reference is an array of some 30 numbers, so so many of them take 3 MB; beyond that they are joined by a shuffle.
 MOST_BROADCAST_LANGUAGES = 10_000
-_CODE = {w: chr(0x4E00 + i) for i, w in enumerate(COMMON_WORDS)}
+#: Common words of all languages together, as measured; beyond that they are joined by a shuffle.
+MOST_BROADCAST_BYTES = 8_000_000
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -79,16 +77,30 @@ def _only(text: Column, kept: str) -> Column:
     return F.length(F.regexp_replace(text, f"[^{kept}]+", "")).cast("long")
 
 
-def text_statistics(docs: DataFrame, text: str, doc_id: str, lang: str) -> DataFrame:
-    """One row per document: the counts the rules need and the two histograms."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    base = docs.select(F.col(doc_id).alias("doc_id"), F.concat(F.lit("="), F.col(lang).cast("string")).alias("lang"), t.alias("t"))
-    base = base.withColumn("lang", F.coalesce("lang", F.lit("")))
+def _read(docs: DataFrame, text: str, doc_id: str, lang: str) -> DataFrame:
+    """doc_id, lang (a key that is never null), t."""
+    return docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.concat(F.lit("="), F.col(lang).cast("string")), F.lit("")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+
+
+def common_words(docs: DataFrame, *, text: str = "text", lang: str = "lang", most: int = COMMON_WORDS) -> DataFrame:
+    """lang (key), common: the words of each language that most of its documents hold, at most `most`, in that order; ties by the word.
+
+    Documents count, not occurrences, so that one that repeats itself counts once. A language of blank texts has no row.
+    """
+    held = _read(docs, text, lang, lang).select("lang", F.explode(F.array_distinct(words_of(F.lower("t")))).alias("word"))
+    counted = held.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    first = counted.withColumn("place", place).where(F.col("place") <= most)
+    return first.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("place", "word"))).alias("w")).select("lang", F.col("w.word").alias("common"))
+
+
+def text_statistics(docs: DataFrame, words: DataFrame, text: str, doc_id: str, lang: str) -> DataFrame:
+    """One row per document: the counts the rules need and the two histograms. words: (durable) common words of each language."""
+    bytes_ = words.agg(F.sum(F.aggregate("common", F.lit(0), lambda a, w: a + F.octet_length(w)))).first()[0] or 0
+    base = _read(docs, text, doc_id, lang).join(F.broadcast(words) if bytes_ <= MOST_BROADCAST_BYTES and words.count() <= MOST_BROADCAST_LANGUAGES else words, "lang", "left")
     size = F.length("t").cast("long")
-    common = let(
-        words_of(F.lower("t")),
-        lambda ws: F.array_join(F.transform(F.filter(ws, lambda w: w.isin(COMMON_WORDS)), lambda w: F.element_at(F.create_map(*[F.lit(x) for p in _CODE.items() for x in p]), w)), ""),
-    )
+    code = lambda w: F.substring(F.lit(_CODES), F.array_position("common", w).cast("int") + 1, F.lit(1))
+    codes = F.when(F.col("common").isNull(), F.lit("")).otherwise(F.array_join(F.transform(words_of(F.lower("t")), code), ""))
     measured = base.select(
         "doc_id", "lang",
         let(words_of(F.col("t")), lambda ws: F.struct(
@@ -103,14 +115,14 @@ def text_statistics(docs: DataFrame, text: str, doc_id: str, lang: str) -> DataF
         _only(F.col("t"), "0-9").alias("digits"),
         _only(F.col("t"), ".,;:!?'\"()-").alias("points"),
         _only(F.col("t"), r"\x{80}-\x{10FFFF}").alias("wide"),
-        common.alias("codes"),
+        codes.alias("codes"),
     )
     rest = F.col("chars") - F.col("upper") - F.col("digits") - F.col("points") - F.col("n_symbols") - F.col("wide") - (F.col("chars") - F.col("w.word_chars"))
     classes = F.array("upper", "digits", "points", "n_symbols", "wide", F.col("chars") - F.col("w.word_chars"), rest)
-    counts = [(F.length("codes") - F.length(F.replace(F.col("codes"), F.lit(c), F.lit("")))).cast("long") for c in _CODE.values()]
+    counts = [(F.length("codes") - F.length(F.replace(F.col("codes"), F.lit(c), F.lit("")))).cast("long") for c in (*_CODES[1:], _CODES[0])]
     return measured.select(
         "doc_id", "lang", "w.n_words", "w.word_chars", "n_symbols", "n_dup_lines", "w.n_repeat_words",
-        classes.alias("classes"), F.array(*counts, F.col("w.n_words") - F.length("codes")).alias("common"),
+        classes.alias("classes"), F.array(*counts).alias("common"),
     )
 
 
@@ -131,7 +143,7 @@ def jensen_shannon(p: Column, q: Column) -> Column:
 def language_references(measured: DataFrame) -> DataFrame:
     """One row per language: both histograms summed over its documents."""
     bins = lambda name, n: F.array(*[F.sum(F.get(F.col(name), i)) for i in range(n)])
-    return measured.groupBy("lang").agg(bins("classes", 7).alias("lang_classes"), bins("common", len(COMMON_WORDS) + 1).alias("lang_common"))
+    return measured.groupBy("lang").agg(bins("classes", 7).alias("lang_classes"), bins("common", COMMON_WORDS + 1).alias("lang_common"))
 
 
 def _compared(measured: DataFrame, references: DataFrame, limits: tuple[float, float], widening: tuple[float, float]) -> DataFrame:
@@ -156,7 +168,8 @@ def quality_rules(
     included. An empty table gives an empty result. Other columns are not read.
     """
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    measured = durable(text_statistics(docs, text, doc_id, lang).withColumn("base_failed", failed), "quality-statistics")
+    words = durable(common_words(docs, text=text, lang=lang), "quality-words")
+    measured = durable(text_statistics(docs, words, text, doc_id, lang).withColumn("base_failed", failed), "quality-statistics")
     first = durable(language_references(measured.where(~F.col("base_failed"))), "quality-first-references")
     near = _compared(measured.where(~F.col("base_failed")), first, limits, widening).where(~F.col("far"))
     references = durable(language_references(near), "quality-references")

@@ -301,7 +301,10 @@ def distance(p, q):
 
 def brute_quality(rows):
     """(base_failed, kept, class distance, common distance) per row, all in plain Python."""
-    read = []
+    read, held = [], collections.defaultdict(collections.Counter)
+    for text, lang in rows:
+        held[lang].update({x.decode() for x in words((text or "").lower())})
+    most = {lang: [w for w, _ in sorted(c.items(), key=lambda x: (-x[1], x[0].encode()))][:24] for lang, c in held.items()}
     for text, lang in rows:
         t = text or ""
         w = [x.decode() for x in words(t)]
@@ -312,13 +315,13 @@ def brute_quality(rows):
         wide, spaces = sum(ord(c) > 127 for c in t), len(t) - sum(map(len, w))
         classes = [upper, digits, points, signs, wide, spaces, len(t) - upper - digits - points - signs - wide - spaces]
         low = [x.decode() for x in words(t.lower())]
-        common = [low.count(c) for c in quality.COMMON_WORDS]
-        read.append((lang, len(w), len(w) < 20 or 100 * len(covered) > 30 * len(w), classes, [*common, len(w) - sum(common)]))
+        common = [low.count(c) for c in most[lang]] + [0] * (24 - len(most[lang]))
+        read.append((lang, len(w), len(w) < 20 or 100 * len(covered) > 30 * len(w), classes, [*common, len(low) - sum(common)]))
 
     def reference(of):
         out = {}
         for lang, _, _, classes, common in of:
-            a, b = out.get(lang, (np.zeros(7), np.zeros(len(quality.COMMON_WORDS) + 1)))
+            a, b = out.get(lang, (np.zeros(7), np.zeros(25)))
             out[lang] = (a + classes, b + common)
         return out
 
@@ -350,6 +353,18 @@ def test_quality_against_brute_force(spark, messy):
     assert verdicts == {(True, False), (False, True), (False, False)}
 
 
+def test_common_words_by_documents(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rows = [("b A c", "en"), ("a B", "en"), ("a", "en"), ("d " * 50, "en"), ("c c c", "en"), (None, "xx"), ("x", None), ("y", "")]
+    df = spark.createDataFrame(rows, "text string, lang string").selectExpr("*", "1 AS word", "2 AS n", "3 AS doc_id", "4 AS t")
+    assert {r.lang: r.common for r in quality.common_words(df, most=3).collect()} == {"=en": ["a", "b", "c"], "": ["x"], "=": ["y"]}
+    before = sorted(map(tuple, quality.quality_rules(df.withColumn("doc_id", F.lit(1))).collect()), key=str)
+    monkeypatch.setattr(quality, "MOST_BROADCAST_BYTES", 0)
+    monkeypatch.setattr(quality, "MOST_BROADCAST_LANGUAGES", 0)
+    assert sorted(map(tuple, quality.quality_rules(df.withColumn("doc_id", F.lit(1))).collect()), key=str) == before
+
+
 def test_jensen_shannon(spark):
     from pyspark.sql import functions as F
 
