@@ -32,7 +32,7 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def words_of(text: Column) -> Column:
     """Words as an array; empty for a text without any."""
-    bare = F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+\z", "")
+    bare = F.trim(text, F.lit(" \t\n\v\f\r"))
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, f"{SPACE}+"))
 
 
