@@ -99,14 +99,14 @@ def text_statistics(docs: DataFrame, words: DataFrame, text: str, doc_id: str, l
     bytes_ = words.agg(F.sum(F.aggregate("common", F.lit(0), lambda a, w: a + F.octet_length(w)))).first()[0] or 0
     base = _read(docs, text, doc_id, lang).join(F.broadcast(words) if bytes_ <= MOST_BROADCAST_BYTES and words.count() <= MOST_BROADCAST_LANGUAGES else words, "lang", "left")
     size = F.length("t").cast("long")
-    code = lambda w: F.substring(F.lit(_CODES), F.array_position("common", w).cast("int") + 1, F.lit(1))
-    codes = F.when(F.col("common").isNull(), F.lit("")).otherwise(F.array_join(F.transform(words_of(F.lower("t")), code), ""))
+    code = lambda w: F.substring(F.lit(_CODES), F.array_position("common", F.lower(w)).cast("int") + 1, F.lit(1))
     measured = base.select(
         "doc_id", "lang",
         let(words_of(F.col("t")), lambda ws: F.struct(
             F.size(ws).cast("long").alias("n_words"),
             F.length(F.array_join(ws, "")).cast("long").alias("word_chars"),
             repeated_words(ws).alias("n_repeat_words"),
+            F.coalesce(F.array_join(F.transform(ws, code), ""), F.lit("")).alias("codes"),
         )).alias("w"),
         _only(F.col("t"), "#*$%&|<>").alias("n_symbols"),
         let(F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
@@ -115,11 +115,10 @@ def text_statistics(docs: DataFrame, words: DataFrame, text: str, doc_id: str, l
         _only(F.col("t"), "0-9").alias("digits"),
         _only(F.col("t"), ".,;:!?'\"()-").alias("points"),
         _only(F.col("t"), r"\x{80}-\x{10FFFF}").alias("wide"),
-        codes.alias("codes"),
     )
     rest = F.col("chars") - F.col("upper") - F.col("digits") - F.col("points") - F.col("n_symbols") - F.col("wide") - (F.col("chars") - F.col("w.word_chars"))
     classes = F.array("upper", "digits", "points", "n_symbols", "wide", F.col("chars") - F.col("w.word_chars"), rest)
-    counts = [(F.length("codes") - F.length(F.replace(F.col("codes"), F.lit(c), F.lit("")))).cast("long") for c in (*_CODES[1:], _CODES[0])]
+    counts = [(F.length("w.codes") - F.length(F.replace(F.col("w.codes"), F.lit(c), F.lit("")))).cast("long") for c in (*_CODES[1:], _CODES[0])]
     return measured.select(
         "doc_id", "lang", "w.n_words", "w.word_chars", "n_symbols", "n_dup_lines", "w.n_repeat_words",
         classes.alias("classes"), F.array(*counts).alias("common"),
