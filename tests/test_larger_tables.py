@@ -5,7 +5,9 @@ from __future__ import annotations
 import duckdb
 import pytest
 
+from boundarylens.operators import model
 from boundarylens.registry import ORACLE_SQL, QUERIES
+from boundarylens.sources.binding import extraction
 
 
 def plain(rows):
@@ -36,3 +38,12 @@ def test_observations_whose_ids_begin_others(compared):
         lineitem="SELECT * REPLACE (10.0 AS l_quantity, 0.0 AS l_tax, 'N' AS l_returnflag) FROM given_lineitem",
     )
     assert got == expected and any("obs-100=" in r[2] and "obs-1000=" in r[2] for r in got)
+
+
+def test_steps_are_sorted_once(spark, data):
+    """Rows of steps are sorted where they are merged, not also in the tasks that make them, and the join with jobs does not move them again."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    merged = plan(model.steps(extraction(spark, data)))
+    assert merged.count("Sort [workflow") == 1 and merged.count("Exchange hashpartitioning(workflow") == 1
+    ops = plan(model.operations(extraction(spark, data)))
+    assert ops.count("Exchange hashpartitioning(workflow") == 2  # of the steps, and of the jobs
