@@ -78,6 +78,37 @@ def _slot(letters: Column, attribute: str, letter: str) -> Column:
     return F.when(letters.contains(letter), "").otherwise(F.concat(F.lit("+"), F.col(attribute).cast("string")))
 
 
+#: What is looked up, before and after the attributes that entries miss are known.
+ASK = ["shared", "wants", "repo", "backend", "version", "scope", "term"]
+PLACE = ["lacks", "shared", "repo", "scope", "term"]
+
+
+def _of_place(letters: Column) -> Column:
+    """Of missing attributes those that tell where to look; backend and version only tell entries of one place apart."""
+    return F.translate(letters, "bv", "")
+
+
+def _standing(entries: DataFrame, needed: DataFrame, lengths: list[int]) -> DataFrame:
+    """PLACE, backend, version, at, entry_id: entries under their key, and their prefixes of the lengths that restore keys have."""
+    shared = [r.shared for r in needed.select("shared").distinct().collect()] or [""]  # at most 12
+    placed = entries.withColumn("shared", F.explode(F.array(*map(F.lit, shared))))
+    gone = F.concat("lacks", "shared")
+    every = F.array(*map(F.lit, lengths)).cast("array<int>")
+    prefixes = F.transform(F.filter(every, lambda n: n <= F.length("key")), lambda n: F.concat(F.lit("^"), F.substring("key", F.lit(1), n)))
+    texts = F.when(gone.contains("k"), F.array(F.lit(""))).otherwise(F.concat(F.array(F.concat(F.lit("="), "key")), prefixes))
+    scope = F.when(F.lower(gone).contains("s"), "").otherwise(F.concat(F.lit("+"), "scope"))
+    return placed.where(~(F.col("shared").contains("S") & F.coalesce(F.col("scope").rlike(PULL_REQUEST_SCOPE), F.lit(False)))).select(
+        "lacks", "shared", _slot(gone, "repo", "r").alias("repo"), scope.alias("scope"), F.explode(texts).alias("term"), "backend", "version", "at", F.col("id").alias("entry_id"))
+
+
+def _slotted(standing: DataFrame, needed: DataFrame) -> DataFrame:
+    """SLOT in place of PLACE, for all that is asked for there. needed: PLACE, wants (an array), one row a place."""
+    met = standing.join(needed, PLACE).withColumn("wants", F.explode("wants"))
+    gone = F.concat("lacks", "wants")
+    told = [c for c in standing.columns if c not in (*PLACE, "backend", "version")]
+    return met.select(F.concat_ws("|", "lacks", "wants").alias("missing"), "repo", *[_slot(gone, ATTRIBUTES[x], x).alias(ATTRIBUTES[x]) for x in "bv"], "scope", "term", *told, *[c for c in needed.columns if c not in (*PLACE, "wants")])
+
+
 def resolved(writes: DataFrame, restores: DataFrame, refs: DataFrame) -> DataFrame:
     """restore_id, same ('true', 'false' or 'unknown'), cache_id, open_id, scope_rank, term_rank: one row per restore.
 
@@ -86,57 +117,73 @@ def resolved(writes: DataFrame, restores: DataFrame, refs: DataFrame) -> DataFra
     number. false: nothing that it could select. unknown: what it would select (open_id) if missing values were in its favour. An entry made at the restore's time
     counts as made before it. Ids are taken as unique; rows of one id count as one restore.
 
-    Every restore looks up each of its scopes and terms once, for each set of attributes that some entry misses; every entry
-    stands under its key and its prefixes of lengths that restore keys of its repository have. One as-of join brings them together, so the work is linear in both.
+    Different lookups are few beside restores times scopes times terms. Each meets once, for each set of attributes that entries miss, the first and the last entry
+    under it; that tells in which scope and by which term a restore finds one, and mostly which. Where the time lies between the two, an as-of join
+    finds the entry, in that scope and by that term alone. The work is linear in restores and entries.
     """
-    entries = stored(first_writes(writes).withColumn("lacks", _letters({**ATTRIBUTES, "a": "at"})), "cache-entries")
-    kinds = [r.lacks for r in entries.select("lacks").distinct().collect()] or [""]  # at most 64
+    entries = stored(first_writes(writes).withColumn("lacks", _letters(ATTRIBUTES)), "cache-entries")
+    kinds = [r.lacks for r in entries.select("lacks").distinct().collect()] or [""]  # at most 32
     scopes, default = reachable_scopes(refs), default_branches(refs)
     guess = lambda rank, scope: F.struct(F.lit(rank).alias("rank"), scope.alias("scope"))
     none = F.lit(None).cast("string")
     seen = F.when(F.col("ref").isNull(), F.array(guess(0, none))).otherwise(F.coalesce("scopes", F.array(guess(0, F.col("ref")), guess(1, none), guess(2, F.col("default")))))
     usable = F.filter(F.coalesce("restore_keys", F.array().cast("array<string>")), lambda x: F.coalesce(x != "", F.lit(False)))
-    asked = restores.join(scopes, ["repo", "ref"], "left").join(default, "repo", "left").select("id", "repo", "backend", "version", "key", "at", "ref", usable.alias("prefixes"), seen.alias("scopes"))
+    asked = stored(restores.join(scopes, ["repo", "ref"], "left").join(default, "repo", "left").select("id", "repo", "backend", "version", "key", "at", "ref", usable.alias("prefixes"), seen.alias("scopes")), "cache-restores")
+    lengths = [r.n for r in asked.select(F.explode("prefixes").alias("p")).select(F.length("p").alias("n")).distinct().collect()]  # platforms bound the length of keys
     term = lambda rank, text: F.struct(rank.alias("rank"), text.alias("text"))
     terms = F.concat(F.array(term(F.lit(0), F.concat(F.lit("="), "key"))), F.transform("prefixes", lambda x, i: term(i + 1, F.concat(F.lit("^"), x))))
     lookups = asked.withColumn("term", F.explode(terms)).withColumn("seen", F.explode("scopes"))
     # A missing own ref can be any; a missing base or default branch is a branch.
     lookups = lookups.withColumn("wants", F.concat(
-        _letters({"r": "repo", "b": "backend", "v": "version", "a": "at"}), F.when(F.col("seen.scope").isNotNull(), "").when(F.col("ref").isNull(), "s").otherwise("S"), F.when(F.col("term.text").isNull(), "k").otherwise("")))
-    wanted = [r.wants for r in lookups.select("wants").distinct().collect()] or [""]  # at most 96
+        _letters({"r": "repo", "b": "backend", "v": "version"}), F.when(F.col("seen.scope").isNotNull(), "").when(F.col("ref").isNull(), "s").otherwise("S"), F.when(F.col("term.text").isNull(), "k").otherwise("")))
+    # What entries may miss of a place; `shared` is that, and what the lookup misses of it.
+    of_place = sorted({k.replace("b", "").replace("v", "") for k in kinds})
     first_scope, first_term = F.col("seen.rank") == F.col("scopes")[0]["rank"], F.col("term.rank") == 0
-    lookups = lookups.withColumn("lacks", F.explode(F.array(*map(F.lit, kinds)))).where(
-        (first_scope | ~F.col("lacks").contains("s")) & (first_term | ~F.concat("lacks", "wants").contains("k")))
-    gone = F.concat("lacks", "wants")
+    lookups = lookups.withColumn("lack", F.explode(F.array(*map(F.lit, of_place)))).where(
+        (first_scope | ~F.col("lack").contains("s")) & (first_term | ~F.concat("lack", "wants").contains("k")))
+    gone = F.concat("lack", "wants")
     scope = F.when(F.lower(gone).contains("s"), "").otherwise(F.concat(F.lit("+"), "seen.scope"))
-    lookups = stored(lookups.select(
-        F.concat_ws("|", "lacks", "wants").alias("missing"), *[_slot(gone, ATTRIBUTES[x], x).alias(ATTRIBUTES[x]) for x in "rbv"], scope.alias("scope"),
-        F.when(gone.contains("k"), "").otherwise(F.col("term.text")).alias("term"), "at", "id", F.col("seen.rank").alias("scope_rank"), F.col("term.rank").alias("term_rank"), F.length(gone).alias("open"),
-    ), "cache-lookups")
-    lengths = asked.select("repo", F.explode("prefixes").alias("p")).select("repo", F.length("p").alias("n")).distinct()
-    if any("r" in x for x in (*kinds, *wanted)):  # a repository that is not known can be any, and every length is asked for; platforms bound the length of keys
-        every = F.array(*[F.lit(r.n) for r in lengths.select("n").distinct().collect()]).cast("array<int>")
-        placed = entries.withColumn("lengths", every)
-    else:
-        placed = entries.join(lengths.groupBy("repo").agg(F.collect_list("n").alias("lengths")), "repo", "left").withColumn("lengths", F.coalesce("lengths", F.array().cast("array<int>")))
-    placed = placed.withColumn("wants", F.explode(F.array(*map(F.lit, wanted))))
-    gone = F.concat("lacks", "wants")
-    prefixes = F.transform(F.filter("lengths", lambda n: n <= F.length("key")), lambda n: F.concat(F.lit("^"), F.substring("key", F.lit(1), n)))
-    texts = F.when(gone.contains("k"), F.array(F.lit(""))).otherwise(F.concat(F.array(F.concat(F.lit("="), "key")), prefixes))
-    placed = placed.where(~(F.col("wants").contains("S") & F.coalesce(F.col("scope").rlike(PULL_REQUEST_SCOPE), F.lit(False)))).select(
-        F.concat_ws("|", "lacks", "wants").alias("missing"), *[_slot(gone, ATTRIBUTES[x], x).alias(ATTRIBUTES[x]) for x in "rbv"],
-        F.when(F.lower(gone).contains("s"), "").otherwise(F.concat(F.lit("+"), "scope")).alias("scope"), F.explode(texts).alias("term"), "at", F.col("id").alias("entry_id"), F.col("at").alias("made"),
+    lookups = lookups.select(
+        F.concat_ws("|", "lack", _of_place(F.col("wants"))).alias("shared"), "wants", *[_slot(gone, ATTRIBUTES[x], x).alias(ATTRIBUTES[x]) for x in "rbv"], scope.alias("scope"),
+        F.when(gone.contains("k"), "").otherwise(F.col("term.text")).alias("term"), "at", "id", F.struct(F.col("seen.rank").alias("scope_rank"), F.col("term.rank").alias("term_rank")).alias("cell"),
     )
-    # Prefixes that nobody asks for need no sorting.
-    placed = placed.join(lookups.select(*SLOT).distinct(), SLOT, "left_semi")
-    hits = latest_before(lookups, placed, SLOT, prefer="entry_id")
-    better = F.when(F.col("found").isNotNull(), F.struct(
-        -F.col("scope_rank"), -F.col("term_rank"), F.col("found.made").isNull().cast("int"), F.col("found.made"), (F.col("open") > 0).cast("int"), F.col("found.entry_id")))
-    best = F.max_by(F.when(F.col("found").isNotNull(), F.struct(F.col("found.entry_id").alias("entry"), "open", "scope_rank", "term_rank")), better)
-    picked = hits.groupBy("id").agg(best.alias("best"))
-    missing = F.col("best.open") > 0
+    asks = stored(lookups.select(*ASK).distinct(), "cache-asks")
+    of_kind = F.filter(F.array(*map(F.lit, kinds)), lambda k: _of_place(k) == F.split("shared", r"\|")[0])
+    slots = asks.withColumn("lacks", F.explode(of_kind)).withColumn("shared", F.split("shared", r"\|")[1])
+    needed = slots.groupBy(*PLACE).agg(F.collect_set("wants").alias("wants"))
+    timed = F.col("at").isNotNull()
+    under = _standing(entries, needed, lengths).groupBy(*PLACE, "backend", "version").agg(
+        F.min("at").alias("low"), F.max(F.when(timed, F.struct("at", "entry_id"))).alias("high"), F.max(F.when(~timed, F.col("entry_id"))).alias("untimed"))
+    under = _slotted(under, needed).groupBy(*SLOT).agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("untimed").alias("untimed"))
+    by_slot = asks.withColumn("lacks", F.explode(of_kind))
+    gone = F.concat("lacks", "wants")
+    by_slot = by_slot.select(*[F.col(c).alias(f"ask_{c}") for c in ASK], "lacks", F.concat_ws("|", "lacks", "wants").alias("missing"), "repo", *[F.when(gone.contains(x), "").otherwise(F.col(c)).alias(c) for x, c in (("b", "backend"), ("v", "version"))], "scope", "term")
+    known = by_slot.join(under, SLOT).groupBy(*[F.col(f"ask_{c}").alias(c) for c in ASK]).agg(F.collect_list(F.struct("lacks", "low", "high", "untimed")).alias("kinds"))  # at most 32
+    # Of entries without a time the last id counts, before all others; of the others the last in time that a restore's time admits.
+    over = F.col("at").isNull()
+    reached = F.transform(F.filter("kinds", lambda k: k.high.isNotNull() & (over | (k.high["at"] <= F.col("at")))), lambda k: F.struct(
+        k.high["at"].alias("made"), (over | (F.concat(k.lacks, F.col("wants")) != "")).cast("int").alias("open"), k.high.entry_id.alias("entry_id")))
+    between = F.transform(F.filter("kinds", lambda k: F.coalesce((k.low <= F.col("at")) & (k.high["at"] > F.col("at")), F.lit(False))), lambda k: k.lacks)
+    hits = lookups.join(known, ASK).select("id", "cell", F.array_max(F.transform("kinds", lambda k: k.untimed)).alias("untimed"), F.array_max(reached).alias("reached"), between.alias("between"), "at", *ASK)
+    hits = hits.where("untimed IS NOT NULL OR reached IS NOT NULL OR size(between) > 0")
+    late = F.when(F.col("untimed").isNull() & (F.size("between") > 0), F.struct("between", "at", *ASK)).alias("late")
+    found = hits.select("id", F.struct("cell", "untimed", "reached", late).alias("one")).groupBy("id").agg(F.collect_list("one").alias("all")).withColumn("cell", F.array_min(F.transform("all", lambda x: x["cell"])))
+    there = F.filter("all", lambda x: x["cell"] == F.col("cell"))
+    found = found.withColumn("all", there).select("id", "cell", F.array_max(F.transform("all", lambda x: x["untimed"])).alias("untimed"), F.array_max(F.transform("all", lambda x: x["reached"])).alias("reached"), F.transform("all", lambda x: x["late"]).alias("late"))
+    found = stored(found, "cache-found")
+    late = found.where("untimed IS NULL").select("id", F.inline(F.filter("late", lambda x: x.isNotNull()))).withColumn("lacks", F.explode("between")).withColumn("shared", F.split("shared", r"\|")[1])
+    needed = late.groupBy(*PLACE).agg(F.collect_set("wants").alias("wants"), F.max("at").alias("until"))
+    gone = F.concat("lacks", "wants")
+    late = late.select("id", "at", F.concat_ws("|", "lacks", "wants").alias("missing"), "repo", *[F.when(gone.contains(x), "").otherwise(F.col(c)).alias(c) for x, c in (("b", "backend"), ("v", "version"))], "scope", "term", F.length(gone).alias("open"))
+    # Entries later than all that ask for them at a place need no sorting.
+    placed = _slotted(_standing(entries.where("at IS NOT NULL"), needed, lengths), needed).where("at <= until").select(*SLOT, "at", "entry_id", F.col("at").alias("made"))
+    last = latest_before(late, placed, SLOT, prefer="entry_id")
+    last = last.groupBy("id").agg(F.max(F.struct(F.col("found.made").alias("made"), (F.col("open") > 0).cast("int").alias("open"), F.col("found.entry_id").alias("entry_id"))).alias("last"))
+    best = F.when(F.col("untimed").isNull(), F.greatest("reached", "last"))
+    picked = asked.select("id").distinct().join(found.drop("late"), "id", "left").join(last, "id", "left").withColumn("best", best)
+    missing = F.col("untimed").isNotNull() | (F.col("best.open") > 0)
+    entry = F.coalesce("untimed", "best.entry_id")
     return picked.select(
-        F.col("id").alias("restore_id"), F.when(F.col("best").isNull(), "false").when(missing, "unknown").otherwise("true").alias("same"),
-        F.when(~missing, F.col("best.entry")).alias("cache_id"), F.when(missing, F.col("best.entry")).alias("open_id"),
-        F.col("best.scope_rank").alias("scope_rank"), F.col("best.term_rank").alias("term_rank"),
+        F.col("id").alias("restore_id"), F.when(F.col("cell").isNull(), "false").when(missing, "unknown").otherwise("true").alias("same"),
+        F.when(~missing, entry).alias("cache_id"), F.when(missing, entry).alias("open_id"), F.col("cell.scope_rank").alias("scope_rank"), F.col("cell.term_rank").alias("term_rank"),
     )

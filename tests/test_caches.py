@@ -141,3 +141,21 @@ def test_resolved_of_empty_tables(spark):
     assert caches.resolved(none(WRITES), none(RESTORES), none(REFS)).collect() == []
     assert [tuple(x)[:2] for x in caches.resolved(none(WRITES), one, none(REFS)).collect()] == [("r1", "false")]
     assert caches.resolved(spark.createDataFrame([("w", "r", "g", "main", "k", "v", 3)], WRITES), none(RESTORES), none(REFS)).collect() == []
+
+
+def test_only_what_first_and_last_entries_leave_open_is_sorted(spark, monkeypatch):
+    """Restores look for their entry by time in one scope and by one term, and only where some of its entries are later than they are."""
+    refs = [("r", "main", "default", None)] + [("r", f"b{i}", "branch", None) for i in range(20)]
+    writes = [(f"w{i:02}", "r", None if i % 5 == 4 else "g", "main", f"k-{i % 3}", None if i % 7 == 6 else "v", i) for i in range(30)]
+    restores = [(f"r{i:02}", "r", "g", f"b{i % 20}", f"k-{i % 3}", ["k-", "k"], "v", 15 if i < 10 else 99) for i in range(40)]
+    sorted_rows = []
+
+    def counted(lookups, entries, *rest, **named):
+        sorted_rows.append((lookups.count(), entries.count()))
+        return latest_before(lookups, entries, *rest, **named)
+
+    monkeypatch.setattr(caches, "latest_before", counted)
+    got = caches.resolved(spark.createDataFrame(writes, WRITES), spark.createDataFrame(restores, RESTORES), spark.createDataFrame(refs, REFS))
+    assert {x.restore_id: tuple(x)[1:] for x in got.collect()} == brute_resolved(writes, restores, refs)
+    ((lookups, entries),) = sorted_rows
+    assert 0 < lookups <= 10 * 4 and 0 < entries <= 16  # ten restores, up to four sets of what entries miss; the entries until then
