@@ -47,3 +47,11 @@ def test_steps_are_sorted_once(spark, data):
     assert merged.count("Sort [workflow") == 1 and merged.count("Exchange hashpartitioning(workflow") == 1
     ops = plan(model.operations(extraction(spark, data)))
     assert ops.count("Exchange hashpartitioning(workflow") == 2  # of the steps, and of the jobs
+
+
+def test_sorts_of_steps_take_one_partition_a_task(spark, data):
+    """Partitions that compress well are not read several by one task, and lineitems are not sorted for their join with orders as well."""
+    steps = model.steps(extraction(spark, data))
+    plan = steps._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("Sort [l_orderkey") == 1
+    assert steps.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
