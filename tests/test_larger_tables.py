@@ -55,3 +55,23 @@ def test_sorts_of_steps_take_one_partition_a_task(spark, data):
     plan = steps._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and plan.count("Sort [l_orderkey") == 1
     assert steps.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_steps_of_documents_are_dealt_once(spark, data):
+    """Steps are not written and read again: lineitems are read once, and only rows of steps, jobs and whole jobs are dealt by workflow or job."""
+    plan = model.documents(extraction(spark, data))._jdf.queryExecution().optimizedPlan().toString()
+    assert "attached-steps" not in plan and plan.count("l_linenumber#") > 0
+    assert plan.count("RepartitionByExpression [workflow") == 1
+
+
+def test_documents_of_jobs_without_steps_and_with_many_operations(compared):
+    """Operations stand by job and step though they are gathered job by job; jobs whose steps are all of other kinds have none."""
+    got, expected = compared("op_20_documents", lineitem="SELECT * REPLACE (CASE WHEN l_orderkey % 3 = 0 THEN 0.08 ELSE 0.0 END AS l_tax, 3 * l_linenumber AS l_linenumber, CASE WHEN l_orderkey % 3 = 0 THEN 1.0 ELSE l_quantity END AS l_quantity) FROM given_lineitem")
+    assert got == expected and got
+
+
+def test_rows_of_steps_are_short_when_sorted(spark, data):
+    """What a row of a step tells is dealt and sorted as a number, not as two texts."""
+    plan = model.steps(extraction(spark, data))._jdf.queryExecution().optimizedPlan().toString()
+    merge = next(line for line in plan.splitlines() if "Aggregate [workflow" in line)
+    assert "slot#" in merge and "kind#" not in merge
