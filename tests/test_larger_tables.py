@@ -7,6 +7,7 @@ import pytest
 
 from boundarylens.operators import model
 from boundarylens.registry import ORACLE_SQL, QUERIES
+from boundarylens.sources import shared
 from boundarylens.sources.binding import extraction
 
 
@@ -75,3 +76,30 @@ def test_rows_of_steps_are_short_when_sorted(spark, data):
     plan = model.steps(extraction(spark, data))._jdf.queryExecution().optimizedPlan().toString()
     merge = next(line for line in plan.splitlines() if "Aggregate [workflow" in line)
     assert "slot#" in merge and "kind#" not in merge
+
+
+def test_more_tasks_sort_steps_of_larger_tables(spark, compared, tmp_path, monkeypatch):
+    """Tasks grow in number with the input beyond the session's number of shuffle partitions, so that what one of them sorts does not; jobs are dealt to the same tasks."""
+    monkeypatch.setattr(shared, "BYTES_A_TASK", 20_000)
+    got, expected = compared("op_17_artifact_write_intent")
+    assert got == expected and got
+    table = extraction(spark, str(tmp_path))
+    tasks = -(-sum((tmp_path / f"{t}.parquet").stat().st_size for t in ("customer", "orders", "lineitem")) // 20_000)
+    assert tasks > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert model.steps(table).rdd.getNumPartitions() == model.operations(table).rdd.getNumPartitions() == tasks
+
+
+def test_jobs_of_steps_are_aggregated_where_they_are_dealt(spark, data):
+    """Tasks that read jobs hold no hash table of them, which grows with the task's split of the file."""
+    plan = model.operations(extraction(spark, data))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression [workflow") == 2  # steps, and jobs
+
+
+def test_sizes_of_files_with_any_name(spark, tmp_path):
+    folder = tmp_path / "a b%20[1]{2}*?+" / "x=1%2F2"
+    folder.mkdir(parents=True)
+    duckdb.sql("SELECT range AS id FROM range(10)").write_parquet(str(folder / "part.parquet"))
+    read = spark.read.parquet(f"{tmp_path}/a b*/")
+    assert [r.x for r in read.select("x").distinct().collect()] == ["1/2"]
+    assert shared.input_bytes(read) == (folder / "part.parquet").stat().st_size
+    assert shared.input_bytes(spark.range(10)) == 0
