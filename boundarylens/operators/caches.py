@@ -101,9 +101,14 @@ def _standing(entries: DataFrame, needed: DataFrame, lengths: list[int]) -> Data
         "lacks", "shared", _slot(gone, "repo", "r").alias("repo"), scope.alias("scope"), F.explode(texts).alias("term"), "backend", "version", "at", F.col("id").alias("entry_id"))
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """For a join with rows made by explode: Spark takes them to be no larger than the file they come of and would send them whole to the driver to broadcast them."""
+    return rows.hint("merge")
+
+
 def _slotted(standing: DataFrame, needed: DataFrame) -> DataFrame:
     """SLOT in place of PLACE, for all that is asked for there. needed: PLACE, wants (an array), one row a place."""
-    met = standing.join(needed, PLACE).withColumn("wants", F.explode("wants"))
+    met = standing.join(_dealt(needed), PLACE).withColumn("wants", F.explode("wants"))
     gone = F.concat("lacks", "wants")
     told = [c for c in standing.columns if c not in (*PLACE, "backend", "version")]
     return met.select(F.concat_ws("|", "lacks", "wants").alias("missing"), "repo", *[_slot(gone, ATTRIBUTES[x], x).alias(ATTRIBUTES[x]) for x in "bv"], "scope", "term", *told, *[c for c in needed.columns if c not in (*PLACE, "wants")])
@@ -158,13 +163,13 @@ def resolved(writes: DataFrame, restores: DataFrame, refs: DataFrame) -> DataFra
     by_slot = asks.withColumn("lacks", F.explode(of_kind))
     gone = F.concat("lacks", "wants")
     by_slot = by_slot.select(*[F.col(c).alias(f"ask_{c}") for c in ASK], "lacks", F.concat_ws("|", "lacks", "wants").alias("missing"), "repo", *[F.when(gone.contains(x), "").otherwise(F.col(c)).alias(c) for x, c in (("b", "backend"), ("v", "version"))], "scope", "term")
-    known = by_slot.join(under, SLOT).groupBy(*[F.col(f"ask_{c}").alias(c) for c in ASK]).agg(F.collect_list(F.struct("lacks", "low", "high", "untimed")).alias("kinds"))  # at most 32
+    known = by_slot.join(_dealt(under), SLOT).groupBy(*[F.col(f"ask_{c}").alias(c) for c in ASK]).agg(F.collect_list(F.struct("lacks", "low", "high", "untimed")).alias("kinds"))  # at most 32
     # Of entries without a time the last id counts, before all others; of the others the last in time that a restore's time admits.
     over = F.col("at").isNull()
     reached = F.transform(F.filter("kinds", lambda k: k.high.isNotNull() & (over | (k.high["at"] <= F.col("at")))), lambda k: F.struct(
         k.high["at"].alias("made"), (over | (F.concat(k.lacks, F.col("wants")) != "")).cast("int").alias("open"), k.high.entry_id.alias("entry_id")))
     between = F.transform(F.filter("kinds", lambda k: F.coalesce((k.low <= F.col("at")) & (k.high["at"] > F.col("at")), F.lit(False))), lambda k: k.lacks)
-    hits = lookups.join(known, ASK).select("id", "cell", F.array_max(F.transform("kinds", lambda k: k.untimed)).alias("untimed"), F.array_max(reached).alias("reached"), between.alias("between"), "at", *ASK)
+    hits = lookups.join(_dealt(known), ASK).select("id", "cell", F.array_max(F.transform("kinds", lambda k: k.untimed)).alias("untimed"), F.array_max(reached).alias("reached"), between.alias("between"), "at", *ASK)
     hits = hits.where("untimed IS NOT NULL OR reached IS NOT NULL OR size(between) > 0")
     late = F.when(F.col("untimed").isNull() & (F.size("between") > 0), F.struct("between", "at", *ASK)).alias("late")
     found = hits.select("id", F.struct("cell", "untimed", "reached", late).alias("one")).groupBy("id").agg(F.collect_list("one").alias("all")).withColumn("cell", F.array_min(F.transform("all", lambda x: x["cell"])))
@@ -180,7 +185,7 @@ def resolved(writes: DataFrame, restores: DataFrame, refs: DataFrame) -> DataFra
     last = latest_before(late, placed, SLOT, prefer="entry_id")
     last = last.groupBy("id").agg(F.max(F.struct(F.col("found.made").alias("made"), (F.col("open") > 0).cast("int").alias("open"), F.col("found.entry_id").alias("entry_id"))).alias("last"))
     best = F.when(F.col("untimed").isNull(), F.greatest("reached", "last"))
-    picked = asked.select("id").distinct().join(found.drop("late"), "id", "left").join(last, "id", "left").withColumn("best", best)
+    picked = asked.select("id").distinct().join(_dealt(found.drop("late")), "id", "left").join(_dealt(last), "id", "left").withColumn("best", best)
     missing = F.col("untimed").isNotNull() | (F.col("best.open") > 0)
     entry = F.coalesce("untimed", "best.entry_id")
     return picked.select(

@@ -7,8 +7,10 @@ import re
 
 from pyspark.sql import functions as F
 
-from boundarylens.operators import caches
+from boundarylens.operators import asof, caches
 from boundarylens.operators.asof import latest_before
+from boundarylens.registry import QUERIES
+from boundarylens.sources.shared import stored
 
 
 def test_latest_before_equals_brute_force(spark):
@@ -159,3 +161,21 @@ def test_only_what_first_and_last_entries_leave_open_is_sorted(spark, monkeypatc
     assert {x.restore_id: tuple(x)[1:] for x in got.collect()} == brute_resolved(writes, restores, refs)
     ((lookups, entries),) = sorted_rows
     assert 0 < lookups <= 10 * 4 and 0 < entries <= 16  # ten restores, up to four sets of what entries miss; the entries until then
+
+
+def test_lookups_are_not_broadcast(spark, data, monkeypatch):
+    """Spark takes restores times scopes times terms to be as small as the file of restores; they are dealt, not sent through the driver."""
+    plans = {}
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+
+    def planned(df, name):
+        plans[name] = plan(df)
+        return stored(df, name)
+
+    monkeypatch.setattr(caches, "stored", planned)
+    monkeypatch.setattr(asof, "stored", planned)
+    plans["result"] = plan(QUERIES["op_s3_same_cache"](spark, data))
+    assert "SortMergeJoin" in plans["cache-found"] and "SortMergeJoin" in plans["as-of"]
+    for name in ("cache-found", "as-of", "result"):
+        sent = [line for line in plans[name].splitlines() if "BroadcastHashJoin" in line]
+        assert all("[part#" in line for line in sent), (name, sent)  # what ranges end with is one row a range
