@@ -414,6 +414,19 @@ def test_top_k_is_exact(spark):
     assert len(rows_of(topk.top_k(df.where("vec_id IN (0, 1)")))) == 1
 
 
+def test_top_k_in_squares_without_a_join(spark, monkeypatch):
+    """Neither blocks nor query groups are joined, whose copies for each other Spark would broadcast; a task meets several of both."""
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 20)
+    monkeypatch.setattr(topk, "BLOCK_QUERIES", 1)
+    monkeypatch.setattr(topk, "MOST_PARTS", 5)
+    r = np.random.default_rng(5)
+    vectors = [(i, r.normal(0, scale, 8).round(2).tolist()) for scale, ids in ((0.3, range(500)), (300.0, range(500, 600)), (1e6, range(600, 640))) for i in ids]
+    vectors += [(i, [float(-i % 3)] * 8) for i in range(640, 700)] + [(700, [0.0] * 8), (50, [-1.0] * 8), (710, [-0.5] * 9)]
+    got = topk.top_k(spark.createDataFrame(vectors, "vec_id long, embedding array<double>").repartition(3), every=10, k=4)
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(rows_of(got)) == brute_top(vectors, every=10, k=4)
+
+
 # Jaccard
 
 def brute_classes(rows):
